@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from . import near_dup
+from . import chat, decontam, lang_id, licenses, mixing, near_dup, pii, quality, url_filter
 
 QUERIES = {
+    "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
+    "op2_license_scan": licenses.op2_license_scan,
+    "op3_quality_votes": quality.op3_quality_votes,
+    "op4_bilstm_crf_pii": pii.op4_bilstm_crf_pii,
+    "op5_fp_growth_url_filter": url_filter.op5_fp_growth_url_filter,
+    "op6_preference_formatting": chat.op6_preference_formatting,
     "op7_minhash_near_dedup": near_dup.op7_minhash_near_dedup,
+    "op8_compression_language_id": lang_id.op8_compression_language_id,
+    "op10_poisson_mixing": mixing.op10_poisson_mixing,
 }
 
 SQL = {
+    "op1_benchmark_decontamination": decontam.OP1_SQL,
+    "op2_license_scan": licenses.OP2_SQL,
+    "op6_preference_formatting": chat.OP6_SQL,
     "op7_minhash_near_dedup": near_dup.OP7_SQL,
+    "op10_poisson_mixing": mixing.OP10_SQL,
 }
