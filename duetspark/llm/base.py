@@ -15,17 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and read it back without its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is
-    set (tests on one machine) a temporary folder is taken.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; only where none is set
+    (tests on one machine) a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints")
-        )
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+    return named or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the session's checkpoint folder and read it back without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, lang_id, licenses, mixing, near_dup, pii, quality, url_filter
+from . import chat, decontam, embed_dup, lang_id, licenses, mixing, near_dup, pii, quality, url_filter
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_preference_formatting": chat.op6_preference_formatting,
     "op7_minhash_near_dedup": near_dup.op7_minhash_near_dedup,
     "op8_compression_language_id": lang_id.op8_compression_language_id,
+    "op9_itq_embedding_near_dedup": embed_dup.op9_itq_embedding_near_dedup,
     "op10_poisson_mixing": mixing.op10_poisson_mixing,
 }
 
@@ -21,5 +22,6 @@ SQL = {
     "op2_license_scan": licenses.OP2_SQL,
     "op6_preference_formatting": chat.OP6_SQL,
     "op7_minhash_near_dedup": near_dup.OP7_SQL,
+    "op9_itq_embedding_near_dedup": embed_dup.OP9_SQL,
     "op10_poisson_mixing": mixing.OP10_SQL,
 }
