@@ -17,6 +17,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 128, 2048, 110_000
 LEVEL, SHORT_LEVEL = 5, 19
 #: Relative gain over the second language below which a document is rejected.
 MARGIN = 0.02
+#: Bytes of letters under which a narrow margin says nothing and rejects nothing.
+SHORT = 64
 UND = "und"
 
 _SEPARATORS = re.compile(r"[\W\d_]+")
@@ -89,7 +91,7 @@ class Classifier:
             size = self.sizes(data, SHORT_LEVEL)
         first, second = np.argsort(size, kind="stable")[:2]
         margin = float((size[second] - size[first]) / size[second])
-        return self.langs[first], min(1.0, 0.5 + 5 * margin), margin, margin < self.margin
+        return self.langs[first], min(1.0, 0.5 + 5 * margin), margin, margin < self.margin and len(data) >= SHORT
 
 
 def classify(model: dict[str, bytes], margin: float = MARGIN):
@@ -110,7 +112,8 @@ def identify(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN, t
     Each whole text is lower-cased, reduced to its letters and compressed with each dictionary;
     the smallest wins, and where sizes tie, a stronger level decides, then the language with more
     training documents. score is a half for a tie and rises with the margin, the relative gain
-    over the second; margins under ``margin`` are rejected. Null texts and texts without letters
+    over the second; margins under ``margin`` are rejected in texts with SHORT bytes of letters or
+    more (a few words may tie in clean text). Null texts and texts without letters
     are ``und`` with score 0, and rejected. Rows are judged one by one: repeated rows get equal
     results, an empty table gives an empty one, and other columns pass through (the new column's
     name gets underscores while it is taken). Without any labelled row everything is ``und``.
