@@ -44,6 +44,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def packed(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df``, already cut, in no more partitions than its rows fill: small tables make few tasks and files."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(src, dst)``: rows (v, component), the smallest id reachable.
 
@@ -54,8 +59,9 @@ def components(edges: DataFrame) -> DataFrame:
     vertex. Labels are cut every round.
     """
     pairs = edges.where("src is not null and dst is not null")
-    both = cut(pairs.select("src", "dst").union(pairs.select(F.col("dst"), F.col("src"))).distinct())
-    labels = cut(both.groupBy(F.col("src").alias("v")).agg(F.least(F.col("v"), F.min("dst")).alias("label")))
+    both = packed(cut(pairs.select("src", "dst").union(pairs.select(F.col("dst"), F.col("src"))).distinct()))
+    labels = packed(cut(both.groupBy(F.col("src").alias("v")).agg(F.least(F.col("v"), F.min("dst")).alias("label"))))
+    parts = labels.rdd.getNumPartitions()
     while True:
         low = (
             both.join(labels, both["src"] == labels["v"])
@@ -64,7 +70,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         hooked = labels.join(low, "v").select("v", F.col("label").alias("was"), F.least("label", "low").alias("label"))
         up = labels.select(F.col("v").alias("label"), F.col("label").alias("up"))
-        step = cut(hooked.join(up, "label").select("v", "was", F.least("label", "up").alias("label")))
+        step = cut(hooked.join(up, "label").select("v", "was", F.least("label", "up").alias("label"))).coalesce(parts)
         changed = step.where("was <> label").limit(1).count()
         labels = step.select("v", "label")
         if not changed:

@@ -8,8 +8,8 @@ shingle sets. Groups of copies are never expanded into pairs:
 * texts with equal shingle sets become one representative before banding;
 * a shingle that only one representative has can't be shared, so ``u`` such shingles bound the
   similarity of two sets by ``a / (n_x + n_y - a)``, ``a = min(n_x - u_x, n_y - u_y)``;
-* in each bucket one centre is compared with the others, twice; what is then still apart is
-  compared pair by pair, within blocks of set sizes that the bound leaves possible.
+* in each bucket one centre is compared with the others; what is then still apart is
+  compared in blocks, from which only a spanning tree of the links comes out.
 
 The last step is exact: no link that banding finds is lost to the steps before it.
 """
@@ -25,13 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import components, cut, table
+from .base import components, cut, packed, table
 
 #: Chance that banding misses a pair just at the threshold.
 MISS = 1e-6
-#: Ratio of set sizes within a block of the last comparison.
-BLOCK = 0.03
-STARS = 2
+#: Rounds of comparing a bucket's members with one of them.
+STARS = 1
+#: Comparisons of a bucket that are made as pairs; sets on either side of a block beyond that.
+PAIRS, TILE = 64, 512
 
 
 def bands_for(percent: int) -> tuple[int, int]:
@@ -208,46 +209,92 @@ def links(reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
             .distinct()
         )
         found = _confirmed(pairs, of, percent)
-        edges = cut(found if edges is None else edges.union(found))
+        edges = packed(cut(found if edges is None else edges.union(found)))
         label = (
             label.select("rep")
             .join(components(edges).withColumnRenamed("v", "rep"), "rep", "left")
             .select("rep", F.coalesce("component", "rep").alias("component"))
         )
-        label = cut(label)
-    return edges.union(_confirmed(_apart(members, label, percent), of, percent))
+        label = packed(cut(label))
+    return edges.union(_apart(members, label, of, percent))
 
 
-def _apart(members: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket that are in different components and may still be linked."""
-    at = members.join(label, "rep")
+def _apart(members: DataFrame, label: DataFrame, of: DataFrame, percent: int) -> DataFrame:
+    """Edges for all links within a bucket between different components.
+
+    Where few comparisons are left they are pairs; larger buckets are compared in blocks of at
+    most TILE sets on either side, where a product of incidence matrices counts what any two sets
+    share, and only a spanning tree of the links leaves a block.
+    """
+    at = cut(members.join(label, "rep"))
     by = at.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    main = (
-        by.groupBy("bucket")
-        .agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
-        .where("parts > 1")
-        .select("bucket", "main")
+    main = by.groupBy("bucket").agg(
+        F.max_by("component", F.struct("size", "component")).alias("main"),
+        F.sum("size").alias("right"),
+        (F.sum("size") - F.max("size")).alias("left"),
     )
-    block = lambda c: F.floor(F.log(c) / BLOCK)
-    left = at.join(main, "bucket")
-    right = left.select("bucket", "main", "component", F.struct("rep", "n", "u").alias("y"), block(F.col("n")).alias("block"))
-    most = (F.col("n") - F.col("u")) * 100 / percent - F.col("u")
-    least = F.col("n") * percent / 100
-    reach = F.when(most >= least, F.sequence(block(least - 1e-6), block(most + 1e-6)))
-    left = left.where("component <> main and n > u").select(
-        "bucket", "component", F.struct("rep", "n", "u").alias("x"), F.explode(reach).alias("block")
-    )
-    right = right.withColumnRenamed("component", "other")
-    return (
-        left.join(right, ["bucket", "block"])
-        .where(
-            (F.col("component") != F.col("other"))
-            & ((F.col("other") == F.col("main")) | (F.col("x.rep") != F.col("y.rep")))
-            & _possible("x", "y", percent)
-        )
+    # of two members, the stars have compared the only pair
+    at = cut(at.join(main.where("left > 0 and right > 2"), "bucket"))
+    node = F.struct("rep", "n", "u", "component")
+    few = at.where(F.col("left") * F.col("right") <= PAIRS)
+    pairs = (
+        few.where("component <> main").select("bucket", node.alias("x"))
+        .join(few.select("bucket", node.alias("y")), "bucket")
+        .where((F.col("x.component") != F.col("y.component")) & _possible("x", "y", percent))
         .select(F.least("x.rep", "y.rep").alias("src"), F.greatest("x.rep", "y.rep").alias("dst"))
         .distinct()
     )
+    many = at.where(F.col("left") * F.col("right") > PAIRS).join(of.select("rep", "items").dropDuplicates(["rep"]), "rep")
+    tiles = lambda side: F.ceil(F.col(side) / TILE).cast("int")
+    own = lambda side: F.pmod(F.xxhash64("rep"), tiles(side)).cast("int")
+    each = lambda side: F.explode(F.sequence(F.lit(0), tiles(side) - 1))
+    left = many.where("component <> main").select("bucket", own("left").alias("i"), each("right").alias("j"), "rep", "items")
+    right = many.select(
+        F.col("bucket").alias("b"), each("left").alias("k"), own("right").alias("l"), F.col("rep").alias("rep"), F.col("items").alias("items")
+    )
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        src, dst = _linked(x, y, percent)
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    tiled = left.groupBy("bucket", "i", "j").cogroup(right.groupBy("b", "k", "l")).applyInArrow(compare, "src bigint, dst bigint")
+    return _confirmed(pairs, of, percent).union(tiled.distinct())
+
+
+def _linked(x: pa.Table, y: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the links between the sets of two tables (rep, items)."""
+    ids = [np.asarray(t["rep"].combine_chunks()) for t in (x, y)]
+    lists = [t["items"].combine_chunks() for t in (x, y)]
+    if not len(ids[0]) or not len(ids[1]):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    sizes = [np.diff(np.asarray(v.offsets)) for v in lists]
+    items = [np.asarray(v.flatten()) for v in lists]
+    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    known = np.intersect1d(items[0], items[1])  # others are in no intersection
+    shared = np.zeros((len(ids[0]), len(ids[1])), np.float32)
+    at = [np.searchsorted(known, v) for v in items]
+    held = [(a < len(known)) & (known[np.minimum(a, len(known) - 1)] == v) if len(known) else np.zeros(len(v), bool) for a, v in zip(at, items, strict=True)]
+    for begin in range(0, len(known), 4096):
+        sides = []
+        for side in (0, 1):
+            inside = held[side] & (at[side] >= begin) & (at[side] < begin + 4096)
+            m = np.zeros((len(ids[side]), min(4096, len(known) - begin)), np.float32)
+            m[rows[side][inside], at[side][inside] - begin] = 1
+            sides.append(m)
+        shared += sides[0] @ sides[1].T
+    union = sizes[0][:, None] + sizes[1][None] - shared
+    link = (100 * shared >= percent * union) & (shared > 0)
+    low = [ids[0].copy(), ids[1].copy()]
+    none = np.iinfo(np.int64).max
+    while True:  # the least id that links lead to
+        to_left = np.where(link, low[1][None], none).min(axis=1)
+        new = np.minimum(low[0], to_left)
+        other = np.minimum(low[1], np.where(link, new[:, None], none).min(axis=0))
+        if (new == low[0]).all() and (other == low[1]).all():
+            break
+        low = [new, other]
+    src, dst = np.concatenate(ids), np.concatenate(low)
+    return src[src != dst], dst[src != dst]
 
 
 def near_duplicates(
