@@ -1,9 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact similarity.
 
-A window has as many words as the benchmark item it is held against. A window that shares no
-shingle with any item has similarity 0, so only windows around shared shingles are fingerprinted;
-as a window over the threshold has few foreign shingles, looking at every STRIDE-th position of a
-document meets one of its shared ones. Fingerprints are looked up block by block: with one block
+A window has as many words as the benchmark item it is held against. At similarity r, shingles
+shared with the item fill at least 2r / (1 + r) of a window, so only windows with as many
+shingles of items of their length are fingerprinted; looking at every STRIDE-th position of a
+document first meets one of them. Fingerprints are looked up block by block: with one block
 more than the radius, two fingerprints within the radius agree in at least one block. What is
 within the radius is held to the exact weighted Jaccard similarity of the shingle multisets.
 """
@@ -34,14 +34,32 @@ def _grams(w: Column, k: Column, stride: int = 1) -> Column:
     return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(w, i + 1, k)).alias("h")))
 
 
+def _lane(j: int, ones: Column):
+    return lambda s, h: s + F.shiftrightunsigned(h, j).bitwiseAND(ones)
+
+
 def simhash(hashes: Column) -> Column:
-    """The 64-bit SimHash of an array of 64-bit hashes; a hash counts as often as it occurs."""
+    """The 64-bit SimHash of a column of arrays of 64-bit hashes; a hash counts as often as it occurs.
+
+    Votes of eight bits are counted at once, each in a byte of a long; for longer arrays, of two in halves.
+    """
+    none, size = F.lit(0).cast("bigint"), F.size(hashes)
+
+    def packed(lanes: int) -> Column:
+        width = 64 // lanes
+        ones = F.lit(sum(1 << (width * i) for i in range(lanes)))
 
-    def bit(acc: Column, b: Column) -> Column:
-        votes = F.aggregate(hashes, F.lit(0), lambda s, h: s + F.getbit(h, b).cast("int") * 2 - 1)
-        return acc.bitwiseOR(F.when(votes > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
+        def won(s: Column, x: Column) -> Column:
+            for lane in range(lanes):  # bit lane * width + j has its votes in that lane of the sum j
+                votes = F.shiftrightunsigned(x["votes"], lane * width).bitwiseAND(F.lit((1 << width) - 1))
+                bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), x["j"] + lane * width)
+                s = s.bitwiseOR(F.when(votes * 2 > size, bit).otherwise(none))
+            return s
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("bigint"), bit)
+        sums = [F.struct(F.aggregate(hashes, none, _lane(j, ones)).alias("votes"), F.lit(j).alias("j")) for j in range(width)]
+        return F.aggregate(F.array(*sums), none, won)
+
+    return F.when(size < 1 << 8, packed(8)).otherwise(packed(2))
 
 
 def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
@@ -70,7 +88,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
                  item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity, windows) of items that documents hold.
 
-    A window of an item's length, starting at word ``start`` (from 0), counts if
+    A window of an item's length, starting at any word ``start`` (from 0), counts if
     ``100 * shared >= percent * all`` over the multisets of k-word shingles of lower-cased runs
     of letters and digits; an item of fewer words is one shingle. The row has the most similar
     window, the first of equals, and how many windows count.
@@ -78,62 +96,76 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     Null and empty texts and items match nothing; rows without id give rows without id; rows that
     repeat an id count as one document; items that repeat an id count as one if their texts are
     equal, else each is held against the documents under that id. Other columns are not read.
-    Empty tables give an empty one. Words of a document never leave its row but for windows that
-    share a shingle with an item of that length.
+    Empty tables give an empty one. Words of a document leave its row only if it has a shingle of
+    an item where the stride looks.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("w")).distinct()
     items = items.where(F.size("w") > 0).withColumns({"n": F.size("w"), "k": F.least(F.size("w"), F.lit(k))})
-    grams = _grams(F.col("w"), F.col("k"))
-    hashes = F.transform(grams, lambda g: g["h"])
-    items = cut(items.withColumn("key", F.xxhash64("item_id", "w")).withColumn("grams", grams).withColumn("fp", simhash(hashes)))
-    widths = [r["k"] for r in items.select("k").distinct().collect()]  # 1 to k at most
+    hashes = F.transform(_grams(F.col("w"), F.col("k")), lambda g: g["h"])
+    items = items.withColumns({"key": F.xxhash64("item_id", "w"), "hashes": hashes, "full": _full(F.col("w"), F.col("k"))})
+    items = cut(items.withColumns({"fp": simhash(F.col("hashes")), "numbered": _numbered(F.col("full"))}).drop("full"))
+    widths = sorted(r["k"] for r in items.select("k").distinct().collect())  # 1 to k at most
     shortest = items.agg(F.min(F.col("n") - F.col("k") + 1)).first()[0] or 1
     stride = stride_for(percent, shortest)
+    seeds = small(items.select("n", "k", F.explode("hashes").alias("h")).distinct())
+    any_seed = small(seeds.select("k", "h").distinct())
 
     text = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-    seeds = small(items.select("n", "k", F.explode("grams").alias("g")).select("n", "k", F.col("g.at").alias("off"), F.col("g.h").alias("h")).distinct())
-    found = None
-    for width in sorted(widths):
+    met = None
+    for width in widths:
         step = stride if width == k else 1
-        at = text.select("doc_id", "w", F.explode(_grams(F.col("w"), F.lit(width), step)).alias("g"))
-        hit = at.join(seeds.where(F.col("k") == width), F.col("g.h") == F.col("h")).select(
-            "doc_id", (F.col("g.at") - F.col("off")).alias("start"), "n", "k", "w"
-        )
-        hit = hit.where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("w"))).select(
-            "doc_id", "start", "n", "k", F.slice("w", F.col("start") + 1, F.col("n")).alias("w")
-        )
-        found = hit if found is None else found.union(hit)
-    if found is None:
-        found = text.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0).alias("k"), "w").where("false")
-    windows = found.groupBy("doc_id", "start", "n", "k", F.xxhash64("w").alias("hash")).agg(F.first("w").alias("w"))
-    grams = F.transform(_grams(F.col("w"), F.col("k")), lambda g: g["h"])
-    windows = cut(windows.withColumn("fp", simhash(grams)))
-
-    ours = windows.select("doc_id", "start", "hash", "n", "fp", F.explode(blocks(F.col("fp"), radius)).alias("block"))
-    theirs = small(items.select("item_id", "key", "n", F.col("fp").alias("fp2"), F.explode(blocks(F.col("fp"), radius)).alias("block")))
+        at = text.select("doc_id", F.explode(_grams(F.col("w"), F.lit(width), step)).alias("g"))
+        own = at.join(any_seed.where(F.col("k") == width), F.col("g.h") == F.col("h"), "left_semi").select("doc_id")
+        met = own if met is None else met.union(own)
+    met = cut((text.select("doc_id").where("false") if met is None else met).distinct())
+    suspects = text.join(small(met).withColumnRenamed("doc_id", "met"), F.col("doc_id").eqNullSafe(F.col("met"))).drop("met")
+    suspects = cut(suspects.withColumn("text_key", F.xxhash64("w")).dropDuplicates(["doc_id", "text_key"]))
+
+    # positions of items' shingles, by length of the items; a document's, so never more than its words
+    hits = None
+    for width in widths:
+        at = suspects.select("doc_id", "text_key", F.size("w").alias("m"), F.explode(_grams(F.col("w"), F.lit(width))).alias("g"))
+        own = at.join(seeds.where(F.col("k") == width), F.col("g.h") == F.col("h")).select("doc_id", "text_key", "m", "n", "k", "g.at")
+        hits = own if hits is None else hits.union(own)
+    if hits is None:
+        hits = suspects.select("doc_id", "text_key", F.lit(0).alias("m"), F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(0).alias("at"))
+    each = F.col("n") - F.col("k") + 1
+    need = F.ceil(each * 2 * percent / (100 + percent)).cast("int")
+    places = hits.groupBy("doc_id", "text_key", "m", "n", "k").agg(F.array_sort(F.collect_list("at")).alias("at")).withColumn("need", need)
+    firsts = F.filter(F.col("at"), lambda p, i: F.get(F.col("at"), i + F.col("need") - 1) - p < each)
+    starts = (
+        places.select("doc_id", "text_key", "m", "n", "k", (each - F.col("need")).alias("foreign"), F.explode(firsts).alias("p"))
+        .where(F.col("m") >= F.col("n"))
+        .select("doc_id", "text_key", "m", "n", "k", F.explode(F.sequence(F.greatest(F.lit(0), F.col("p") - F.col("foreign")), F.col("p"))).alias("start"))
+        .where(F.col("start") + F.col("n") <= F.col("m"))
+        .groupBy("doc_id", "text_key", "n", "k").agg(F.collect_set("start").alias("starts"))
+    )
+    windows = (
+        suspects.withColumnRenamed("doc_id", "d").join(starts.withColumnRenamed("text_key", "t"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("t")))
+        .select("doc_id", "n", "k", "w", F.explode("starts").alias("start"))
+        .select("doc_id", "start", "n", "k", F.slice("w", F.col("start") + 1, F.col("n")).alias("w"))
+        .withColumn("hashes", F.transform(_grams(F.col("w"), F.col("k")), lambda g: g["h"]))
+    )
+    windows = windows.select("doc_id", "start", "n", "k", "w", F.xxhash64("doc_id", "start", "w").alias("window"), simhash(F.col("hashes")).alias("fp"))
+    windows = cut(windows)
+
+    ours = windows.select("window", "n", "fp", F.explode(blocks(F.col("fp"), radius)).alias("block"))
+    theirs = small(items.select("key", "n", F.col("fp").alias("fp2"), F.explode(blocks(F.col("fp"), radius)).alias("block")))
     near = (
         ours.join(theirs, ["n", "block"])
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius)
-        .select("doc_id", "start", "hash", "n", "item_id", "key")
+        .select("window", "key")
         .distinct()
     )
 
-    # exact: shared weight of the multisets, over shingles in full
-    def counted(df: DataFrame, *by: str) -> DataFrame:
-        full = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.slice("w", i, F.col("k")))
-        return df.select(*by, "n", "k", F.explode(full).alias("gram")).groupBy(*by, "n", "k", "gram").agg(F.count("*").alias("c"))
-
-    ref = small(counted(items, "item_id", "key").select("key", "gram", F.col("c").alias("c2")))
-    shared = (
-        counted(windows.join(near, ["doc_id", "start", "hash", "n"]), "doc_id", "item_id", "key", "hash", "start")
-        .join(ref, ["key", "gram"])
-        .groupBy("doc_id", "item_id", "key", "hash", "start", "n", "k")
-        .agg(F.sum(F.least("c", "c2")).alias("shared"))
-    )
-    each = F.col("n") - F.col("k") + 1
+    # exact: a multiset's shingles are numbered as they recur, so what two multisets share is an intersection
+    ref = small(items.select("key", "item_id", F.col("numbered").alias("theirs")), 20_000)
+    both = F.size(F.array_intersect(_numbered(F.col("full")), "theirs"))
+    held = windows.withColumn("full", _full(F.col("w"), F.col("k"))).join(near, "window").join(ref, "key")
+    held = held.select("doc_id", "item_id", "start", "n", (2 * each).alias("all"), both.alias("shared"))
     return (
-        shared.where(100 * F.col("shared") >= percent * (2 * each - F.col("shared")))
-        .withColumn("similarity", F.round(F.col("shared") / (2 * each - F.col("shared")), 6))
+        held.where(100 * F.col("shared") >= percent * (F.col("all") - F.col("shared")))
+        .select("doc_id", "item_id", "start", "n", F.round(F.col("shared") / (F.col("all") - F.col("shared")), 6).alias("similarity"))
         .groupBy("doc_id", "item_id")
         .agg(
             F.min_by("start", F.struct(-F.col("similarity"), "start")).alias("start"),
@@ -144,6 +176,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     )
 
 
+def _full(w: Column, k: Column) -> Column:
+    """The k-word shingles in full."""
+    return F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
+
+
+def _numbered(full: Column) -> Column:
+    """A column of shingles, each with how often it has occurred so far."""
+    again = F.transform(full, lambda g, i: F.concat(g, F.lit(" #"), F.size(F.filter(F.slice(full, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+    return F.when(F.size(F.array_distinct(full)) == F.size(full), F.transform(full, lambda g: F.concat(g, F.lit(" #1")))).otherwise(again)
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold an item; all columns stay, and rows without id."""
     leaks = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(fresh(docs, "leak"))).distinct()
@@ -162,8 +205,8 @@ ig AS (SELECT item_id, n, k, w, unnest(range(1, n - k + 2)) AS p FROM t),
 ig2 AS (SELECT item_id, n, k, p, array_to_string(w[p : p + k - 1], ' ') AS g FROM ig),
 dg AS (SELECT doc_id, len(w) AS m, k, unnest(range(1, len(w) - k + 2)) AS p, w FROM d, (SELECT DISTINCT k FROM t)),
 dg2 AS (SELECT doc_id, m, k, p, array_to_string(w[p : p + k - 1], ' ') AS g FROM dg),
-s AS (SELECT DISTINCT doc_id, item_id, n, ig2.k, dg2.p - ig2.p AS start FROM dg2 JOIN ig2 USING (k, g)
-      WHERE dg2.p - ig2.p >= 0 AND dg2.p - ig2.p + n <= m),
+s AS (SELECT DISTINCT doc_id, item_id, n, k, unnest(range(greatest(1, dg2.p - n + k), least(dg2.p, m - n + 1) + 1)) - 1 AS start
+      FROM dg2 JOIN (SELECT DISTINCT item_id, n, k, g FROM ig2) USING (k, g) WHERE n <= m),
 a AS (SELECT s.doc_id, s.item_id, s.start, s.n, s.k, g, count(*) AS c FROM s JOIN dg2 ON dg2.doc_id = s.doc_id AND dg2.k = s.k
       AND dg2.p > s.start AND dg2.p <= s.start + s.n - s.k + 1 GROUP BY ALL),
 b AS (SELECT item_id, g, count(*) AS c FROM ig2 GROUP BY ALL),

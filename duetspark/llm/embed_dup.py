@@ -20,12 +20,15 @@ TILE = 512
 
 
 class Quantiser:
-    """Centre, principal axes and learned rotations: codes whose bits are balanced and quantise well."""
+    """Principal axes and learned rotations: codes that quantise well.
+
+    Cosines look from the origin, so vectors are not centred: around a common mean even vectors at
+    a cosine near 1 would point anywhere and share few bits.
+    """
 
     def __init__(self, sample: np.ndarray, bits: int, seed: int = 1, rounds: int = 30):
         dims = sample.shape[1]
-        self.centre = sample.mean(axis=0) if len(sample) else np.zeros(dims)
-        x = sample - self.centre
+        x = sample
         _, axes = np.linalg.eigh(x.T @ x + 1e-9 * np.eye(dims))
         rng, turns = np.random.default_rng(seed), []
         for _ in range(math.ceil(bits / dims)):
@@ -39,7 +42,7 @@ class Quantiser:
 
     def codes(self, unit: np.ndarray, width: int) -> np.ndarray:
         """(vectors, tables) values of consecutive ``width``-bit parts."""
-        bits = (unit - self.centre) @ self.axes >= 0
+        bits = unit @ self.axes >= 0
         parts = bits.reshape(len(unit), -1, width)
         return (parts * (1 << np.arange(width))).sum(axis=2).astype(np.uint16)
 

@@ -53,8 +53,8 @@ RULES = [
     ("isc", ["isc-grant"]),
 ]
 
-#: A sentence ends before white space after one of these; LINES also end it at a line end.
-ENDS = r"[.;!?]+\s+"
+#: A sentence ends before white space after one of these, or at a line end after a colon; LINES also end it at any line end.
+ENDS = r"[.;!?]+\s+|:\s*[\r\n]+"
 LINES = r"[.;!?]+\s+|[\r\n]+"
 
 
@@ -87,7 +87,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list |
          text_col: str = "text") -> DataFrame:
     """(doc_id, sentence_ids, licences), one row per row of ``docs``.
 
-    A text is cut into sentences after ``. ; ! ?`` before white space, once with line ends as
+    A text is cut into sentences after ``. ; ! ?`` before white space or a colon at a line's end, once with line ends as
     further cuts and once with line ends as spaces (licence headers wrap at will); the reading
     that knows more sentences counts, the first if equal. Sentences are lower-cased and reduced
     to ASCII letters and digits; identifiers of known ones are comma-joined in order. A rule
