@@ -11,6 +11,23 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: Rows and bytes of an Arrow batch that Spark has unless told, and those for texts, which may be
+#: long and are held by the JVM and by Python.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b"),
+}
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands Python workers smaller batches, unless it has its own bounds."""
+    spark = df.sparkSession
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

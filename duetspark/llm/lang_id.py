@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import fresh, table
+from .base import fresh, in_batches, table
 
 #: Bounds of the fitted sample: labelled documents a language, characters of each, dictionary bytes.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 128, 2048, 110_000
@@ -118,7 +118,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN, t
     results, an empty table gives an empty one, and other columns pass through (the new column's
     name gets underscores while it is taken). Without any labelled row everything is ``und``.
     """
-    return docs.withColumn(fresh(docs, "lang_id"), classify(model, margin)(F.col(text_col)))
+    return in_batches(docs).withColumn(fresh(docs, "lang_id"), classify(model, margin)(F.col(text_col)))
 
 
 def keep_identified(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import components, cut, packed, table
+from .base import components, cut, in_batches, packed, table
 
 #: Chance that banding misses a pair just at the threshold.
 MISS = 1e-6
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     [part.column(0), *_signed(text, k, bands, rows)], ["doc_id", "n", "key", "bands"]
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, key binary, bands array<bigint>")
+    return in_batches(docs).mapInArrow(run, "doc_id bigint, n bigint, key binary, bands array<bigint>")
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
@@ -138,7 +138,7 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
                     ["rep", "n", "items"],
                 )
 
-    return docs.mapInArrow(run, "rep bigint, n bigint, items array<bigint>")
+    return in_batches(docs).mapInArrow(run, "rep bigint, n bigint, items array<bigint>")
 
 
 def _possible(x: str, y: str, percent: int):

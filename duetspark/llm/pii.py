@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import fresh, table
+from .base import fresh, in_batches, table
 from .crf import BiLstmCrf
 
 KINDS = ("email", "ip", "card", "phone")
@@ -295,7 +295,7 @@ def scan(docs: DataFrame, text_col: str = "text", model: BiLstmCrf | None = None
                 rows.append((_joined(flat), _joined(flat + more), *[len(base[k]) for k in KINDS]))
         return pd.DataFrame(rows, columns=["base", "spans", *[f"n_{k}" for k in KINDS]])
 
-    return docs.withColumn(fresh(docs, "pii"), F.pandas_udf(run, _FOUND)(F.col(text_col)))
+    return in_batches(docs).withColumn(fresh(docs, "pii"), F.pandas_udf(run, _FOUND)(F.col(text_col)))
 
 
 def redact(docs: DataFrame, text_col: str = "text", model: BiLstmCrf | None = None) -> DataFrame:
@@ -317,7 +317,7 @@ def redact(docs: DataFrame, text_col: str = "text", model: BiLstmCrf | None = No
                 out.append(t if not spans else "".join([*pieces, t[done:]]))
         return pd.Series(out, dtype=object)
 
-    return docs.withColumn(text_col, F.pandas_udf(run, "string")(F.col(text_col)))
+    return in_batches(docs).withColumn(text_col, F.pandas_udf(run, "string")(F.col(text_col)))
 
 
 def op4_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import fresh, table
+from .base import fresh, in_batches, table
 from .lang_id import held_out
 
 #: Bound of the labelled sample, hashed terms, latent dimensions, voting neighbours.
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             t = [terms(x) for x in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "ks": [list(x) for x in t], "vs": [list(x.values()) for x in t]})
 
-    got = rows.mapInPandas(run, "doc_id bigint, quality int, ks array<int>, vs array<double>")
+    got = in_batches(rows).mapInPandas(run, "doc_id bigint, quality int, ks array<int>, vs array<double>")
     got = sorted(got.collect(), key=lambda r: (r["doc_id"], r["quality"]))[:sample]
     x = np.zeros((len(got), TERMS), np.float32)
     for row, r in zip(x, got, strict=True):
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(text: pd.Series) -> pd.Series:
         return pd.Series(model.scores(text.tolist()))
 
-    return docs.withColumn(fresh(docs, "quality_score"), F.pandas_udf(run, "double")(F.col(text_col)))
+    return in_batches(docs).withColumn(fresh(docs, "quality_score"), F.pandas_udf(run, "double")(F.col(text_col)))
 
 
 def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
