@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from duetspark.llm import decontam, lang_id, licenses, pii, quality
 from duetspark.llm.crf import BiLstmCrf
@@ -45,6 +46,17 @@ def test_language_odd_rows(spark, model):
     assert lang_id.fit(df) == {} and [r[0] for r in lang_id.identify(df, {}).select("lang_id_.lang_pred").distinct().collect()] == ["und"]
 
 
+def test_language_of_long_texts(spark, model):
+    d = spark.read.parquet(f"{SF}/documents.parquet").where(lang_id.held_out() & (F.length("text") > 500)).orderBy("doc_id").collect()
+    long = []
+    for lang in model:
+        joined = " ".join(r["text"] for r in d if r["lang"] == lang)
+        long += [(lang, (joined * (n // len(joined) + 1))[:n]) for n in (3_000, 100_000, 1_000_000)]
+    got = lang_id.identify(spark.createDataFrame(long, "lang string, text string"), model).select("lang", "lang_id.*").collect()
+    assert len(got) == 3 * len(model) == 12
+    assert all(r["lang_pred"] == r["lang"] and not r["rejected"] and r["margin"] > 0.05 for r in got)
+
+
 def test_language_folds_are_kept_apart(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").where(lang_id.held_out())
     assert lang_id.fit(d) == {}
