@@ -52,6 +52,42 @@ def test_cubic_is_exact_on_cubics():
     assert np.allclose(align.not_a_knot(x[:3], f(x[:3]), np.array([0.5])), np.interp(0.5, x[:3], f(x[:3])))
 
 
+def test_cubic_in_chunks_as_whole(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    # evenly spread, crowded into one bin with lone samples at both ends, five samples
+    times = {"a": rng.uniform(0, 100, 300), "b": np.concatenate([[0, 99.9], rng.uniform(40, 42, 250)]), "c": [0, 20, 55, 70, 100], "d": [0, 30, 100], "e": [50]}
+    made = {k: [(x, rng.standard_normal()) for x in sorted(t)] for k, t in times.items()}
+    df = signals(spark, **made).withColumn("dyad_id", F.when(F.col("modality") == "e", "e").otherwise("d"))
+    df = df.union(df.where("modality = 'e'").withColumns({"modality": F.lit("f")})).union(spark.createDataFrame([("e", "f", "v", 60.0, 1.0), ("e", "e", "v", 60.0, N)], SIGNALS))
+    for rows in (5, 40):
+        monkeypatch.setattr(align, "SPLINE_ROWS", rows)
+        got = align.align(df, 3.0, "cubic").collect()
+        for k, tv in made.items():
+            here = sorted((r for r in got if r["modality"] == k), key=lambda r: r["idx"])
+            want = align.not_a_knot(*map(np.array, zip(*tv, strict=True)), np.array([r["t"] for r in here]))
+            assert [r["idx"] for r in here] == list(range(len(here))) and len(here) > 20
+            assert np.allclose([np.nan if r["value"] is None else r["value"] for r in here], want, rtol=1e-7, atol=1e-9, equal_nan=True), (rows, k)
+
+
+def test_cubic_tasks_hold_chunks_only(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = signals(spark, a=[(x, rng.standard_normal()) for x in np.sort(rng.uniform(0, 100, 400))], b=[(0, 1), (100, 2)])
+    monkeypatch.setattr(align, "SPLINE_ROWS", 50)
+    reduce, evaluate = align._reduce, align._evaluate
+
+    def few(key, pdf):
+        assert len(pdf) <= 100
+        return reduce(key, pdf)
+
+    def short(key, points, known):
+        assert len(points) <= 50 and len(known) <= 100
+        return evaluate(key, points, known)
+
+    monkeypatch.setattr(align, "_reduce", few)
+    monkeypatch.setattr(align, "_evaluate", short)
+    assert len(values(align.align(df, 10.0, "cubic"))) == len(values(align.align(df, 10.0, "linear")))
+
+
 def test_few_samples_and_ranges(spark):
     got = align.align(signals(spark, a=[(0, N), (1, 3), (5, N)], b=[(0, 0), (2, 2), (3, N), (5, N)]), 1.0)
     assert values(got) == [N] * 6 and values(got, "b") == [0, 1, 2, N, N, N]
