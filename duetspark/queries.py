@@ -495,8 +495,7 @@ def prediction(spark, sf_dir):
 
 @query()
 def cross_modal_prediction(spark, sf_dir):
-    few = series(spark, sf_dir).where(F.col("dyad_id") == "d0")
-    return predict.cross_modal(few, 40, folds=3)[1]
+    return predict.cross_modal(series(spark, sf_dir), 40, folds=3)[1]
 
 
 # ---- reports and viewer ----
