@@ -120,15 +120,67 @@ class BiLstmCrf:
                     self.p[k] = (self.p[k] - rate * (0.5**epoch if epoch else 1) * hat).astype(np.float32)
         return float(np.mean(losses))
 
+    def scores(self, idx: np.ndarray) -> np.ndarray:
+        """(time, batch, tag): the emissions again, without what training needs and several times faster."""
+        p, n, (batch, time) = self.p, self.hidden, idx.shape
+        half = np.repeat(np.array([0.5, 1], np.float32), [3 * n, n])  # a gate is half a hyperbolic tangent of half its input, and a half
+        out = np.empty((2, time, batch, n), np.float32)
+        for d in (0, 1):
+            of_symbol, of_state = (p["x"][d] + p["b"][d]) * half, p["h"][d] * half
+            order = range(time) if d == 0 else range(time - 1, -1, -1)
+            h, c = np.zeros((batch, n), np.float32), np.zeros((batch, n), np.float32)
+            z, x = np.empty((batch, 4 * n), np.float32), np.empty((batch, 4 * n), np.float32)
+            gate, new = np.empty((batch, 3 * n), np.float32), np.empty((batch, n), np.float32)
+            for t in order:
+                np.take(of_symbol, idx[:, t], axis=0, out=x, mode="clip")
+                np.matmul(h, of_state, out=z)
+                z += x
+                np.tanh(z, out=z)
+                np.add(z[:, : 3 * n], 1, out=gate)
+                gate *= 0.5
+                np.multiply(gate[:, :n], z[:, 3 * n :], out=new)
+                c *= gate[:, n : 2 * n]
+                c += new
+                np.tanh(c, out=new)
+                h = out[d, t]
+                np.multiply(gate[:, 2 * n :], new, out=h)
+        return out[0] @ p["out"][:n] + out[1] @ p["out"][n:] + p["c"]
+
     def decode(self, e: np.ndarray) -> np.ndarray:
         """The best tags for emissions (time, tag)."""
-        trans = self.p["trans"]
-        score, back = e[0], []
-        for row in e[1:]:
-            total = score[:, None] + trans
-            back.append(total.argmax(0))
-            score = total.max(0) + row
-        tags = [int(score.argmax())]
-        for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
-        return np.array(tags[::-1])
+        return self.best(e[:, None])[0]
+
+    def best(self, e: np.ndarray) -> np.ndarray:
+        """(batch, time): the best tags for emissions (time, batch, tag), all sequences at once."""
+        trans, (time, batch, k) = self.p["trans"], e.shape
+        score, back = e[0], np.empty((time, batch, k), np.uint8)
+        for t in range(1, time):
+            total = score[:, :, None] + trans
+            back[t] = total.argmax(1)
+            score = total.max(1) + e[t]
+        tags, rows = np.empty((batch, time), np.uint8), np.arange(batch)
+        tags[:, -1] = score.argmax(1)
+        for t in range(time - 1, 0, -1):
+            tags[:, t - 1] = back[t, rows, tags[:, t]]
+        return tags
+
+    def tag(self, idx: np.ndarray) -> np.ndarray:
+        """(batch, time): the best tags of symbol numbers.
+
+        A run of other tags than 0 gains at most what each of its characters gains with the best
+        transition between such tags, and the best transitions into and out of the run. Sequences in
+        which no run can gain are 0 throughout and need no search; ``best`` gives the same for them.
+        """
+        e, trans = self.scores(idx), self.p["trans"] - self.p["trans"][0, 0]
+        within, into, out = float(trans[1:, 1:].max()), float(trans[0, 1:].max()), float(trans[1:, 0].max())
+        sums = np.cumsum(e[:, :, 1:].max(2) - e[:, :, 0] + within, axis=0, dtype=np.float64)
+        before = np.zeros_like(sums)
+        np.minimum.accumulate(sums[:-1], axis=0, out=before[1:])
+        np.minimum(before, 0, out=before)
+        inside, at_start = (sums - before).max(0) + into + out, sums.max(0) + out
+        at_end, whole = sums[-1] - before.min(0) + into, sums[-1]
+        open_ = np.maximum(np.maximum(inside, at_start), np.maximum(at_end, whole)) - within > -1e-3
+        tags = np.zeros(idx.shape, np.uint8)
+        if open_.any():
+            tags[open_] = self.best(e[:, open_])
+        return tags

@@ -15,10 +15,12 @@ from .base import fresh, in_batches, table
 from .crf import BiLstmCrf
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters in a window, distance of windows, windows in a batch.
-WINDOW, STRIDE, BATCH = 96, 48, 128
-#: Labelled texts that the network is trained on, and passes over them.
-EXAMPLES, EPOCHS = 1_600, 4
+#: Characters in a window, those that it shares with the next, windows in a batch.
+WINDOW, OVERLAP, BATCH = 256, 64, 512
+#: Windows at the end of a text are padded to a multiple of this.
+ROUND = 32
+#: Labelled texts that the network is trained on, their length, and passes over them.
+EXAMPLES, LENGTH, EPOCHS = 1_800, 96, 5
 
 # Runs start where no digit stands before and give nothing back: equal to the plain patterns'
 # leftmost matches, but linear in the text.
@@ -27,7 +29,6 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_TRIGGER = re.compile(r"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -76,13 +77,17 @@ def _digits(s: str) -> str:
 # ---- the network: symbols, tags, labelled texts ----
 
 _PLAIN = "abcdefghijklmnopqrstuvwxyz@.-+()_% \n\"'=:/,;#[]"
-_SYMBOL = {c: i + 3 for i, c in enumerate(_PLAIN)}  # 0 pads, 1 is any other letter or sign, 2 a digit
-SYMBOLS = len(_PLAIN) + 3
+SYMBOLS = len(_PLAIN) + 3  # 0 pads, 1 is any other letter or sign, 2 a digit
 TAGS = 1 + 2 * len(KINDS)  # outside; first and further characters of each kind
+_OF_ASCII = np.ones(129, np.uint8)
+for _i, _c in enumerate(_PLAIN):
+    _OF_ASCII[[ord(_c), ord(_c.upper())]] = _i + 3
+_OF_ASCII[48:58] = 2
 
 
-def symbols(text: str) -> list[int]:
-    return [_SYMBOL.get(c) or (2 if "0" <= c <= "9" else _SYMBOL.get(c.lower(), 1)) for c in text]
+def symbols(text: str) -> np.ndarray:
+    """Symbol numbers of the characters."""
+    return _OF_ASCII[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128)]
 
 
 def labelled(seed: int, count: int) -> tuple[list[str], list[list[tuple[str, int, int]]]]:
@@ -98,7 +103,8 @@ def labelled(seed: int, count: int) -> tuple[list[str], list[list[tuple[str, int
 
     def email() -> str:
         host = pick("example.com", "example.org", f"mail{num(1)}.example.com", f"{word()}.example.net", "localhost")
-        return pick(word() + "." + num(2), word() + "_" + word(), word(), word() + num(3)) .replace("é", "e") + "@" + host.replace("é", "e")
+        at = pick("@", "@", "@", " [at] ", "[at]", "(at)")
+        return pick(word() + "." + num(2), word() + "_" + word(), word(), word() + num(3)).replace("é", "e") + at + host.replace("é", "e")
 
     def ip() -> str:
         return pick(".", ".", ".", "[.]").join(str(x) for x in rng.integers(0, 256, 4))
@@ -115,13 +121,13 @@ def labelled(seed: int, count: int) -> tuple[list[str], list[list[tuple[str, int
     def other() -> str:
         hexed = "".join(pick(*"0123456789abcdef") for _ in range(rng.integers(24, 44)))
         return pick(f'token = "{hexed}"', f'token = "{hexed}"', "Version 2.0.", "version 3.", "CC BY-NC 4.0.", num(int(rng.integers(1, 9))), num(int(rng.integers(9, 16))),
-                    f"20{num(2)}-0{num(1)}-1{num(1)}", f"1{num(1)}:{num(2)}", f"{num(1)}.{num(1)}.{num(1)}", f"{num(2)},{num(2)}", f"page {num(3)}", "@" + word(), f"sk_{hexed}", f"AKIA{num(8)}{word().upper()}")
+                    f"20{num(2)}-0{num(1)}-1{num(1)}", f"1{num(1)}:{num(2)}", f"{num(1)}.{num(1)}.{num(1)}", f"{num(2)},{num(2)}", f"page {num(3)}", "@" + word(), f"({word()}) ", f"[{word()}] ", f"sk_{hexed}", f"AKIA{num(8)}{word().upper()}")
 
     makers = {"email": email, "ip": ip, "card": lambda: grouped(card(pick(15, 16, 16, 19))), "phone": phone}
     texts, spans = [], []
     for _ in range(count):
         text, own = "", []
-        while len(text) < WINDOW:
+        while len(text) < LENGTH:
             text += " ".join(word() for _ in range(rng.integers(1, 5))) + pick(" ", " ", " ", ", ", ". ", "\n", " | ", ": ")
             if rng.random() < 0.6:
                 kind = pick(*KINDS, "", "", "", "")
@@ -131,13 +137,13 @@ def labelled(seed: int, count: int) -> tuple[list[str], list[list[tuple[str, int
                 text += piece + pick(" ", " ", ", ", ".\n", "\n", "%%% ", "")
                 text += " " * (text[-1] not in " \n")
         cut = int(rng.integers(0, 24))  # windows begin and end anywhere
-        texts.append(text[cut : cut + WINDOW])
-        spans.append([(k, max(0, a - cut), min(b - cut, WINDOW)) for k, a, b in own if b > cut and a - cut < WINDOW])
+        texts.append(text[cut : cut + LENGTH])
+        spans.append([(k, max(0, a - cut), min(b - cut, LENGTH)) for k, a, b in own if b > cut and a - cut < LENGTH])
     return texts, spans
 
 
 def encoded(texts: list[str], spans: list[list[tuple[str, int, int]]]) -> tuple[np.ndarray, np.ndarray]:
-    idx, tags = np.zeros((len(texts), WINDOW), np.int64), np.zeros((len(texts), WINDOW), np.int64)
+    idx, tags = np.zeros((len(texts), LENGTH), np.int64), np.zeros((len(texts), LENGTH), np.int64)
     for i, (text, own) in enumerate(zip(texts, spans, strict=True)):
         idx[i, : len(text)] = symbols(text)
         for kind, a, b in own:
@@ -158,39 +164,19 @@ def trained(seed: int = 11, examples: int = EXAMPLES, epochs: int = EPOCHS) -> B
 # ---- decoding whole texts ----
 
 
-def windows(text: str) -> list[int]:
-    """Starts of the overlapping windows over a whole text that hold a digit or an @.
-
-    No kind is without one of these, so all other windows are outside by definition.
-    """
-    starts: list[int] = []
-    for m in _TRIGGER.finditer(text):
-        last = m.start() // STRIDE
-        for w in range(max(0, last - WINDOW // STRIDE + 1), last + 1):
-            if not starts or w * STRIDE > starts[-1]:
-                starts.append(w * STRIDE)
-    return starts
-
-
-def _regions(starts: list[int]) -> list[list[int]]:
-    """Runs of windows that overlap."""
-    out: list[list[int]] = []
-    for s in starts:
-        if out and s < out[-1][-1] + WINDOW:
-            out[-1].append(s)
-        else:
-            out.append([s])
-    return out
-
-
-_NEAR = 1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32)  # weight by distance to the edges
+def windows(size: int) -> list[tuple[int, int, int]]:
+    """(start, from, to) of the windows over a text of ``size`` characters: each overlaps the next
+    by OVERLAP, and its tags hold between ``from`` and ``to``, the middles of its overlaps."""
+    starts = range(0, max(size - OVERLAP, 1), WINDOW - OVERLAP) if size else ()
+    half = OVERLAP // 2
+    return [(s, s + half if s else 0, s + WINDOW - half if s + WINDOW < size else size) for s in starts]
 
 
 def _plausible(kind: str, piece: str) -> bool:
     """What an added span must hold at least."""
     d = _digits(piece)
     if kind == "email":
-        return 0 < piece.find("@") < len(piece) - 1 and " " not in piece and piece.count("@") == 1
+        return bool(re.fullmatch(r"[^\s@]+(?:@| ?[\[(]at[\])] ?)[^\s@]+", piece))
     if kind == "ip":
         parts = re.findall("[0-9]+", piece)
         return len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts) and not re.search("[^0-9.\\[\\]]", piece)
@@ -199,57 +185,44 @@ def _plausible(kind: str, piece: str) -> bool:
     return 10 <= len(d) <= 15 and bool(re.search("[ ()-]", piece)) and not re.search("[^0-9 ().+-]", piece)
 
 
-def added_spans(model: BiLstmCrf, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """The network's spans of each text.
+def tags_of(model: BiLstmCrf, texts: list[str]) -> list[np.ndarray]:
+    """A tag for every character of every text.
 
-    All windows of all texts go through the network in batches. Where windows overlap their
-    emissions are averaged, weighted by the distance to the window's edges, and each region is
-    decoded as one sequence, so a span that crosses windows is found whole.
+    All windows go through the network, in batches of equal length. Each is decoded by itself; where
+    two overlap, either half of the overlap has the tags of the window that sees more around it,
+    so a span that crosses windows is put together from both.
     """
-    jobs = [(i, s) for i, text in enumerate(texts) for s in windows(text)]
-    emitted: dict[tuple[int, int], np.ndarray] = {}
-    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-
-    def finish(upto: int) -> None:
-        by_text: dict[int, list[int]] = {}
-        for i, s in emitted:
-            by_text.setdefault(i, []).append(s)
-        for i, starts in by_text.items():
-            if i < upto:
-                for region in _regions(starts):
-                    out[i] += _decode(model, texts[i], region, [emitted.pop((i, s)) for s in region])
-
-    for at in range(0, len(jobs), BATCH):
-        part = jobs[at : at + BATCH]
-        idx = np.zeros((len(part), WINDOW), np.int64)
-        for row, (i, s) in zip(idx, part, strict=True):
-            piece = texts[i][s : s + WINDOW]
-            row[: len(piece)] = symbols(piece)
-        for job, e in zip(part, model.emissions(idx), strict=True):
-            emitted[job] = e
-        finish(part[-1][0])
-    finish(len(texts))
+    known = [symbols(t) for t in texts]
+    out = [np.zeros(len(x), np.uint8) for x in known]
+    jobs: dict[int, list[tuple[int, int, int, int]]] = {}
+    for i, x in enumerate(known):
+        for s, lo, hi in windows(len(x)):
+            jobs.setdefault(-(-min(WINDOW, len(x) - s) // ROUND) * ROUND, []).append((i, s, lo, hi))
+    for width, own in jobs.items():
+        for at in range(0, len(own), BATCH):
+            part = own[at : at + BATCH]
+            idx = np.zeros((len(part), width), np.uint8)
+            for row, (i, s, _, _) in zip(idx, part, strict=True):
+                piece = known[i][s : s + width]
+                row[: len(piece)] = piece
+            for row, (i, s, lo, hi) in zip(model.tag(idx), part, strict=True):
+                out[i][lo:hi] = row[lo - s : hi - s]
     return out
 
 
-def _decode(model: BiLstmCrf, text: str, starts: list[int], emissions: list[np.ndarray]) -> list[tuple[str, int, int]]:
-    first, n = starts[0], min(starts[-1] + WINDOW, len(text)) - starts[0]
-    total, weight = np.zeros((n, TAGS), np.float32), np.zeros((n, 1), np.float32)
-    for s, e in zip(starts, emissions, strict=True):
-        m = min(WINDOW, len(text) - s)
-        total[s - first : s - first + m] += e[:m] * _NEAR[:m, None]
-        weight[s - first : s - first + m, 0] += _NEAR[:m]
-    tags = model.decode(total / weight)
-    out, at = [], 0
-    while at < n:
-        if tags[at] % 2 == 1:
-            end = at + 1
-            while end < n and tags[end] == tags[at] + 1:
-                end += 1
-            out.append((KINDS[(tags[at] - 1) // 2], first + at, first + end))
-            at = end
-        else:
-            at += 1
+def added_spans(model: BiLstmCrf, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+    """The network's spans of each text: a first character of a kind and the further ones after it."""
+    out = []
+    for tags in tags_of(model, texts):
+        first = np.flatnonzero(tags % 2)
+        ends = np.flatnonzero(np.diff(tags, append=0) != 0) + 1  # of runs of equal tags
+        own = []
+        for a in first.tolist():
+            end = a + 1
+            if end < len(tags) and tags[end] == tags[a] + 1:
+                end = int(ends[np.searchsorted(ends, end, "right")])
+            own.append((KINDS[(tags[a] - 1) // 2], a, end))
+        out.append(own)
     return out
 
 
@@ -259,11 +232,10 @@ def find(model: BiLstmCrf, texts: list[str | None]) -> list[tuple[dict[str, list
     out = []
     for text, more in zip(known, added_spans(model, known), strict=True):
         base = base_spans(text)
-        taken = [s for spans in base.values() for s in spans]
-        kept = []
-        for kind, a, b in more:
-            if _plausible(kind, text[a:b]) and not any(a < d and c < b for c, d in taken):
-                kept.append((kind, a, b))
+        taken = np.zeros(len(text) if more else 0, bool)
+        for a, b in (s for spans in base.values() for s in spans if more):
+            taken[a:b] = True
+        kept = [(kind, a, b) for kind, a, b in more if _plausible(kind, text[a:b]) and not taken[a:b].any()]
         out.append((base, kept))
     return out
 

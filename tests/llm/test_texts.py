@@ -151,15 +151,40 @@ def test_network_finds_looser_forms_and_leaves_other_numbers():
     assert found(far) == [("phone", 25005, 25019)]
 
 
-def test_windows_cover_every_trigger():
-    rng = random.Random(1)
-    for _ in range(200):
-        text = "".join(rng.choice("ab1@ " + " " * 30) for _ in range(rng.randrange(1, 400)))
-        starts = pii.windows(text)
-        assert starts == sorted(set(starts))
-        for i, c in enumerate(text):
-            if c in "1@":
-                assert [s for s in range(0, i + 1, pii.STRIDE) if s <= i < s + pii.WINDOW] == [s for s in starts if s <= i < s + pii.WINDOW]
+def test_windows_cover_every_character_once():
+    for n in (0, 1, 31, 64, 65, 255, 256, 257, 448, 449, 5000):
+        got = pii.windows(n)
+        assert [i for _, lo, hi in got for i in range(lo, hi)] == list(range(n))
+        assert all(s <= lo and hi <= s + pii.WINDOW for s, lo, hi in got)
+
+
+def test_spans_as_by_decoding_every_window_alone():
+    m, rng = pii.trained(), random.Random(4)
+    made = pii.labelled(8, 60)[0]
+    texts = ["", "x", " ".join(made), " ".join(rng.choice(made)[:40] + " plain words without any sign " * rng.randrange(9) for _ in range(80))]
+    for text, tags, spans in zip(texts, pii.tags_of(m, texts), pii.added_spans(m, texts), strict=True):
+        want = []
+        for s, lo, hi in pii.windows(len(text)):
+            piece = pii.symbols(text)[s : s + pii.WINDOW]
+            padded = np.concatenate([piece, np.zeros(-len(piece) % pii.ROUND, np.uint8)])
+            want += m.decode(m.emissions(padded[None])[0])[lo - s : hi - s].tolist()
+        assert tags.tolist() == want
+        by_hand, at = [], 0
+        while at < len(want):
+            end = at + 1
+            if want[at] % 2:
+                while end < len(want) and want[end] == want[at] + 1:
+                    end += 1
+                by_hand.append((pii.KINDS[(want[at] - 1) // 2], at, end))
+            at = end
+        assert spans == by_hand
+    assert sum(len(x) for x in pii.added_spans(m, texts)) > 30
+
+
+def test_words_for_at_are_found_without_digits_or_at_signs():
+    m = pii.trained()
+    assert pii.find(m, ["write to john_doe [at] example.com please"])[0][1] == [("email", 9, 34)]
+    assert pii.find(m, ["meet (at) noon at the [office] today"])[0][1] == []
 
 
 def test_personal_data_rows(spark):
