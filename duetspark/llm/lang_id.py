@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 
 from .base import fresh, in_batches, table
 
-#: Bounds of the fitted sample: labelled documents a language, characters of each, dictionary bytes.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 128, 2048, 110_000
-LEVEL, SHORT_LEVEL = 5, 19
+#: The fitted sample: passages a language, from anywhere in its documents, and characters of a passage.
+PASSAGES, PASSAGE = 192, 512
+#: Compression levels, the second for texts that the first leaves undecided.
+LEVEL, SECOND_LEVEL = 5, 12
 #: Relative gain over the second language below which a document is rejected.
 MARGIN = 0.02
 #: Bytes of letters compressed at a time: a longer text would soon be its own dictionary, and the margin would shrink.
 PIECE = 4096
-#: Bytes of letters under which a narrow margin says nothing and rejects nothing.
-SHORT = 64
 UND = "und"
 
 _SEPARATORS = re.compile(r"[\W\d_]+")
@@ -35,31 +34,34 @@ def held_out(id_col: str = "doc_id") -> Column:
 def plain(text: str | None) -> bytes:
     """Lower-cased runs of letters between single spaces; empty without letters."""
     words = _SEPARATORS.sub(" ", (text or "").lower()).strip()
+    if not words.replace(" ", "").isalpha():  # fractions, circled and Roman numerals are no letters either
+        words = " ".join("".join(c if c.isalpha() else " " for c in words).split())
     return f" {words} ".encode() if words else b""
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A raw-content dictionary for each language, the most frequent language first.
 
-    Fitted on at most SAMPLE_DOCS documents a language (the least hashes of their ids among
-    those with a language that aren't held out), SAMPLE_CHARS characters of each and
-    DICT_BYTES in all: a bounded sample, which is all that reaches the driver.
+    Whole texts with a language that aren't held out are cut into passages of PASSAGE characters;
+    a language's dictionary is made of the PASSAGES of them with the least hashes of document and
+    number, a bounded sample from everywhere in the texts, which is all that reaches the driver.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    sample = (
-        rows.select("id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        .withColumn("at", F.row_number().over(order))
-        .where(F.col("at") <= SAMPLE_DOCS)
-        .orderBy("lang", "at")
-        .collect()
-    )
+    passages = F.sum(F.ceil(F.length("text") / PASSAGE)).alias("passages")
+    counts = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), passages).collect()}
+    if not counts:
+        return {}
+    # twice as many as are wanted pass a bound on the hash, so that few have to be put in order
+    chance = F.create_map(*[F.lit(x) for lang, r in counts.items() for x in (lang, min(1.0, 2 * PASSAGES / r["passages"]))])
+    parts = rows.select("id", "lang", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % PASSAGE), F.lit(0))).alias("k", "text"))
+    parts = parts.withColumn("h", F.xxhash64("id", "k")).where(F.shiftrightunsigned("h", 11) / 2.0**53 <= chance[F.col("lang")])
+    order = Window.partitionBy("lang").orderBy("h", "id", "k", "text")
+    sample = parts.withColumn("at", F.row_number().over(order)).where(F.col("at") <= PASSAGES).orderBy("lang", "at").collect()
     out: dict[str, bytes] = {}
-    for lang in sorted(counts, key=lambda x: (-counts[x], x)):
-        out[lang] = b"".join(plain(r["text"]) for r in sample if r["lang"] == lang)[:DICT_BYTES]
+    for lang in sorted(counts, key=lambda x: (-counts[x]["n"], x)):
+        out[lang] = b"".join(dict.fromkeys(plain(r["text"]) for r in sample if r["lang"] == lang))
     return out
 
 
@@ -68,7 +70,7 @@ class Classifier:
 
     def __init__(self, model: dict[str, bytes], margin: float):
         self.langs, self.margin, self.by_level = list(model), margin, {}
-        for level in (LEVEL, SHORT_LEVEL):
+        for level in (LEVEL, SECOND_LEVEL):
             self.by_level[level] = []
             for data in model.values():
                 d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -90,12 +92,13 @@ class Classifier:
             return UND, 0.0, 0.0, True
         if len(self.langs) == 1:
             return self.langs[0], 1.0, 1.0, False
-        size = self.sizes(data, LEVEL)
-        if np.sum(size == size.min()) > 1:
-            size = self.sizes(data, SHORT_LEVEL)
-        first, second = np.argsort(size, kind="stable")[:2]
-        margin = float((size[second] - size[first]) / size[second])
-        return self.langs[first], min(1.0, 0.5 + 5 * margin), margin, margin < self.margin and len(data) >= SHORT
+        for level in (LEVEL, SECOND_LEVEL):
+            size = self.sizes(data, level)
+            first, second = np.argsort(size, kind="stable")[:2]
+            margin = float((size[second] - size[first]) / size[second])
+            if margin >= self.margin:
+                break
+        return self.langs[first], min(1.0, 0.5 + 5 * margin), margin, margin < self.margin
 
 
 def classify(model: dict[str, bytes], margin: float = MARGIN):
@@ -115,10 +118,10 @@ def identify(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN, t
 
     Each whole text is lower-cased, reduced to its letters and compressed with each dictionary
     in pieces of PIECE bytes, whose sizes add up, so that length doesn't narrow the margin;
-    the smallest sum wins, and where sizes tie, a stronger level decides, then the language with more
-    training documents. score is a half for a tie and rises with the margin, the relative gain
-    over the second; margins under ``margin`` are rejected in texts with SHORT bytes of letters or
-    more (a few words may tie in clean text). Null texts and texts without letters
+    the smallest sum wins. Where its margin, the relative gain over the second, is under ``margin``,
+    a stronger level decides; under it again, the document is rejected, whatever its length, and of
+    equal sums the language with more training documents is named. score is a half for a tie and
+    rises with the margin. Null texts and texts without letters
     are ``und`` with score 0, and rejected. Rows are judged one by one: repeated rows get equal
     results, an empty table gives an empty one, and other columns pass through (the new column's
     name gets underscores while it is taken). Without any labelled row everything is ``und``.

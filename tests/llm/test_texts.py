@@ -46,6 +46,47 @@ def test_language_odd_rows(spark, model):
     assert lang_id.fit(df) == {} and [r[0] for r in lang_id.identify(df, {}).select("lang_id_.lang_pred").distinct().collect()] == ["und"]
 
 
+def test_languages_as_by_compressing_plainly(spark, model):
+    import zstandard
+
+    def size(data, dictionary, level):
+        d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        c = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(c.compress(data[k : k + lang_id.PIECE])) for k in range(0, len(data), lang_id.PIECE))
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(150).collect()
+    rows = [(r["doc_id"], r["text"]) for r in rows] + [(10**7, "Die tz."), (10**7 + 1, "A"), (10**7 + 2, "ja " * 4000)]
+    got = {r["doc_id"]: r for r in lang_id.identify(docs(spark, rows), model).select("doc_id", "lang_id_.*").collect()}
+    for i, text in rows:
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        r = got[i]
+        if not letters:
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        data = (" " + " ".join(letters) + " ").encode()
+        for level in (lang_id.LEVEL, lang_id.SECOND_LEVEL):
+            sizes = sorted((size(data, d, level), at, lang) for at, (lang, d) in enumerate(model.items()))
+            margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+            if margin >= lang_id.MARGIN:
+                break
+        assert (r["lang_pred"], r["rejected"]) == (sizes[0][2], margin < lang_id.MARGIN) and r["margin"] == pytest.approx(margin), text
+    assert got[10**7 + 1]["rejected"]
+
+
+def test_numbers_that_are_no_letters(spark, model):
+    odd = ["½ ² ①", "Ⅷ", "٣ 4 _", "½ the and of that is for with"]
+    got = lang_id.identify(docs(spark, list(enumerate(odd))), model).orderBy("doc_id").select("lang_id_.*").collect()
+    assert [r["lang_pred"] for r in got] == ["und", "und", "und", "en"] and all(r["score"] == 0 for r in got[:3])
+
+
+def test_passages_come_from_whole_texts(spark):
+    text = " ".join(f"w{chr(97 + i // 676 % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(9000))
+    got = lang_id.fit(docs(spark, [(1, text)]).withColumn("lang", F.lit("x")))["x"].decode()
+    places = [text.index(w) / len(text) for w in got.split()[5::40]]
+    assert len(got) <= lang_id.PASSAGES * (lang_id.PASSAGE + 2) and min(places) < 0.1 and max(places) > 0.9
+
+
 def test_language_of_long_texts(spark, model):
     d = spark.read.parquet(f"{SF}/documents.parquet").where(lang_id.held_out() & (F.length("text") > 500)).orderBy("doc_id").collect()
     long = []
