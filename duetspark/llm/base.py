@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of small rows that an operator broadcasts; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
-
+#: Largest sum of the widths of rows that may be long.
+BROADCAST_BYTES = 64 << 20
 
 #: Rows and bytes of an Arrow batch that Spark has unless told, and those for texts, which may be
 #: long and are held by the JVM and by Python.
@@ -33,15 +34,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; only where none is set
-    (tests on one machine) a temporary one."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Only on one machine, as in
+    tests, a temporary one does where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    if not named and sc.getCheckpointDir() is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
     return named or sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this run has written, wherever it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's checkpoint folder and read it back without its lineage."""
     shared_folder(df.sparkSession)
@@ -56,9 +65,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; its rows must be short."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, width: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, and their ``width`` (where rows
+    may be long) adds up to BROADCAST_BYTES at most; otherwise ``df`` as it is, for a shuffled join."""
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.lit(0) if width is None else width).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
 def packed(df: DataFrame, rows: int = 100_000) -> DataFrame:
