@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import PAIR
 from .normalize import hann
@@ -13,6 +15,8 @@ from .reuse import reuse
 
 #: Surrogates that one task draws for one pair at a time.
 BLOCK = 50
+#: Samples of a series in a chunk of its cross-correlation.
+CCF_CHUNK = 4096
 _SIDES = ["mod_a", "feat_a", "mod_b", "feat_b"]
 
 
@@ -46,11 +50,19 @@ def drift(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return rows.groupBy(*(keys or PAIR)).agg(flat("x").alias("drift_x"), flat("y").alias("drift_y"))
 
 
+def _correlate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of x[i] * y[i + k] for each k that keeps x inside y; by Fourier transforms where that is less work."""
+    if len(x) * (len(y) - len(x) + 1) < 1 << 20:
+        return np.correlate(y, x, "valid")
+    size = 1 << (len(y) - 1).bit_length()
+    return np.fft.irfft(np.fft.rfft(y, size) * np.conj(np.fft.rfft(x, size)), size)[: len(y) - len(x) + 1]
+
+
 def ccf(rows: DataFrame, keys: list[str] | None = None, taper: bool = True) -> DataFrame:
     """(keys, lag, ccf) for lags -lags to lags of ``trimmed`` rows; negative: x leads.
 
-    Each x sample meets y at every lag through an equi-join on the position, so a pair costs its
-    length times its lags, dealt by pair and position, and sums are combined before the shuffle.
+    Pairs are dealt in chunks of CCF_CHUNK samples of x (more if there are more lags), each with the
+    samples of y within its lags, so no row is sent once for each lag; a chunk gives a sum for each lag.
     """
     keys = keys or PAIR
     aggs = []
@@ -62,15 +74,42 @@ def ccf(rows: DataFrame, keys: list[str] | None = None, taper: bool = True) -> D
     lines = rows.groupBy(*keys).agg(F.avg("idx").alias("mi"), *aggs)
     w = hann(F.col("idx"), F.col("n")) if taper else F.lit(1.0)
     flat = lambda c: (F.col(c) - F.col(f"m{c}") - F.col(f"s{c}") * (F.col("idx") - F.col("mi"))) * w
-    scaled = reuse(rows.join(lines, keys).select(
-        *keys, "idx", "lags", flat("x").alias("x"), flat("y").alias("y"),
-        F.when(F.col("nx") * F.col("ny") > 0, F.col("nx") * F.col("ny")).otherwise(1.0).alias("norm"),
-    ))
-    left = scaled.select(*keys, "x", "norm", F.col("idx").alias("i"), F.explode(F.sequence(-F.col("lags"), F.col("lags"))).alias("lag"))
-    right = scaled.select(*keys, F.col("idx").alias("j"), "y")
-    # lags that run over an end still count, with less to sum
-    met = left.withColumn("j", F.col("i") - F.col("lag")).join(right, [*keys, "j"])
-    return met.groupBy(*keys, "lag").agg((F.sum(F.col("x") * F.col("y")) / F.first("norm")).alias("ccf"))
+    norm = F.when(F.col("nx") * F.col("ny") > 0, F.col("nx") * F.col("ny")).otherwise(1.0)
+    scaled = rows.join(lines, keys).select(*keys, "idx", "n", "lags", flat("x").alias("x"), flat("y").alias("y"), norm.alias("norm"))
+    size = F.greatest(F.lit(CCF_CHUNK), F.col("lags"))
+    place = lambda at: F.floor(at / size).cast("bigint")
+    near = F.sequence(place(F.greatest(F.col("idx") - F.col("lags"), F.lit(0))), place(F.least(F.col("idx") + F.col("lags"), F.col("n") - 1)))
+    dealt = scaled.withColumn("chunk", F.explode(near)).withColumn("from", F.col("chunk") * size)
+    own = F.when(place(F.col("idx")) == F.col("chunk"), F.col("x"))
+    chunks = dealt.groupBy(*keys, "chunk", "from", "lags", "norm").agg(F.collect_list(F.struct((F.col("idx") - F.col("from")).alias("at"), own.alias("x"), "y")).alias("s"))
+    width = len(keys)
+
+    def run(batches):
+        for batch in batches:
+            lags, lists = np.asarray(batch.column("lags")), batch.column("s")
+            took, lag, part = [], [], []
+            for r in range(batch.num_rows):
+                s, m = lists[r].values, int(lags[r])
+                at, x, y = (s.field(c).to_numpy(zero_copy_only=False) for c in ("at", "x", "y"))
+                held = ~np.isnan(x)
+                if not held.any():
+                    continue
+                end = int(at[held].max()) + 1
+                dense, other = np.zeros(end), np.zeros(end + 2 * m)
+                dense[at[held]] = x[held]
+                inside = (at >= -m) & (at < end + m)
+                other[at[inside] + m] = y[inside]
+                part.append(_correlate(dense, other)[::-1])
+                lag.append(np.arange(-m, m + 1, dtype=np.int32))
+                took.append(np.full(2 * m + 1, r))
+            rows_ = np.concatenate(took) if took else np.empty(0, np.int64)
+            cols = [batch.column(k).take(pa.array(rows_)) for k in range(width)] + [batch.column("norm").take(pa.array(rows_))]
+            cols += [pa.array(np.concatenate(lag) if lag else [], pa.int32()), pa.array(np.concatenate(part) if part else [], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, [*keys, "norm", "lag", "part"])
+
+    fields = [scaled.schema[k] for k in [*keys, "norm"]] + [T.StructField("lag", T.IntegerType()), T.StructField("part", T.DoubleType())]
+    parts = chunks.select(*keys, "norm", "lags", "s").mapInArrow(run, T.StructType(fields))
+    return parts.groupBy(*keys, "lag").agg((F.sum("part") / F.first("norm")).alias("ccf"))
 
 
 def peak(curve: DataFrame, hz: float = 1.0, keys: list[str] | None = None) -> DataFrame:
@@ -163,7 +202,7 @@ def benjamini_hochberg(df: DataFrame, p: str = "p_value", by: list[str] | None =
     group = Window.partitionBy(*by)
     ranked = df.withColumn("__rank", F.row_number().over(group.orderBy(p, tie))).withColumn("__m", F.count("*").over(group))
     raw = F.least(F.lit(1.0), F.col(p) * F.col("__m") / F.col("__rank"))
-    above = group.orderBy("__rank").rowsBetween(0, Window.unboundedFollowing)
+    above = group.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
     return ranked.withColumn("__raw", raw).withColumn("p_corrected", F.min("__raw").over(above)).drop("__rank", "__m", "__raw")
 
 

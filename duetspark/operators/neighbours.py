@@ -17,18 +17,20 @@ def with_neighbours(
     or after each row in the order; rows of equal order stand by ``tie``."""
     tie = F.lit(0) if tie is None else tie
     rows = df.withColumns({"__c": chunk, "__o": order, "__i": tie, "__p": F.when(valid, payload)})
+    # both ways as running frames: one that ends at the last row would be read anew for every row
     inside = Window.partitionBy(*keys, "__c").orderBy("__o", "__i")
+    back = Window.partitionBy(*keys, "__c").orderBy(F.desc("__o"), F.desc("__i"))
     rows = rows.withColumns({
         "__prev": F.last("__p", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-        "__next": F.first("__p", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)),
+        "__next": F.last("__p", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
     })
     at = F.when(F.col("__p").isNotNull(), F.struct("__o", "__i"))
     ends = rows.groupBy(*keys, "__c").agg(F.min_by("__p", at).alias("__lo"), F.max_by("__p", at).alias("__hi"))
-    across = Window.partitionBy(*keys).orderBy("__c")
+    across, across_back = Window.partitionBy(*keys).orderBy("__c"), Window.partitionBy(*keys).orderBy(F.desc("__c"))
     ends = ends.select(
         *keys, "__c",
         F.last("__hi", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
-        F.first("__lo", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+        F.last("__lo", ignorenulls=True).over(across_back.rowsBetween(Window.unboundedPreceding, -1)).alias("__after"),
     )
     out = rows.join(ends, [*keys, "__c"])
     return out.select(

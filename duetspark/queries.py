@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import peak_sql
 from .functions import text as wording
 from .operators import align, cascade, clean, context, features, normalize, predict, quality, viewer, wcc
 from .operators.neighbours import with_neighbours
-from .schema import SERIES
+from .schema import FEATURES, SERIES
 from .streaming import epochs as stream
 
 HOURS = 720
@@ -320,22 +321,37 @@ def entropy(spark, sf_dir):
     return features.entropy(series(spark, sf_dir)).withColumns({c: rounded(c) for c in ("mean_synchrony", "synchrony_entropy")})
 
 
-@query()
+_PEAKS = CTE.replace("WITH ", "WITH RECURSIVE ", 1) + peak_sql.profiles("w", "dyad_id, pair_key")
+_CONTEXTS = CTE.replace("WITH ", "WITH RECURSIVE ", 1) + f""", pc AS (SELECT p.*, label, row_number() OVER (PARTITION BY dyad_id, label, pair_key ORDER BY p.idx) - 1 AS pos FROM p JOIN h ON p.idx >= start_sec AND p.idx < end_sec),
+vc AS (SELECT dyad_id, label, pair_key, pos AS idx, count(*) OVER r AS n, covar_pop(x, y) OVER r AS c, stddev_pop(x) OVER r * stddev_pop(y) OVER r AS s FROM pc
+      WINDOW r AS (PARTITION BY dyad_id, label, pair_key ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+wc AS (SELECT dyad_id, label, pair_key, idx, CASE WHEN s > 1e-10 THEN greatest(-1.0, least(1.0, c / s)) END AS r FROM vc WHERE n = {WINDOW})
+""" + peak_sql.profiles("wc", "dyad_id, label, pair_key")
+_HOPS = CTE.replace("WITH ", "WITH RECURSIVE ", 1) + """, hp AS (SELECT dyad_id, pair_key, CAST(j AS BIGINT) AS win, idx - j * 30 AS idx, r FROM w, range(0, 22) t(j) WHERE idx >= j * 30 AND idx < j * 30 + 60)
+""" + peak_sql.profiles("hp", "dyad_id, pair_key, win")
+_TEN = peak_sql.rounded(peak_sql.TEN)
+
+
+def _rounded_all(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumns({c: rounded(c) for c in names})
+
+
+@query(_PEAKS + f"SELECT dyad_id, pair_key, peak_index, {peak_sql.rounded(peak_sql.PEAK.split(', '))} FROM pk")
 def peaks(spark, sf_dir):
-    return features.peaks(series(spark, sf_dir))
+    return _rounded_all(features.peaks(series(spark, sf_dir)), peak_sql.PEAK.split(", "))
 
 
-@query()
+@query(_PEAKS + peak_sql.ten("dyad_id, pair_key") + f"SELECT dyad_id, pair_key, {_TEN} FROM tf")
 def features10(spark, sf_dir):
-    return features.features(series(spark, sf_dir))
+    return _rounded_all(features.features(series(spark, sf_dir)), FEATURES)
 
 
-@query()
+@query(_CONTEXTS + peak_sql.ten("dyad_id, label, pair_key") + f"SELECT dyad_id, label, pair_key, {_TEN} FROM tf")
 def features_by_context(spark, sf_dir):
-    return features.per_context(paired(spark, sf_dir), phases(spark), WINDOW)
+    return _rounded_all(features.per_context(paired(spark, sf_dir), phases(spark), WINDOW), FEATURES)
 
 
-@query()
+@query(_PEAKS + "SELECT dyad_id, pair_key, CAST(count(r) FILTER (i >= last) AS DOUBLE) AS recovery_time FROM si JOIN (SELECT dyad_id, pair_key, max(peak_index) AS last FROM pk GROUP BY ALL) USING (dyad_id, pair_key) GROUP BY dyad_id, pair_key")
 def recovery(spark, sf_dir):
     s = series(spark, sf_dir)
     return features.recovery(s, features.peaks(s))
@@ -457,9 +473,20 @@ def future_label(spark, sf_dir):
     return predict.future_labels(series(spark, sf_dir), 30)
 
 
-@query()
+@query(_HOPS + peak_sql.ten("dyad_id, pair_key, win") + f"SELECT dyad_id, pair_key, win, {_TEN} FROM tf")
 def feature_windows(spark, sf_dir):
-    return predict.feature_matrix(series(spark, sf_dir), 60)
+    return _rounded_all(predict.feature_matrix(series(spark, sf_dir), 60), FEATURES)
+
+
+_EXAMPLES = _HOPS + peak_sql.ten("dyad_id, pair_key, win") + """, lb AS (SELECT dyad_id, pair_key, win, CAST(avg(r) > 0 AS INTEGER) AS label FROM (SELECT dyad_id, pair_key, CAST(j AS BIGINT) AS win, r FROM w, range(0, 22) t(j) WHERE idx >= j * 30 + 60 AND idx < j * 30 + 120 AND j * 30 + 60 <= 711)
+  GROUP BY ALL HAVING count(r) >= 0.5 * count(*) AND count(r) > 0)
+"""
+
+
+@query(_EXAMPLES + f"SELECT dyad_id, pair_key, win, label, {', '.join(f'round(coalesce({c}, {60.0 if c in predict.DURATIONS else 0.0}), 6) + 0.0 AS {c}' for c in FEATURES)} FROM tf JOIN lb USING (dyad_id, pair_key, win) WHERE coalesce({', '.join(FEATURES)}) IS NOT NULL")
+def examples(spark, sf_dir):
+    """Labelled windows with imputed features, as cross-validation reads them."""
+    return _rounded_all(predict.examples(series(spark, sf_dir), 60), FEATURES)
 
 
 _FOLDS = CTE + """, r AS (SELECT dyad_id, modality, epoch, value, row_number() OVER (PARTITION BY dyad_id, modality ORDER BY epoch) - 1 AS k, count(*) OVER (PARTITION BY dyad_id, modality) AS n FROM m),
