@@ -70,12 +70,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
     ), 5_000)
     name = fresh(docs, "copy")
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    drawn = lambda j: F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(str(seed)), ident, j.cast("string"))))
+    draws = F.transform(F.sequence(F.lit(1), F.col("__pieces")), lambda j: uniform(F.lit(str(seed)), ident, j.cast("string")))  # each drawn once
     counted = docs.withColumn("__source", F.struct(F.coalesce(source_col, F.lit("")), F.col(source_col).isNull())).join(
         rated, "__source"
     )
-    times = F.aggregate(F.sequence(F.lit(1), F.col("__pieces")), F.lit(0), lambda acc, j: acc + drawn(j))
-    copies = counted.withColumn("__times", times).where("__times > 0").select(
+    times = F.aggregate("__draws", F.lit(0), lambda acc, u: acc + F.size(F.filter("__cdf", lambda c: c <= u)))
+    copies = counted.withColumn("__draws", draws).withColumn("__times", times).where("__times > 0").select(
         *docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias(name)
     )
     key = F.xxhash64(F.lit(seed), ident, F.col(name))

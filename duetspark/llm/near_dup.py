@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import components, cut, in_batches, packed, table
+from .base import components, cut, in_batches, packed, small, table
 
 #: Chance that banding misses a pair just at the threshold.
 MISS = 1e-6
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """(rep, n, items) of rows (doc_id, text, key) whose set has that key."""
+    """(rep, n, items) of rows (rep, text, key) whose set has that key."""
 
     def run(batches):
         for batch in batches:
@@ -161,13 +161,14 @@ def _confirmed(pairs: DataFrame, of: DataFrame, percent: int) -> DataFrame:
 
 
 def links(reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges (src, dst) between representatives (rep, key, bands) that span the same components
-    as all pairs which share a band and have the similarity."""
+    """Edges (src, dst) between representatives (rep, key, doc_id, bands) that span the same components
+    as all pairs which share a band and have the similarity. rep is a set's own number, doc_id the
+    document that has its text."""
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
     full = rows.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     inside = cut(rows.join(full.select("bucket"), "bucket"))
-    wanted = inside.select("rep").distinct().join(reps.select("rep", "key"), "rep")
-    texts = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "key")
+    wanted = inside.select("rep").distinct().join(reps.select("rep", "key", "doc_id"), "rep")
+    texts = docs.join(wanted, "doc_id").select("rep", "text", "key")
     of = cut(sets(texts, k))
     alone = (
         of.select("rep", F.explode("items").alias("item"))
@@ -315,10 +316,19 @@ def near_duplicates(
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(signatures(docs, k, percent))
     whole = signed.where("key is not null and doc_id is not null")
-    reps = cut(whole.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    copies = whole.join(reps.select("key", "rep"), "key").where("doc_id <> rep").select("doc_id", "rep")
-    edges = links(reps, docs, k, percent).union(copies)
-    found = components(edges).withColumnRenamed("v", "doc_id")
+    reps = whole.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    # sets stand for themselves by the smallest id of their texts; where an id has several sets, by a hash
+    shared = reps.groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1").select(F.col("doc_id").alias("__id"))
+    reps = reps.join(shared, F.col("doc_id") == F.col("__id"), "left")
+    rep = F.when(F.col("__id").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "key"))
+    reps = cut(reps.select("key", "doc_id", rep.alias("rep"), "bands"))
+    named = reps.where("rep <> doc_id").select("rep", F.col("doc_id").alias("named"))
+    copies = whole.join(reps.select("key", F.col("doc_id").alias("rep")), "key").where("doc_id <> rep").select("doc_id", "rep")
+    edges = links(reps.select("rep", "key", "doc_id", "bands"), docs, k, percent)
+    for end in ("src", "dst"):
+        own = small(named).withColumnRenamed("rep", "__rep")
+        edges = edges.join(own, edges[end] == F.col("__rep"), "left").withColumn(end, F.coalesce("named", end)).select("src", "dst")
+    found = components(edges.union(copies)).withColumnRenamed("v", "doc_id")
     return (
         signed.select("doc_id", F.col("n").alias("n_shingles"))
         .join(found, "doc_id", "left")

@@ -18,8 +18,8 @@ RULES = [
 ]
 #: Least share of labelled URLs that a rule's tokens and label must cover, and least confidence.
 SUPPORT, CONFIDENCE = 0.005, 0.8
-#: Most tokens on a mined rule's left side; longer ones only repeat shorter rules.
-LONGEST = 3
+#: Joins of more token combinations than are broadcast are salted by so many.
+SALT = 16
 
 
 def host_of(url: Column) -> Column:
@@ -36,7 +36,7 @@ def path_of(url: Column) -> Column:
 def stated_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """struct(rule, verdict) of the longest rule that fits, else null; of equal lengths the first."""
     best = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, own, start in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for verdict, own, start in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):  # a later one stands above
         fits = ((host == own) | host.endswith("." + own)) & path.startswith(start)
         best = F.when(fits, F.struct(F.lit(own + start).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(best)
     return best
@@ -60,36 +60,52 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     ))
 
 
+def together(rows: DataFrame) -> DataFrame:
+    """(twin, token) of tokens that are in exactly the same rows (row, tokens) as others.
+
+    ``twin`` is the least of them. A template that gives its URLs thirty tokens of its own is one
+    token to FP-growth then, not 2^30 combinations.
+    """
+    each = rows.select(F.explode("tokens").alias("token"), "row").groupBy("token").agg(
+        F.count("*").alias("n"), F.sum(F.col("row").cast("decimal(38,0)")).alias("a"), F.bit_xor("row").alias("b")
+    )
+    twins = each.groupBy("n", "a", "b").agg(F.min("token").alias("twin"), F.collect_list("token").alias("tokens"))
+    return twins.where(F.size("tokens") > 1).select("twin", F.explode("tokens").alias("token"))
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(rule_id, items, verdict, confidence) mined from (tokens, label) with label allow or block.
 
-    FP-growth counts the token combinations with their label; kept are rules whose tokens and
-    label cover ``support`` of the labelled rows and hold with ``confidence``, of at most LONGEST
-    tokens, that no rule with fewer of their tokens and the same verdict already states as surely.
+    FP-growth counts the token combinations with their label; kept are rules of any length whose
+    tokens and label cover ``support`` of the labelled rows and hold with ``confidence``, unless the
+    rule without one of the tokens has the same verdict as surely (it fits wherever the longer one
+    does). Tokens that are always together are mined as one, and a rule names all of them.
     Support bounds how many rules there can be.
     """
+    rows = cut(labelled.select(F.xxhash64("tokens", F.monotonically_increasing_id()).alias("row"), "tokens", "label"))
+    twins = cut(together(rows))
+    other = small(twins.where("token <> twin").select("token"))
+    kept = rows.select("label", "row", F.explode("tokens").alias("token")).join(other, "token", "left_anti").groupBy("row", "label").agg(F.collect_set("token").alias("tokens"))
     items = F.concat("tokens", F.array(F.concat(F.lit("label:"), "label")))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(labelled.select(items.alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(kept.select(items.alias("items")))
     rules = model.associationRules.select(
         F.array_sort("antecedent").alias("items"), F.col("consequent")[0].alias("label"), "confidence"
     )
-    rules = cut(rules.where(F.col("label").startswith("label:") & (F.size("items") <= LONGEST)).select(
-        F.xxhash64(F.col("items")).alias("rule_id"), "items", F.substring("label", 7, 99).alias("verdict"), "confidence"
+    rules = cut(rules.where(F.col("label").startswith("label:")).select(
+        "items", F.substring("label", 7, 99).alias("verdict"), "confidence"
     ))
     shorter = rules.select(F.col("items").alias("part"), F.col("verdict").alias("same"), F.col("confidence").alias("sure"))
-    # a rule has at most seven proper parts, which are looked up by value
-    parts = rules.select("rule_id", "verdict", "confidence", F.explode(_parts(F.col("items"))).alias("part"))
-    said = parts.join(shorter, "part").where("same = verdict and sure >= confidence").select("rule_id", "verdict").distinct()
-    return cut(rules.join(said, ["rule_id", "verdict"], "left_anti"))
+    parts = rules.select("items", "verdict", "confidence", F.explode(_parts(F.col("items"))).alias("part"))
+    said = parts.join(shorter, "part").where("same = verdict and sure >= confidence").select("items", "verdict").distinct()
+    left = rules.join(said, ["items", "verdict"], "left_anti").withColumn("token", F.explode("items"))
+    full = left.join(small(twins.withColumnRenamed("token", "own")), F.col("token") == F.col("twin"), "left")
+    named = full.groupBy("items", "verdict", "confidence").agg(F.array_sort(F.collect_set(F.coalesce("own", "token"))).alias("named"))
+    return cut(named.select(F.xxhash64("named").alias("rule_id"), F.col("named").alias("items"), "verdict", "confidence"))
 
 
 def _parts(items: Column) -> Column:
-    """Proper non-empty subsets of a sorted array of up to three."""
-    n, at = F.size(items), lambda *xs: F.array(*[F.get(items, F.lit(x)) for x in xs])
-    none = F.array().cast("array<array<string>>")
-    one = F.when(n >= 2, F.transform(items, lambda x: F.array(x))).otherwise(none)
-    two = F.when(n >= 3, F.array(at(0, 1), at(0, 2), at(1, 2))).otherwise(none)
-    return F.concat(one, two)
+    """The array without each of its items in turn; none of a single item."""
+    return F.when(F.size(items) > 1, F.transform(items, lambda x: F.array_remove(items, x))).otherwise(F.array().cast("array<array<string>>"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, mined: DataFrame | None = None,
@@ -132,8 +148,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, min
     best = met.groupBy("key").agg(F.min_by(
         F.struct("verdict", "confidence", "named"), F.struct(-F.col("confidence"), -F.col("need"), F.col("verdict") != "block", "named")
     ).alias("best"))
-    out = rows.withColumn("key", F.when(F.col("stated").isNull() & (F.size("tokens") > 0), F.xxhash64("tokens"))).join(best, "key", "left")
-    return out.select(
+    best = cut(best)
+    judged = small(best)
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int")
+    if judged is best:  # too many combinations to send to all: a third of all pages may still share one
+        judged = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    else:
+        salt, judged = F.lit(0), judged.withColumn("salt", F.lit(0))
+    unstated = F.col("stated").isNull() & (F.size("tokens") > 0)
+    open_pages = rows.where(unstated).withColumns({"key": F.xxhash64("tokens"), "salt": salt}).join(judged, ["key", "salt"], "left")
+    rest = rows.where(~unstated).withColumn("best", F.lit(None).cast(best.schema["best"].dataType))
+    return open_pages.unionByName(rest, allowMissingColumns=True).select(
         "page_id", "host", "path", F.col("stated.rule").alias("rule"),
         F.coalesce("stated.verdict", "best.verdict", F.lit(default)).alias("verdict"),
         F.col("best.named").alias("mined_rule"), F.col("best.confidence").alias("mined_confidence"),

@@ -63,6 +63,16 @@ def test_texts_odd_rows(spark):
     assert empty.count() == 0 and empty.columns == ["doc_id", "n_shingles", "component_id", "kept"]
 
 
+def test_an_id_with_two_texts_links_by_both(spark):
+    rng = random.Random(9)
+    a, b, c = ([f"{x}{rng.randrange(900)}" for _ in range(120)] for x in "abc")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, None), (2, edited(rng, a, 2)), (3, edited(rng, b, 2)), (4, " ".join(c)), (5, edited(rng, c, 2))]
+    rows += [(10 + i, edited(rng, b, 1)) for i in range(90)]  # many in one bucket: compared in blocks
+    df = spark.createDataFrame([(i, t, 1, "", "") for i, t in rows], DOCS).repartition(3)
+    got = {(r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(df, 3, 85).collect()}
+    assert got == {(i, 4 if i in (4, 5) else 1) for i, _ in rows}
+
+
 def test_circulant_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**64, 400, dtype=np.uint64)

@@ -56,11 +56,62 @@ def test_rules_are_mined_as_by_counting(spark):
                 alone[part] += 1
                 both[part, label] += 1
     want = {(p, v): n / alone[p] for (p, v), n in both.items() if n >= 0.02 * len(rows) and n / alone[p] >= 0.9}
-    want = {(p, v): c for (p, v), c in want.items() if not any((q, v) in want and want[q, v] >= c for k in range(1, len(p)) for q in itertools.combinations(p, k))}
+    want = {(p, v): c for (p, v), c in want.items() if not any((q, v) in want and want[q, v] >= c for q in itertools.combinations(p, len(p) - 1))}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
     assert (("h:spam0",), "block") in got
 
 
+def test_rules_of_four_tokens_and_tokens_that_go_together(spark):
+    import itertools
+
+    rows = []
+    for bits in itertools.product((0, 1), repeat=4):  # blocked if all four are there, never for three
+        t = [f"q:{c}" for c, b in zip("abcd", bits, strict=True) if b]
+        rows += [(sorted(["h:x", *t]), "block" if all(bits) else "allow")] * 10
+    rows += [(sorted(f"p{i}:same" for i in range(40)), "block")] * 20
+    mined = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.02, 0.9).collect()
+    got = {(tuple(r["items"]), r["verdict"]) for r in mined}
+    assert (("q:a", "q:b", "q:c", "q:d"), "block") in got
+    assert (tuple(sorted(f"p{i}:same" for i in range(40))), "block") in got
+
+
+def judged_by_hand(urls, rules, mined):
+    """(host, path, rule, verdict) of each URL by loops; mined rules as (items, verdict, confidence)."""
+    out = []
+    for url in urls:
+        head, sep, rest = (url or "").partition("://")
+        host = rest
+        for c in "/?#":
+            host = host.split(c)[0]
+        path = rest[len(host) :].split("?")[0].split("#")[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fit = [(len(h + p), -k, h + p, v) for k, (v, h, p) in enumerate(rules) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        if fit:
+            out.append((host, path, max(fit)[2], max(fit)[3]))
+            continue
+        zero = lambda x: __import__("re").sub("[0-9]+", "0", x)
+        labels = host.split(".")
+        tokens = {"h:" + zero(x) for x in labels if x} | {"t:" + labels[-1]} | {f"p{min(i, 3)}:{zero(x)}" for i, x in enumerate(x for x in path.split("/") if x)}
+        query = url.split("?", 1)[1].split("#")[0] if url and "?" in url else ""
+        tokens |= {"q:" + zero(q.split("=")[0]) for q in query.split("&") if q.split("=")[0]}
+        hit = [(-c, -len(i), v != "block", " ".join(i), v) for i, v, c in mined if set(i) <= tokens] if host or path else []
+        out.append((host, path, None, min(hit)[4] if hit else "allow"))
+    return out
+
+
+def test_pages_as_by_hand(spark):
+    p = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    p = p.select("page_id", "url").union(spark.createDataFrame([(-1, None), (-2, "x"), (-3, "http://b.a.com/xy/1"), (-4, "http://a.com/xy")], "page_id bigint, url string"))
+    rules = [*url_filter.RULES, ("allow", "a.com", "/xy"), ("block", "b.a.com", "/")]
+    labelled = spark.createDataFrame([(["h:casino-win"], "block"), (["p0:en"], "allow"), (["h:example", "q:page"], "block"), (["h:example", "p0:fr"], "allow")], "items array<string>, verdict string")
+    mined = labelled.withColumns({"confidence": 0.9 + F.length("verdict") / 1000, "rule_id": F.xxhash64("items")})
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(p, rules, mined).collect()}
+    rows = p.collect()
+    want = judged_by_hand([r["url"] for r in rows], rules, [(r["items"], r["verdict"], r["confidence"]) for r in mined.collect()])
+    assert got == {r["page_id"]: w for r, w in zip(rows, want, strict=True)}
+    assert got[-3][2] == "a.com/xy" and len(got) > 50
+
+
 def test_mined_rules_apply_and_odd_pages(spark):
     urls = [f"http://s{i % 3}.spam.org/en/{i}" for i in range(60)] + [f"http://fine{i % 5}.org/en/{i}" for i in range(60)]
     rules = [("block", "s0.spam.org", "/"), ("block", "s1.spam.org", "/"), ("allow", "fine0.org", "/"), ("allow", "fine1.org", "/")]
