@@ -1,4 +1,8 @@
-"""Near-duplicate embeddings: iterative quantisation, multi-index Hamming tables, exact cosines."""
+"""Near-duplicate embeddings: iterative quantisation, multi-index Hamming tables, exact cosines.
+
+Codes alone are dealt to the tables' buckets, in blocks; a vector travels only to blocks in which
+another one's code is within the radius of its own. There exact cosines in double precision decide.
+"""
 
 from __future__ import annotations
 
@@ -9,14 +13,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import components, cut, table
+from .base import components, cut, small, table
 
 #: Bound of the sample that the rotations are learned from.
 SAMPLE = 4_096
-#: Chance of finding a pair whose cosine is just the threshold; closer pairs are found more surely.
-RECALL = 0.95
+#: Chance of finding a pair whose cosine is just the threshold, if bits were independent; closer pairs are
+#: found more surely (tests measure both).
+RECALL = 0.98
 #: Vectors on either side of a block of exact products.
 TILE = 512
+#: Bits of a code at least: fewer would tell little of the distance.
+BITS = 128
+#: Deviations beyond the mean Hamming distance at the threshold that are still looked at.
+DEVIATIONS = 4
 
 
 class Quantiser:
@@ -40,16 +49,30 @@ class Quantiser:
             turns.append(axes @ r)
         self.axes = np.concatenate(turns, axis=1)[:, :bits]
 
-    def codes(self, unit: np.ndarray, width: int) -> np.ndarray:
-        """(vectors, tables) values of consecutive ``width``-bit parts."""
-        bits = unit @ self.axes >= 0
-        parts = bits.reshape(len(unit), -1, width)
-        return (parts * (1 << np.arange(width))).sum(axis=2).astype(np.uint16)
+    def codes(self, unit: np.ndarray) -> np.ndarray:
+        """(vectors, bytes): codes of whole bytes."""
+        return np.packbits(unit @ self.axes >= 0, axis=1, bitorder="little")
+
+
+class Index:
+    """How vectors of one length are looked up: ``tables`` runs of ``width`` bits, and a radius."""
+
+    def __init__(self, sample: np.ndarray, count: int, cosine: float):
+        self.tables, self.width = tables_for(count, cosine)
+        bits = max(BITS, -(-self.tables * self.width // 8) * 8)
+        differ = math.acos(min(1, max(-1, cosine))) / math.pi
+        self.radius = math.ceil(bits * differ + DEVIATIONS * math.sqrt(bits * differ * (1 - differ)))
+        self.bits, self.quantiser = bits, Quantiser(sample, bits)
+
+    def values(self, codes: np.ndarray) -> np.ndarray:
+        """(vectors, tables): the bucket of each code in each table."""
+        bits = np.unpackbits(codes, axis=1, bitorder="little")[:, : self.tables * self.width]
+        return (bits.reshape(len(codes), self.tables, self.width) * (1 << np.arange(self.width))).sum(axis=2)
 
 
 def tables_for(count: int, cosine: float, recall: float = RECALL) -> tuple[int, int]:
-    """Tables and bits of each: some tens of vectors a bucket, and the recall at the threshold."""
-    width = min(16, max(8, round(math.log2(max(count, 1) / 32))))
+    """Tables and bits of each: buckets of half a block on average, and the recall at the threshold."""
+    width = min(20, max(4, round(math.log2(max(count, 1) / 256))))
     agree = (1 - math.acos(min(1, max(-1, cosine))) / math.pi) ** width
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree))) if agree < 1 else 1, width
 
@@ -59,14 +82,41 @@ def _valid(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)
 
 
-def _unit(vectors: pa.Array, dims: int) -> np.ndarray:
-    x = np.asarray(vectors.flatten(), np.float64).reshape(-1, dims)
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, whatever their size: they are brought near 1 before they are squared."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _tile(ids, weights, unit, codes, chunk, i, j, at, cosine):
+def _rows_of(vectors: pa.Array, dims: int) -> np.ndarray:
+    return _unit(np.asarray(vectors.flatten(), np.float64).reshape(-1, dims))
+
+
+def _sides(chunk: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+
+
+def _near(codes: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    """(left, right) whether codes differ in ``radius`` bits at most."""
+    signs = np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
+    return signs[left] @ signs[right].T >= signs.shape[1] - 2 * radius
+
+
+def _survivors(codes, chunk, i, j, radius) -> np.ndarray:
+    """Rows of a block with another one within the radius."""
+    left, right = _sides(chunk, i, j)
+    near = _near(codes, left, right, radius)
+    if i == j:
+        np.fill_diagonal(near, False)
+    keep = np.zeros(len(chunk), bool)
+    keep[left[near.any(axis=1)]] = True
+    keep[right[near.any(axis=0)]] = True
+    return keep
+
+
+def _tile(ids, weights, unit, values, chunk, i, j, at, cosine):
     """(id, links, least id linked) of one block; a link counts in the first table that has it."""
-    left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+    left, right = _sides(chunk, i, j)
     link = unit[left] @ unit[right].T >= cosine
     if i == j:
         np.fill_diagonal(link, False)
@@ -75,7 +125,7 @@ def _tile(ids, weights, unit, codes, chunk, i, j, at, cosine):
         fresh = np.ones(len(a), bool)
         for begin in range(0, len(a), 65536):
             part = slice(begin, begin + 65536)
-            fresh[part] = ~(codes[left[a[part]], :at] == codes[right[b[part]], :at]).any(axis=1)
+            fresh[part] = ~(values[left[a[part]], :at] == values[right[b[part]], :at]).any(axis=1)
         link[a[~fresh], b[~fresh]] = False
     count = np.zeros(len(ids), np.int64)
     count[left] += link @ weights[right]
@@ -94,51 +144,25 @@ def _tile(ids, weights, unit, codes, chunk, i, j, at, cosine):
     return ids[keep], count[keep], low[keep]
 
 
-def links(classes: DataFrame, dims: int, cosine: float) -> DataFrame:
-    """(v, links, root) of classes (rep, weight, embedding): partial counts, and edges that span the links."""
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").collect()  # bounded
-    tables, width = tables_for(classes.count(), cosine)
-    x = np.array([r[0] for r in sample], np.float64).reshape(-1, dims)
-    q = Quantiser(x / np.linalg.norm(x, axis=1, keepdims=True), tables * width)
+#: A block: length of its vectors, table, bucket, and numbers of its two chunks.
+_BLOCK = ["dims", "at", "value", "i", "j"]
 
-    def encode(batches):
-        for batch in batches:
-            unit = _unit(batch.column("embedding"), dims)
-            codes = q.codes(unit, width)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), batch.column("weight"), batch.column("embedding"),
-                 pa.array([c.tobytes() for c in codes], pa.binary()),
-                 pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel().astype(np.int32)), tables).cast(pa.list_(pa.int32()))],
-                ["rep", "weight", "embedding", "code", "values"],
-            )
-
-    coded = cut(classes.mapInArrow(encode, "rep bigint, weight bigint, embedding array<float>, code binary, values array<int>"))
-    rows = coded.select("rep", F.posexplode("values").alias("at", "value"))
-    full = rows.groupBy("at", "value").agg(F.count("*").alias("size")).where("size > 1")
-    chunks = F.ceil(F.col("size") / TILE).cast("int")
-    placed = cut(rows.join(full, ["at", "value"]).select("rep", "at", "value", chunks.alias("chunks"), F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk")))
-    # a chunk meets itself and every other one: tile (i, j) with i <= j
-    each = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("i"), F.greatest("chunk", k).alias("j")))
-    tiles = placed.select("rep", "at", "value", "chunk", F.explode(each).alias("t")).select("rep", "at", "value", "chunk", "t.i", "t.j")
-    tiles = tiles.join(coded.select("rep", "weight", "embedding", "code"), "rep")
-    keys = ["at", "value", "i", "j"]
 
-    def compare(batches):
+def _by_block(each, columns: list[str], kinds: list):
+    """A function for mapInArrow over rows in order of their block: ``each(key, rows)`` gives the columns."""
+
+    def run(batches):
         held: list[pa.RecordBatch] = []
 
         def blocks(t: pa.Table, whole: bool):
-            key = np.stack([np.asarray(t[k].combine_chunks()) for k in keys], axis=1)
+            key = np.stack([np.asarray(t[k].combine_chunks()) for k in _BLOCK], axis=1)
             ends = np.append(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key))
-            ids, weights = np.asarray(t["rep"].combine_chunks()), np.asarray(t["weight"].combine_chunks())
-            chunk, unit = np.asarray(t["chunk"].combine_chunks()), _unit(t["embedding"].combine_chunks(), dims)
-            codes = np.frombuffer(b"".join(t["code"].to_pylist()), np.uint16).reshape(len(key), tables)
             begin, out = 0, []
             for end in ends if whole else ends[:-1]:
-                s = slice(begin, end)
-                out.append(_tile(ids[s], weights[s], unit[s], codes[s], chunk[s], key[begin, 2], key[begin, 3], key[begin, 0], cosine))
+                out.append(each(key[begin], t.slice(begin, end - begin).combine_chunks()))
                 begin = end
-            cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["v", "links", "root"]), t.slice(begin)
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], columns), t.slice(begin)
 
         for batch in batches:
             held.append(batch)
@@ -149,47 +173,123 @@ def links(classes: DataFrame, dims: int, cosine: float) -> DataFrame:
         if sum(b.num_rows for b in held):
             yield blocks(pa.Table.from_batches(held), True)[0]
 
-    dealt = tiles.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(compare, "v bigint, links bigint, root bigint")
+    return run
+
+
+def _column(t: pa.Table, name: str) -> np.ndarray:
+    return np.asarray(t[name].combine_chunks())
+
+
+def _codes(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+
+
+def indexes(classes: DataFrame, cosine: float) -> dict[int, Index]:
+    """An index for each length of vectors of which there are two or more, learned from at most SAMPLE vectors in all."""
+    counts = {r["dims"]: r["n"] for r in classes.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n")).where("n > 1").collect()}
+    each = max(64, SAMPLE // max(1, len(counts)))
+    out = {}
+    for dims, n in counts.items():
+        rows = classes.where(F.size("embedding") == dims).orderBy(F.xxhash64("rep"), "rep").limit(each).select("embedding").collect()  # bounded
+        out[dims] = Index(_unit(np.array([r[0] for r in rows], np.float64)), n, cosine)
+    return out
+
+
+def links(classes: DataFrame, cosine: float) -> DataFrame | None:
+    """(v, links, root) of classes (rep, weight, embedding): partial counts, and edges that span the links."""
+    known = indexes(classes, cosine)
+    if not known:
+        return None
+
+    def encode(batches):
+        for batch in batches:
+            sizes = np.diff(np.asarray(batch.column("embedding").offsets))
+            for dims in np.unique(sizes).tolist():
+                index = known.get(dims)
+                if index is None:
+                    continue
+                part = batch.take(pa.array(np.flatnonzero(sizes == dims)))
+                codes = index.quantiser.codes(_rows_of(part.column("embedding"), dims))
+                values = pa.array(index.values(codes).ravel(), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("rep"), pa.array(np.full(len(codes), dims, np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()),
+                     pa.FixedSizeListArray.from_arrays(values, index.tables).cast(pa.list_(pa.int32()))], ["rep", "dims", "code", "values"],
+                )
+
+    coded = cut(classes.select("rep", "embedding").mapInArrow(encode, "rep bigint, dims int, code binary, values array<int>"))
+    rows = coded.select("rep", "dims", "code", F.posexplode("values").alias("at", "value"))
+    full = coded.select("dims", F.posexplode("values").alias("at", "value")).groupBy("dims", "at", "value").agg(F.count("*").alias("size")).where("size > 1")
+    chunks = F.ceil(F.col("size") / TILE).cast("int")
+    placed = rows.join(full, ["dims", "at", "value"]).select("rep", "dims", "at", "value", "code", chunks.alias("chunks"), F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk"))
+    # a chunk meets itself and every other one: tile (i, j) with i <= j
+    each = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("i"), F.greatest("chunk", k).alias("j")))
+    tiles = placed.select("rep", "dims", "at", "value", "code", "chunk", F.explode(each).alias("t")).select(*_BLOCK[:3], "t.i", "t.j", "rep", "code", "chunk")
+
+    def look(key, t):
+        keep = np.flatnonzero(_survivors(_codes(t), _column(t, "chunk"), key[3], key[4], known[int(key[0])].radius))
+        return [np.full(len(keep), k) for k in key] + [_column(t, "rep")[keep], _column(t, "chunk")[keep]]
+
+    dealt = tiles.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
+    run = _by_block(look, [*_BLOCK, "rep", "chunk"], [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()])
+    found = cut(dealt.mapInArrow(run, "dims int, at int, value int, i int, j int, rep bigint, chunk int"))
+
+    def compare(key, t):
+        index = known[int(key[0])]
+        unit = _rows_of(t["embedding"].combine_chunks(), int(key[0]))
+        return _tile(_column(t, "rep"), _column(t, "weight"), unit, index.values(_codes(t)), _column(t, "chunk"), key[3], key[4], key[1], cosine)
+
+    full_rows = found.join(classes, "rep").join(coded.select("rep", "code"), "rep").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
+    return full_rows.mapInArrow(_by_block(compare, ["v", "links", "root"], [pa.int64()] * 3), "v bigint, links bigint, root bigint")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``.
 
     Codes learned by iterative quantisation are cut into parts, each a hash table; vectors that
-    share a bucket are compared by exact cosines in double precision, in blocks of TILE, and a
-    pair that several tables find counts once. Equal vectors are one class before that. n_links
-    counts other rows at ``cosine`` or more that are found; component_id is the smallest id
-    reachable.
+    share a bucket and whose whole codes are near are compared by exact cosines in double precision,
+    in blocks of TILE, and a pair that several tables find counts once. Equal vectors are one class
+    before that. n_links counts other rows at ``cosine`` or more that are found; component_id is the
+    smallest id reachable. Only vectors with equally many components can be linked.
 
     Vectors that are null, empty or zero or hold null or non-finite components link with nothing,
-    and so do vectors with another number of components than most, and rows without id (null
-    component, kept). Rows that repeat an id are one vertex, but count each in n_links. Other
-    columns are not read; an empty table gives an empty one. The rotations are learned from a
-    sample of SAMPLE vectors; all vectors are indexed.
+    and so do rows without id (null component, kept). Rows that repeat an id are one vertex, but
+    count each in n_links; vectors that repeat an id with other components are vertices by the hash
+    of both, and their links add up. Other columns are not read; an empty table gives an empty one.
+    Floats stay as they are in storage, other numbers become doubles. The rotations are learned from
+    a sample of SAMPLE vectors; all vectors are indexed.
     """
-    v = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    wanted = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    v = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast(wanted).alias("embedding"))
     v = v.withColumn("ok", _valid(F.col("embedding")) & F.col("vec_id").isNotNull())
-    common = v.where("ok").groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
-    dims = common["dims"] if common else 0
-    v = cut(v.select(
-        "vec_id", "embedding", (F.col("ok") & (F.size("embedding") == dims)).alias("ok"),
-        F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2"),
-    ))
-    classes = v.where("ok").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
-    classes = cut(classes)
-    found = cut(links(classes.select("rep", "weight", "embedding"), dims, cosine)) if dims else None
-    own = v.where("ok").select("vec_id", "k1", "k2").join(classes.select("k1", "k2", "rep", "weight"), ["k1", "k2"]).select("vec_id", "rep", "weight")
+    keys = v.select("vec_id", "ok", F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2"))
+    classes = v.where("ok").groupBy(F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2")).agg(
+        F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")
+    )
+    shared = classes.groupBy("least").agg(F.count("*").alias("sets")).where("sets > 1").select(F.col("least").alias("__least"))
+    classes = classes.join(small(shared), F.col("least") == F.col("__least"), "left")
+    rep = F.when(F.col("__least").isNull(), F.col("least")).otherwise(F.xxhash64("least", "k1", "k2"))
+    classes = cut(classes.select("k1", "k2", "least", rep.alias("rep"), "weight", "embedding"))
+    found = links(classes.select("rep", "weight", "embedding"), cosine)
+    slim = classes.select("k1", "k2", "rep", "least", "weight")
+    edges = keys.where("ok").select("vec_id", "k1", "k2").join(slim, ["k1", "k2"]).where("vec_id <> least").select(F.col("vec_id").alias("src"), F.col("least").alias("dst"))
+    sums = slim.select("k1", "k2", "rep", (F.col("weight") - 1).alias("copies"))
     if found is None:
-        return v.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    edges = found.select(F.col("v").alias("src"), F.col("root").alias("dst")).union(own.where("vec_id <> rep").select("vec_id", "rep"))
-    near = found.groupBy(F.col("v").alias("rep")).agg(F.sum("links").alias("links"))
-    sums = classes.select("k1", "k2", "rep", "weight").join(near, "rep", "left").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    counted = v.select("vec_id", "ok", F.when(F.col("ok"), F.col("k1")).alias("k1"), F.when(F.col("ok"), F.col("k2")).alias("k2"))
+        sums = sums.withColumn("links", F.lit(0))
+    else:
+        found = cut(found)
+        named = small(slim.where("rep <> least").select(F.col("rep").alias("__rep"), "least"))
+        between = found.select(F.col("v").alias("src"), F.col("root").alias("dst"))
+        for end in ("src", "dst"):
+            between = between.join(named, F.col(end) == F.col("__rep"), "left").withColumn(end, F.coalesce("least", end)).select("src", "dst")
+        edges = edges.union(between)
+        sums = sums.join(found.groupBy(F.col("v").alias("rep")).agg(F.sum("links").alias("links")), "rep", "left")
+    sums = sums.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies")).cast("bigint").alias("n_links"))
+    counted = keys.select("vec_id", "ok", F.when(F.col("ok"), F.col("k1")).alias("k1"), F.when(F.col("ok"), F.col("k2")).alias("k2"))
     return (
         counted.join(sums, ["k1", "k2"], "left")
         .join(components(edges).withColumnRenamed("v", "vec_id"), "vec_id", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("ok"), F.coalesce("component", "vec_id")).otherwise(F.col("vec_id")).alias("component_id"))
+        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     )
 

@@ -138,13 +138,47 @@ def test_vectors_in_several_blocks(spark):
 
 def test_vectors_odd_rows(spark):
     v, nan, inf = [1.0, 2.0], float("nan"), float("inf")
-    rows = [(1, v), (2, v), (3, [2.0, 4.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [1.0, None]), (10, [1.0, 2.0, 3.0]), (None, v), (2, v)]
+    rows = [(1, v), (2, v), (3, [2.0, 4.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [1.0, None]), (10, [1.0, 2.0, 3.0]), (None, v), (2, v), (11, [0.0, 5.0, 0.0, 1.0]), (12, [0.0, 5.1, 0.0, 1.0])]
     df = spark.createDataFrame([(a, b, 0, "") for a, b in rows], VECS)
     got = sorted([(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embed_dup.near_duplicates(df).collect()], key=str)
     alone = [(i, 0, i, True) for i in (4, 5, 6, 7, 8, 9, 10)] + [(None, 0, None, True)]
-    assert got == sorted([(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (3, 3, 1, False), *alone], key=str)
+    assert got == sorted([(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (3, 3, 1, False), (11, 1, 11, True), (12, 1, 11, False), *alone], key=str)
     assert embed_dup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_vectors_in_double_precision_and_of_all_lengths(spark):
+    rows = [(1, [1e39, 1e39]), (2, [1e39, 1.01e39]), (3, [1.0, 1.0]), (4, [1e-300, 1e-300]), (5, [1.0, 1.0, 1.0]), (6, [1.0, 1.0, 1.0]), (7, [1.0, -1.0]), (8, [1e308, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dup.near_duplicates(df).collect()}
+    assert got == {**{i: (4, 1) for i in (1, 2, 3, 4, 8)}, 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
+def test_vectors_that_repeat_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0])]
+    got = {(r["vec_id"], r["n_links"], r["component_id"]) for r in embed_dup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)}
+
+
+@pytest.mark.parametrize("dims", [64, 24])
+def test_recall_just_over_the_threshold(spark, dims):
+    rng, rows = np.random.default_rng(dims), []
+    spread = np.linspace(0.3, 2, dims)  # axes that matter unequally
+    for _ in range(1500):  # pairs between 0.9 and 0.92, among vectors that link with nothing else
+        a = rng.standard_normal(dims) * spread
+        a /= np.linalg.norm(a)
+        b = rng.standard_normal(dims) * spread
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        c = rng.uniform(0.9, 0.92)
+        rows += [(len(rows), [float(x) for x in a]), (len(rows) + 1, [float(x) for x in c * a + np.sqrt(1 - c * c) * b])]
+    got = {r["vec_id"]: r["n_links"] for r in embed_dup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    x = np.array([r[1] for r in rows])
+    link = x @ x.T >= 0.9
+    np.fill_diagonal(link, False)
+    found = np.array([got[i] for i in range(len(rows))])
+    print("recall", dims, found.sum() / link.sum())
+    assert (found <= link.sum(1)).all() and found.sum() >= 0.9 * link.sum()
+
+
 def test_cut_keeps_rows(spark):
     assert cut(spark.range(10)).count() == 10
