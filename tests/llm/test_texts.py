@@ -255,6 +255,59 @@ def test_licences(spark):
     assert licenses.scan(docs(spark, ODD).where("false")).count() == 0
 
 
+APACHE = """# Copyright 2024 Somebody
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+GPL = """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+"""
+MPL = """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+
+
+def test_headers_as_they_are_written(spark):
+    import textwrap
+
+    mit = textwrap.fill(licenses.SENTENCES["mit-grant"], 40) + "\n\n" + textwrap.fill(licenses.SENTENCES["mit-notice"], 72)
+    cases = {
+        20: (APACHE, "apache-2.0"), 21: ("A title\nReleased under the MIT License.\n" + APACHE, "apache-2.0,mit"), 22: (GPL, "gpl-3.0"), 23: (MPL, "mpl-2.0"), 24: (LGPL, "lgpl-2.1"),
+        25: (mit, "mit"), 26: ("// SPDX-License-Identifier: GPL-2.0-only\nint x;", "gpl-2.0"), 27: ("# SPDX-License-Identifier: MIT", "mit"), 28: (GPL.replace("GNU General", "GNU Affero General"), "agpl-3.0"),
+        29: ("Released under the MIT License and other terms.", ""), 30: (APACHE.split("\n", 2)[2].replace("\n#", ""), "apache-2.0"),
+    }
+    got = {r["doc_id"]: r["licences"] for r in licenses.scan(docs(spark, [(k, v[0]) for k, v in cases.items()])).collect()}
+    assert got == {k: v[1] for k, v in cases.items()}
+
+
 def brute_leaks(texts, items, k=5, percent=80):
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     out = {}
