@@ -153,15 +153,16 @@ class BiLstmCrf:
     def best(self, e: np.ndarray) -> np.ndarray:
         """(batch, time): the best tags for emissions (time, batch, tag), all sequences at once."""
         trans, (time, batch, k) = self.p["trans"], e.shape
-        score, back = e[0], np.empty((time, batch, k), np.uint8)
+        score = np.ascontiguousarray(e.transpose(0, 2, 1))  # of the best sequence that ends with each tag
+        total, top = np.empty((k, k, batch), score.dtype), np.empty((k, batch), score.dtype)
         for t in range(1, time):
-            total = score[:, :, None] + trans
-            back[t] = total.argmax(1)
-            score = total.max(1) + e[t]
-        tags, rows = np.empty((batch, time), np.uint8), np.arange(batch)
-        tags[:, -1] = score.argmax(1)
+            np.add(score[t - 1][:, None], trans[:, :, None], out=total)
+            total.max(axis=0, out=top)
+            score[t] += top
+        tags = np.empty((batch, time), np.uint8)
+        tags[:, -1] = score[-1].argmax(0)
         for t in range(time - 1, 0, -1):
-            tags[:, t - 1] = back[t, rows, tags[:, t]]
+            tags[:, t - 1] = (score[t - 1] + trans[:, tags[:, t]]).argmax(0)
         return tags
 
     def tag(self, idx: np.ndarray) -> np.ndarray:

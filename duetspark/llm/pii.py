@@ -16,11 +16,13 @@ from .crf import BiLstmCrf
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters in a window, those that it shares with the next, windows in a batch.
-WINDOW, OVERLAP, BATCH = 256, 64, 512
+WINDOW, OVERLAP, BATCH = 256, 48, 512
 #: Windows at the end of a text are padded to a multiple of this.
-ROUND = 32
-#: Labelled texts that the network is trained on, their length, and passes over them.
-EXAMPLES, LENGTH, EPOCHS = 1_800, 96, 5
+ROUND = 64
+#: Texts that go through the network together.
+TEXTS = 1024
+#: Units a direction; labelled texts that the network is trained on, their length, and passes over them.
+HIDDEN, EXAMPLES, LENGTH, EPOCHS = 14, 2_200, 96, 6
 
 # Runs start where no digit stands before and give nothing back: equal to the plain patterns'
 # leftmost matches, but linear in the text.
@@ -156,7 +158,7 @@ def encoded(texts: list[str], spans: list[list[tuple[str, int, int]]]) -> tuple[
 @lru_cache(1)
 def trained(seed: int = 11, examples: int = EXAMPLES, epochs: int = EPOCHS) -> BiLstmCrf:
     """The network, trained on seeded labelled texts: the same weights in every process."""
-    model = BiLstmCrf(SYMBOLS, TAGS)
+    model = BiLstmCrf(SYMBOLS, TAGS, HIDDEN)
     model.fit(*encoded(*labelled(seed, examples)), epochs)
     return model
 
@@ -261,8 +263,8 @@ def scan(docs: DataFrame, text_col: str = "text", model: BiLstmCrf | None = None
 
     def run(text: pd.Series) -> pd.DataFrame:
         rows = []
-        for at in range(0, len(text), 256):
-            for base, more in find(model, text.iloc[at : at + 256].tolist()):
+        for at in range(0, len(text), TEXTS):
+            for base, more in find(model, text.iloc[at : at + TEXTS].tolist()):
                 flat = [(k, a, b) for k, spans in base.items() for a, b in spans]
                 rows.append((_joined(flat), _joined(flat + more), *[len(base[k]) for k in KINDS]))
         return pd.DataFrame(rows, columns=["base", "spans", *[f"n_{k}" for k in KINDS]])
@@ -277,8 +279,8 @@ def redact(docs: DataFrame, text_col: str = "text", model: BiLstmCrf | None = No
 
     def run(text: pd.Series) -> pd.Series:
         out = []
-        for at in range(0, len(text), 256):
-            part = text.iloc[at : at + 256].tolist()
+        for at in range(0, len(text), TEXTS):
+            part = text.iloc[at : at + TEXTS].tolist()
             for t, (base, more) in zip(part, find(model, part), strict=True):
                 spans = sorted([(a, b, k) for k, own in base.items() for a, b in own] + [(a, b, k) for k, a, b in more])
                 pieces, done = [], 0
