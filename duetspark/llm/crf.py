@@ -121,39 +121,38 @@ class BiLstmCrf:
         return float(np.mean(losses))
 
     def scores(self, idx: np.ndarray) -> np.ndarray:
-        """(time, batch, tag): the emissions again, without what training needs and several times faster."""
+        """(time, tag, batch): the emissions again, without what training needs and several times faster."""
         p, n, (batch, time) = self.p, self.hidden, idx.shape
-        half = np.repeat(np.array([0.5, 1], np.float32), [3 * n, n])  # a gate is half a hyperbolic tangent of half its input, and a half
-        out = np.empty((2, time, batch, n), np.float32)
+        half = np.repeat(np.array([0.5, 1], np.float32), [3 * n, n])[:, None]  # a gate is half a hyperbolic tangent of half its input, and a half
+        out, at = np.empty((2, time, n, batch), np.float32), np.ascontiguousarray(idx.T)
+        z, x, new = np.empty((4 * n, batch), np.float32), np.empty((batch, 4 * n), np.float32), np.empty((n, batch), np.float32)
+        gate, fresh = z[: 3 * n], z[3 * n :]
         for d in (0, 1):
-            of_symbol, of_state = (p["x"][d] + p["b"][d]) * half, p["h"][d] * half
-            order = range(time) if d == 0 else range(time - 1, -1, -1)
-            h, c = np.zeros((batch, n), np.float32), np.zeros((batch, n), np.float32)
-            z, x = np.empty((batch, 4 * n), np.float32), np.empty((batch, 4 * n), np.float32)
-            gate, new = np.empty((batch, 3 * n), np.float32), np.empty((batch, n), np.float32)
-            for t in order:
-                np.take(of_symbol, idx[:, t], axis=0, out=x, mode="clip")
-                np.matmul(h, of_state, out=z)
-                z += x
+            of_symbol, of_state = (p["x"][d] + p["b"][d]) * half.T, np.ascontiguousarray(p["h"][d].T * half)
+            h, c = np.zeros((n, batch), np.float32), np.zeros((n, batch), np.float32)
+            for t in range(time) if d == 0 else range(time - 1, -1, -1):
+                np.take(of_symbol, at[t], axis=0, out=x, mode="clip")
+                np.matmul(of_state, h, out=z)
+                z += x.T
                 np.tanh(z, out=z)
-                np.add(z[:, : 3 * n], 1, out=gate)
+                gate += 1
                 gate *= 0.5
-                np.multiply(gate[:, :n], z[:, 3 * n :], out=new)
-                c *= gate[:, n : 2 * n]
+                np.multiply(gate[:n], fresh, out=new)
+                c *= gate[n : 2 * n]
                 c += new
                 np.tanh(c, out=new)
                 h = out[d, t]
-                np.multiply(gate[:, 2 * n :], new, out=h)
-        return out[0] @ p["out"][:n] + out[1] @ p["out"][n:] + p["c"]
+                np.multiply(gate[2 * n :], new, out=h)
+        return np.matmul(p["out"][:n].T, out[0]) + np.matmul(p["out"][n:].T, out[1]) + p["c"][:, None]
 
     def decode(self, e: np.ndarray) -> np.ndarray:
         """The best tags for emissions (time, tag)."""
-        return self.best(e[:, None])[0]
+        return self.best(e[:, :, None])[0]
 
     def best(self, e: np.ndarray) -> np.ndarray:
-        """(batch, time): the best tags for emissions (time, batch, tag), all sequences at once."""
-        trans, (time, batch, k) = self.p["trans"], e.shape
-        score = np.ascontiguousarray(e.transpose(0, 2, 1))  # of the best sequence that ends with each tag
+        """(batch, time): the best tags for emissions (time, tag, batch), all sequences at once."""
+        trans, (time, k, batch) = self.p["trans"], e.shape
+        score = e.copy()  # of the best sequence that ends with each tag
         total, top = np.empty((k, k, batch), score.dtype), np.empty((k, batch), score.dtype)
         for t in range(1, time):
             np.add(score[t - 1][:, None], trans[:, :, None], out=total)
@@ -174,7 +173,7 @@ class BiLstmCrf:
         """
         e, trans = self.scores(idx), self.p["trans"] - self.p["trans"][0, 0]
         within, into, out = float(trans[1:, 1:].max()), float(trans[0, 1:].max()), float(trans[1:, 0].max())
-        sums = np.cumsum(e[:, :, 1:].max(2) - e[:, :, 0] + within, axis=0, dtype=np.float64)
+        sums = np.cumsum(e[:, 1:].max(1) - e[:, 0] + within, axis=0, dtype=np.float64)
         before = np.zeros_like(sums)
         np.minimum.accumulate(sums[:-1], axis=0, out=before[1:])
         np.minimum(before, 0, out=before)
@@ -183,5 +182,5 @@ class BiLstmCrf:
         open_ = np.maximum(np.maximum(inside, at_start), np.maximum(at_end, whole)) - within > -1e-3
         tags = np.zeros(idx.shape, np.uint8)
         if open_.any():
-            tags[open_] = self.best(e[:, open_])
+            tags[open_] = self.best(e[:, :, open_])
         return tags
