@@ -43,15 +43,35 @@ def test_csv_of_modalities(spark, tmp_path):
         delimited.load_csv(spark, a, "stamp")
 
 
-def test_column_roles():
-    r = columns.detect(["timestamp", "hr_p1", "hr_p2", "eda", "zzz"], [])
-    assert (r.time, r.person1, r.person2, r.signal, r.unknown) == ([0], [1], [2], [3], [4]) and r.confidence == pytest.approx(1.0)
-    assert columns.groups(["timestamp", "hr_p1", "hr_p2"], columns.detect(["timestamp", "hr_p1", "hr_p2"], [])) == [("hr", 1, 2)]
-    assert columns.detect(["theta"], []).time == [0]  # any header that starts with t counts as time
-    r = columns.detect(["q", "m", "n"], [[i, 1.0, 2.0] for i in range(20)])
-    assert r.time == [0] and (r.person1, r.person2) == ([1], [2])
-    assert columns.person_of("mother_hr") == (1, "hr") and columns.person_of("sub02_hbo") == (2, "hbo") and columns.person_of("x") == (None, "x")
-    assert columns.paired(["hr_p1", "eda_p1", "EDA_p2", "hr_p2"], [0, 1, 2, 3]) == [(0, 3), (1, 2)]
+def sheet(spark, **files):
+    """COLUMNS of files given as {header: values}."""
+    rows = [(f, i, h, [v if v is None else float(v) for v in x]) for f, cols in files.items() for i, (h, x) in enumerate(cols.items())]
+    return spark.createDataFrame(rows, columns.COLUMNS)
+
+
+def test_column_roles(spark):
+    ones, up = [1.0] * 5, list(range(20))
+    got = columns.assign(sheet(
+        spark, named=dict.fromkeys(["timestamp", "hr_p1", "hr_p2", "eda", "zzz"], []), theta={"theta": ones}, data={"q": up, "m": ones, "n": ones},
+        four={k: ones for k in "qmnv"}, three={"q": ones, "m": ones, "n": ones, "v": [None] * 5})).collect()
+    roles = lambda f: [(r["pos"], r["role"]) for r in sorted(got, key=lambda r: (r["pos"], r["role"])) if r["file"] == f]
+    assert roles("named") == [(0, "time"), (1, "person1"), (2, "person2"), (3, "signal"), (4, "unknown")]
+    assert roles("theta") == [(0, "time")]  # any header that starts with t counts as time
+    assert [x for x in roles("data") if x[1] != "unknown"] == [(0, "time"), (1, "person1"), (2, "person2")] and (0, "unknown") not in roles("data")
+    assert [r for _, r in roles("four") if r != "unknown"] == ["person1", "person1", "person2", "person2"]
+    assert [p for p, r in roles("three") if r == "signal"] == [0, 1, 2]
+    assigned = spark.createDataFrame(got)
+    assert [tuple(r) for r in columns.groups(assigned).where("file = 'named'").collect()] == [("named", "hr", 1, 2)]
+    by = {r["file"]: r for r in columns.summary(assigned).collect()}
+    assert by["named"]["confidence"] == pytest.approx(1.0) and by["named"]["suggestions"] == [] and len(by["three"]["suggestions"]) == 2
+
+
+def test_named_persons_and_pairs(spark):
+    heads = ["mother_hr", "sub02_hbo", "x", "hr_p1", "hr__P2", "sub1-eeg", "_s1"]
+    got = {r["header"]: (r["person"], r["stem"]) for r in columns.named(sheet(spark, f=dict.fromkeys(heads, []))).collect()}
+    assert got == {"mother_hr": (1, "hr"), "sub02_hbo": (2, "hbo"), "x": (None, "x"), "hr_p1": (1, "hr"), "hr__P2": (2, "hr"), "sub1-eeg": (1, "eeg"), "_s1": (1, "")}
+    two = dict.fromkeys(["hr_p1", "eda_p1", "EDA_p2", "hr_p2", "rr_p1"], [])
+    assert sorted((r["pos1"], r["pos2"]) for r in columns.pairs(sheet(spark, f=two, g={"hr_p1": []})).collect()) == [(0, 3), (1, 2)]
     assert columns.modality_of(["EEG alpha"]) == "neural" and columns.modality_of(["zz"]) == "behavioral"
 
 
