@@ -15,8 +15,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="duetspark")
     sub = p.add_subparsers(dest="command", required=True)
     a = sub.add_parser("analyze", help="one CSV file a modality")
-    a.add_argument("-i", "--inputs", required=True, help="comma-separated paths")
-    a.add_argument("-n", "--names", required=True, help="comma-separated modality names")
+    a.add_argument("-i", "--input", required=True, help="comma-separated paths")
+    a.add_argument("-n", "--names", help="comma-separated modality names; modality_0, modality_1 and so on without")
     a.add_argument("--hz", type=float, default=1.0)
     a.add_argument("--window-size", type=int, default=10)
     a.add_argument("--surrogates", type=int, default=500)
@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("-o", "--output", default="results.json")
     d = sub.add_parser("demo", help="a synthetic dyad whose lead is 12 s")
     d.add_argument("-o", "--output", default="demo_results.json")
-    d.add_argument("--surrogates", type=int, default=20)
+    d.add_argument("--surrogates", type=int, default=500)
     return p
 
 
@@ -34,7 +34,8 @@ def main(args: list[str] | None = None) -> int:
     o = parser().parse_args(args)
     spark = session()
     if o.command == "analyze":
-        paths, names = o.inputs.split(","), o.names.split(",")
+        paths = o.input.split(",")
+        names = o.names.split(",") if o.names else [f"modality_{i}" for i in range(len(paths))]
         if len(paths) != len(names):
             print(f"{len(paths)} files but {len(names)} names", file=sys.stderr)
             return 1

@@ -11,48 +11,60 @@ from pyspark.sql import functions as F
 from ..schema import FEATURES, PAIR
 from .features import features
 
+#: Windows of prediction within a pair are raised with the length of a series up to this.
+GROW = 60
 #: Features whose missing value means the event didn't happen within the window.
 DURATIONS = ("onset_latency", "peak_duration", "recovery_time")
 FOLDS = "fold_id int, train_size int, test_size int, dynamic_auc double, baseline_auc double, ar_baseline_auc double, delta_auc double"
 
 
-def hops(series: DataFrame, window: int, keys: list[str] | None = None) -> DataFrame:
-    """(keys, win, start, idx, r): samples in the windows of ``window`` that start every half window."""
-    keys, step = keys or PAIR, max(1, window // 2)
-    n = series.groupBy(*keys).agg((F.max("idx") + 1).alias("n"))
-    lo = F.greatest(F.lit(0), F.ceil((F.col("idx") - window + 1) / step))
-    hi = F.least(F.floor(F.col("idx") / step), F.floor((F.col("n") - window) / step))
-    dealt = series.join(n, keys).where(F.col("n") >= window).withColumn("win", F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
-    return dealt.select(*keys, "win", (F.col("win") * step).alias("start"), (F.col("idx") - F.col("win") * step).alias("idx"), "r")
+def windowed(series: DataFrame, window: int, keys: list[str], grow: int | None = None) -> DataFrame:
+    """``series`` of at least one window, with the series' length n, its window w and step.
 
+    With ``grow``, a series' window is raised to a quarter of its length, at most ``grow``.
+    """
+    w = F.greatest(F.lit(window), F.least(F.lit(grow), F.floor(F.col("n") / 4))) if grow else F.lit(window)
+    n = series.groupBy(*keys).agg((F.max("idx") + 1).alias("n")).withColumn("w", w.cast("bigint"))
+    sized = n.withColumn("step", F.greatest(F.lit(1), F.floor(F.col("w") / 2)).cast("bigint"))
+    return series.join(sized, keys).where("n >= w")
+
+
+def hops(series: DataFrame, window: int, keys: list[str] | None = None, grow: int | None = None) -> DataFrame:
+    """(keys, win, w, start, idx, r): samples in the windows that start every half window."""
+    keys, step = keys or PAIR, F.col("step")
+    lo = F.greatest(F.lit(0), F.ceil((F.col("idx") - F.col("w") + 1) / step))
+    hi = F.least(F.floor(F.col("idx") / step), F.floor((F.col("n") - F.col("w")) / step))
+    dealt = windowed(series, window, keys, grow).withColumn("win", F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
+    return dealt.select(*keys, "win", "w", (F.col("win") * step).alias("start"), (F.col("idx") - F.col("win") * step).alias("idx"), "r")
 
-def feature_matrix(series: DataFrame, window: int, hz: float = 1.0, onset: float = 0.2, keys: list[str] | None = None) -> DataFrame:
-    """(keys, win, the ten features) of each hopping window."""
+
+def feature_matrix(series: DataFrame, window: int, hz: float = 1.0, onset: float = 0.2, keys: list[str] | None = None, grow: int | None = None) -> DataFrame:
+    """(keys, win, the ten features) of each hopping window; with ``grow`` also w, the series' window."""
     keys = keys or PAIR
-    return features(hops(series, window, keys), [*keys, "win"], hz=hz, onset=onset)
+    return features(hops(series, window, keys, grow), [*keys, "win", *(["w"] if grow else [])], hz=hz, onset=onset)
 
 
-def future_labels(series: DataFrame, window: int, horizon: int = 1, threshold: float = 0.0, keys: list[str] | None = None) -> DataFrame:
+def future_labels(series: DataFrame, window: int, horizon: int = 1, threshold: float = 0.0, keys: list[str] | None = None, grow: int | None = None) -> DataFrame:
     """(keys, win, label): whether the mean of the ``horizon`` windows after a window, cut at the end, is
     above the threshold. No row where none is left or more than half of it is missing."""
-    keys, step, reach = keys or PAIR, max(1, window // 2), horizon * window
-    n = series.groupBy(*keys).agg((F.max("idx") + 1).alias("n"))
+    keys, step, w = keys or PAIR, F.col("step"), F.col("w")
     # a sample is in the future of windows that end at or before it and began within reach
-    lo = F.greatest(F.lit(0), F.ceil((F.col("idx") - window - reach + 1) / step))
-    hi = F.least(F.floor((F.col("idx") - window) / step), F.floor((F.col("n") - window) / step))
-    dealt = series.join(n, keys).where(F.col("n") >= window).withColumn("win", F.explode(F.when((lo <= hi) & (hi >= 0), F.sequence(lo, hi))))
+    lo = F.greatest(F.lit(0), F.ceil((F.col("idx") - w * (horizon + 1) + 1) / step))
+    hi = F.least(F.floor((F.col("idx") - w) / step), F.floor((F.col("n") - w) / step))
+    dealt = windowed(series, window, keys, grow).withColumn("win", F.explode(F.when((lo <= hi) & (hi >= 0), F.sequence(lo, hi))))
     by = dealt.groupBy(*keys, "win").agg(F.avg("r").alias("m"), F.count("r").alias("valid"), F.count("*").alias("all"))
     return by.where("valid >= 0.5 * all and valid > 0").select(*keys, "win", (F.col("m") > threshold).cast("int").alias("label"))
 
 
 def examples(series: DataFrame, window: int, hz: float = 1.0, horizon: int = 1, threshold: float = 0.0, onset: float = 0.2,
-             keys: list[str] | None = None) -> DataFrame:
+             keys: list[str] | None = None, grow: int | None = None) -> DataFrame:
     """(keys, win, label, the ten features) of windows with a label and any feature, imputed: a window's
     duration for DURATIONS, 0 for the rest."""
     keys = keys or PAIR
-    known = feature_matrix(series, window, hz, onset, keys).where(F.coalesce(*FEATURES).isNotNull())
-    filled = known.withColumns({f: F.coalesce(f, F.lit(window / hz if f in DURATIONS else 0.0)) for f in FEATURES})
-    return filled.join(future_labels(series, window, horizon, threshold, keys), [*keys, "win"]).select(*keys, "win", "label", *FEATURES)
+    known = feature_matrix(series, window, hz, onset, keys, grow).where(F.coalesce(*FEATURES).isNotNull())
+    duration = (F.col("w") if grow else F.lit(window)) / F.lit(float(hz))
+    filled = known.withColumns({f: F.coalesce(f, duration if f in DURATIONS else F.lit(0.0)) for f in FEATURES})
+    return filled.join(future_labels(series, window, horizon, threshold, keys, grow), [*keys, "win"]).select(*keys, "win", "label", *FEATURES)
 
 
 def splits(n: int, folds: int, gap: int = 0) -> list[tuple[int, int, int]]:
@@ -140,11 +152,12 @@ def rolling_origin_cv(
 ) -> tuple[DataFrame, DataFrame]:
     """Folds, and one row a series: means, mean coefficients and a warning.
 
+    A window below a quarter of a series is raised to it, at most to GROW.
     Folds of fewer than three test rows or a single class are skipped. Windows, features and
     labels are made by joins and aggregates; only a series' few rows of ten features meet in a task.
     """
     keys = keys or PAIR
-    rows = examples(series, window, hz, horizon, threshold, onset, keys)
+    rows = examples(series, window, hz, horizon, threshold, onset, keys, GROW)
     kinds = dict(rows.dtypes)
     head = ", ".join(f"{k} {kinds[k]}" for k in keys)
 

@@ -21,20 +21,30 @@ ALLOWED = {
 
 
 class Store:
-    """Tables below one folder. Each write makes a new version beside the old; readers see whole ones."""
+    """Tables below one folder, for one writer at a time and any number of readers.
+
+    A table is the newest of its version folders that is complete, that is, has the marker a Spark job
+    leaves at its end. Appending adds files to it; updates and deletions write the next version, and
+    only the one before it is kept, for readers that have begun.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _path(self, name: str) -> str:
-        return f"{self.folder}/{name}"
+    def _versions(self, name: str) -> list[int]:
+        """Complete versions of a table in ascending order."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/v*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        return sorted(int(f.getPath().getParent().getName()[1:]) for f in found)
+
+    def _path(self, name: str, version: int) -> str:
+        return f"{self.folder}/{name}/v{version}"
 
     def read(self, name: str, order: str | None = None, descending: bool = False, **equal) -> DataFrame:
-        schema = TABLES[name]
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
-        if not fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs_path):
+        schema, versions = TABLES[name], self._versions(name)
+        if not versions:
             return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(schema).parquet(self._path(name))
+        df = self.spark.read.schema(schema).parquet(self._path(name, versions[-1]))
         for k, v in equal.items():
             df = df.where(F.col(k) == v)
         return df.orderBy(F.desc(order) if descending else F.asc(order)) if order else df
@@ -53,13 +63,15 @@ class Store:
         full = wanted.unionByName(rows, allowMissingColumns=True)
         now = {c: F.coalesce(c, F.current_timestamp()) for c in ("created_at", "updated_at") if c in wanted.columns}
         checked = full.withColumn("id", F.coalesce("id", F.expr("uuid()"))).withColumns(now)
-        checked.withColumn("id", F.when(self.invalid(name, checked), F.raise_error(F.lit(f"value not allowed in {name}")).cast("string")).otherwise(F.col("id"))).write.mode("append").parquet(self._path(name))
+        checked.withColumn("id", F.when(self.invalid(name, checked), F.raise_error(F.lit(f"value not allowed in {name}")).cast("string")).otherwise(F.col("id"))).write.mode("append").parquet(self._path(name, (self._versions(name) or [0])[-1]))
 
     def _rewrite(self, name: str, rows: DataFrame) -> None:
-        """Written beside the table first, so a failed job leaves the old one."""
-        new = f"{self._path(name)}.new"
-        rows.write.mode("overwrite").parquet(new)
-        self.spark.read.schema(TABLES[name]).parquet(new).write.mode("overwrite").parquet(self._path(name))
+        """The next version; a failed job leaves the old one in place, and what it wrote is overwritten later."""
+        versions = self._versions(name)
+        rows.write.mode("overwrite").parquet(self._path(name, (versions or [-1])[-1] + 1))
+        for old in versions[:-1]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name, old))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def update(self, name: str, where: Column, **values) -> None:
         """Sets columns of matching rows, and updated_at where the table has it."""

@@ -321,3 +321,19 @@ def test_ingest(spark):
     assert spark.range(1).select(present(F.lit(float("inf")))).first()[0] is None
     s = spark.createDataFrame([("d", "m", "f", 1.0, 9.0, 0), ("d", "m", "f", 1.0, 7.0, 1)], SIGNALS + ", k int")
     assert [r["value"] for r in align.first_per_time(s, F.col("k")).collect()] == [9.0]
+
+
+def test_windows_grow_with_the_series(spark):
+    long = [("d", "p", i, float(np.sin(i / 20))) for i in range(250)]
+    short = [("d", "q", i, float(np.cos(i / 9))) for i in range(130)]
+    s = spark.createDataFrame(long + short, "dyad_id string, pair_key string, idx bigint, r double")
+    got = predict.hops(s, 30, grow=60).groupBy("pair_key").agg(F.max("w").alias("w"), F.max("win").alias("last"), F.count("*").alias("n")).collect()
+    assert {(r["pair_key"], r["w"], r["last"], r["n"]) for r in got} == {("p", 60, 6, 7 * 60), ("q", 32, 6, 7 * 32)}
+    label = {(r["pair_key"], r["win"]): r["label"] for r in predict.future_labels(s, 30, grow=60).collect()}
+    want = {}
+    for key, rows, w in (("p", long, 60), ("q", short, 32)):
+        for win, at in enumerate(range(0, len(rows) - w + 1, w // 2)):
+            if ahead := [x[3] for x in rows[at + w : at + 2 * w]]:
+                want[key, win] = int(np.mean(ahead) > 0)
+    assert label == want
+    assert {r["pair_key"] for r in predict.hops(s, 30).where("w = 30").select("pair_key").distinct().collect()} == {"p", "q"}

@@ -117,8 +117,12 @@ def test_store(spark, tmp_path):
     s.append("datasets", rows)
     s.append("data_streams", spark.createDataFrame([("9", "1", "bio"), ("8", "2", "bio")], "id string, dataset_id string, modality string"))
     assert [r["id"] for r in s.read("datasets", status="complete").collect()] == ["2"]
+    before = s.read("datasets", status="draft")
     s.update("datasets", F.col("id") == "1", status="complete")
-    assert s.read("datasets", order="name", status="complete").count() == 2
+    assert [r["id"] for r in before.collect()] == ["1"]  # one who read before still sees the old version whole
+    with pytest.raises(Exception, match="broken"):
+        s._rewrite("datasets", s.read("datasets").withColumn("name", F.raise_error(F.lit("broken")).cast("string")))
+    assert s.read("datasets", order="name", status="complete").count() == 2 and s._versions("datasets") == [0, 1]
     s.delete("datasets", rows.where("id = '1'"))
     assert [r["id"] for r in s.read("datasets").collect()] == ["2"] and [r["id"] for r in s.read("data_streams").collect()] == ["8"]
     with pytest.raises(Exception, match="not allowed"):
