@@ -72,11 +72,11 @@ def onset(series: DataFrame, threshold: float = 0.2, keys: list[str] | None = No
 
 
 def entropy(series: DataFrame, keys: list[str] | None = None, bins: int = 10) -> DataFrame:
-    """(keys, mean_synchrony, synchrony_entropy) over equal bins between least and greatest r."""
+    """(keys, mean_synchrony, synchrony_entropy) over equal bins between least and greatest r; a value on an edge is in the upper bin."""
     keys = keys or PAIR
     by = series.where("r is not null").groupBy(*keys).agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.avg("r").alias("mean_synchrony"), F.count("*").alias("n"))
     width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    place = F.coalesce(F.least(F.floor((F.col("r") - F.col("lo")) / width * bins), F.lit(bins - 1)), F.lit(0))
+    place = F.coalesce(F.least(F.floor(F.round((F.col("r") - F.col("lo")) / width * bins, 9)), F.lit(bins - 1)), F.lit(0))
     counts = series.where("r is not null").join(by, keys).groupBy(*keys, "mean_synchrony", "n", place.alias("bin")).agg(F.count("*").alias("c"))
     p = F.col("c") / F.col("n")
     return counts.groupBy(*keys, "mean_synchrony").agg(F.sum(-p * F.log(p)).alias("synchrony_entropy"))
