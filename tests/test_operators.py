@@ -337,3 +337,11 @@ def test_windows_grow_with_the_series(spark):
                 want[key, win] = int(np.mean(ahead) > 0)
     assert label == want
     assert {r["pair_key"] for r in predict.hops(s, 30).where("w = 30").select("pair_key").distinct().collect()} == {"p", "q"}
+
+
+def test_public_names_load():
+    import duetspark
+
+    assert all(callable(getattr(duetspark, n)) for n in duetspark.__all__)
+    with pytest.raises(AttributeError):
+        duetspark.unknown  # noqa: B018
