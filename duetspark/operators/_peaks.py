@@ -108,8 +108,7 @@ def ten_features(
         slope = float(((t - t.mean()) * (y - y.mean())).sum() / ((t - t.mean()) ** 2).sum())
     known = r[valid]
     span = known.max() - known.min()
-    # a value on a bin's lower edge is in that bin, whatever the last bits of its correlation
-    place = np.minimum(np.floor(np.round((known - known.min()) / span * 10, 9)), 9) if span > 0 else np.zeros(len(known))
+    place = np.minimum(np.floor((known - known.min()) / span * 10), 9) if span > 0 else np.zeros(len(known))
     share = np.unique(place, return_counts=True)[1] / len(known)
     after = int(valid[last:].sum())
     return {

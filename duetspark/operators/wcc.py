@@ -9,6 +9,8 @@ from ..schema import PAIR, ratio
 
 #: Windows in a chunk: a long pair is dealt to several tasks, each with the next chunk's head.
 CHUNK = 16_384
+#: Decimal places of a correlation.
+PLACES = 12
 _SIDE = ["mod_a", "feat_a", "mod_b", "feat_b"]
 
 
@@ -37,6 +39,9 @@ def lagged(paired: DataFrame, lag: int) -> DataFrame:
 def wcc(paired: DataFrame, window: int = 10, lag: int = 0, keys: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
     """(keys, idx, r): the correlation of samples idx to idx + window - 1, within [-1, 1].
 
+    r is rounded to 12 places, so that equal correlations are equal whatever the order of their
+    sums: thresholds, plateaus and ties then don't hang on last bits.
+
     A window with a missing value has no r. One without spread has none either, unless the pair
     (after the lag) has a missing value anywhere: then it is 0. Every row goes to its own chunk
     of positions and, if it is among the next chunk's first window - 1, to the one before.
@@ -55,7 +60,7 @@ def wcc(paired: DataFrame, window: int = 10, lag: int = 0, keys: list[str] | Non
     clean = F.when(F.col("__s") > 1e-10, F.col("__cov") / F.nullif("__s", F.lit(0.0)))
     holed = F.coalesce(ratio(F.col("__cov"), F.col("__s")), F.lit(0.0))
     r = F.when(F.col("__valid") == window, F.when(F.col("__holes"), holed).otherwise(clean))
-    bounded = F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    bounded = F.when(r.isNotNull(), F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)), PLACES))
     return framed.join(flags, keys).select(*keys, "idx", bounded.alias("r"))
 
 

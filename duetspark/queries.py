@@ -93,7 +93,7 @@ p AS (SELECT x.dyad_id, x.modality || '_value__' || y.modality || '_value' AS pa
       FROM z x JOIN z y ON x.dyad_id = y.dyad_id AND x.idx = y.idx AND x.modality < y.modality),
 v AS (SELECT dyad_id, pair_key, idx, count(*) OVER r AS n, covar_pop(x, y) OVER r AS c, stddev_pop(x) OVER r * stddev_pop(y) OVER r AS s FROM p
       WINDOW r AS (PARTITION BY dyad_id, pair_key ORDER BY idx ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
-w AS (SELECT dyad_id, pair_key, idx, CASE WHEN s > 1e-10 THEN greatest(-1.0, least(1.0, c / s)) END AS r FROM v WHERE n = {WINDOW}),
+w AS (SELECT dyad_id, pair_key, idx, CASE WHEN s > 1e-10 THEN round(greatest(-1.0, least(1.0, c / s)), 12) END AS r FROM v WHERE n = {WINDOW}),
 h AS (SELECT * FROM (VALUES (0, 0.0, 240.0, 'first'), (1, 240.0, 480.0, 'second'), (2, 480.0, 720.0, 'third')) t(k, start_sec, end_sec, label)),
 m AS (SELECT dyad_id, modality, idx // 24 AS epoch, avg(value) AS value FROM z GROUP BY ALL)
 """
@@ -277,7 +277,7 @@ def sliding_correlation(spark, sf_dir):
 @query(CTE + f""", o AS (SELECT p.dyad_id, p.pair_key, p.idx, p.x, q.y FROM p LEFT JOIN p q ON q.dyad_id = p.dyad_id AND q.pair_key = p.pair_key AND q.idx = p.idx - 3),
 s AS (SELECT dyad_id, pair_key, idx, count(*) OVER r AS n, count(y) OVER r AS k, covar_pop(x, y) OVER r AS c, stddev_pop(x) OVER r * stddev_pop(y) OVER r AS s FROM o
       WINDOW r AS (PARTITION BY dyad_id, pair_key ORDER BY idx ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING))
-SELECT dyad_id, pair_key, idx, round(CASE WHEN k = {WINDOW} THEN greatest(-1.0, least(1.0, coalesce(c / nullif(s, 0), 0))) END, 6) + 0.0 AS r FROM s WHERE n = {WINDOW}""")
+SELECT dyad_id, pair_key, idx, round(CASE WHEN k = {WINDOW} THEN round(greatest(-1.0, least(1.0, coalesce(c / nullif(s, 0), 0))), 12) END, 6) + 0.0 AS r FROM s WHERE n = {WINDOW}""")
 def wcc_lagged(spark, sf_dir):
     return wcc.wcc(paired(spark, sf_dir), WINDOW, 3).select("dyad_id", "pair_key", "idx", rounded("r").alias("r"))
 
@@ -291,7 +291,7 @@ def context_lookup(spark, sf_dir):
 @query(CTE + f""", s AS (SELECT p.dyad_id, label, pair_key, idx, x, y FROM p JOIN h ON idx >= start_sec AND idx < end_sec),
 t AS (SELECT dyad_id, label, pair_key, count(*) OVER r AS n, covar_pop(x, y) OVER r AS c, stddev_pop(x) OVER r * stddev_pop(y) OVER r AS s FROM s
       WINDOW r AS (PARTITION BY dyad_id, label, pair_key ORDER BY idx ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING))
-SELECT dyad_id, label, pair_key, count(*) AS windows, round(avg(CASE WHEN s > 1e-10 THEN greatest(-1.0, least(1.0, c / s)) END), 6) + 0.0 AS mean_r FROM t WHERE n = {WINDOW} GROUP BY ALL""")
+SELECT dyad_id, label, pair_key, count(*) AS windows, round(avg(CASE WHEN s > 1e-10 THEN round(greatest(-1.0, least(1.0, c / s)), 12) END), 6) + 0.0 AS mean_r FROM t WHERE n = {WINDOW} GROUP BY ALL""")
 def segment_wcc(spark, sf_dir):
     rows, _ = wcc.segments(paired(spark, sf_dir), phases(spark), WINDOW)
     keys = ["dyad_id", "label", "pair_key"]
@@ -325,7 +325,7 @@ _PEAKS = CTE.replace("WITH ", "WITH RECURSIVE ", 1) + peak_sql.profiles("w", "dy
 _CONTEXTS = CTE.replace("WITH ", "WITH RECURSIVE ", 1) + f""", pc AS (SELECT p.*, label, row_number() OVER (PARTITION BY dyad_id, label, pair_key ORDER BY p.idx) - 1 AS pos FROM p JOIN h ON p.idx >= start_sec AND p.idx < end_sec),
 vc AS (SELECT dyad_id, label, pair_key, pos AS idx, count(*) OVER r AS n, covar_pop(x, y) OVER r AS c, stddev_pop(x) OVER r * stddev_pop(y) OVER r AS s FROM pc
       WINDOW r AS (PARTITION BY dyad_id, label, pair_key ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
-wc AS (SELECT dyad_id, label, pair_key, idx, CASE WHEN s > 1e-10 THEN greatest(-1.0, least(1.0, c / s)) END AS r FROM vc WHERE n = {WINDOW})
+wc AS (SELECT dyad_id, label, pair_key, idx, CASE WHEN s > 1e-10 THEN round(greatest(-1.0, least(1.0, c / s)), 12) END AS r FROM vc WHERE n = {WINDOW})
 """ + peak_sql.profiles("wc", "dyad_id, label, pair_key")
 _HOPS = CTE.replace("WITH ", "WITH RECURSIVE ", 1) + """, hp AS (SELECT dyad_id, pair_key, CAST(j AS BIGINT) AS win, idx - j * 30 AS idx, r FROM w, range(0, 22) t(j) WHERE idx >= j * 30 AND idx < j * 30 + 60)
 """ + peak_sql.profiles("hp", "dyad_id, pair_key, win")
@@ -614,13 +614,13 @@ def convergence(spark, sf_dir):
     return viewer.convergence(paired(spark, sf_dir), 6.0).select("dyad_id", "pair_key", "idx", rounded("convergence").alias("convergence"))
 
 
-@query(CTE + """, s AS (SELECT 'all' AS dyad_id, 'events' AS modality, row_number() OVER (PARTITION BY epoch, dyad_id ORDER BY modality) AS o, epoch, value FROM m WHERE dyad_id = 'd0')
-SELECT epoch, round(((((max(value) FILTER (o = 1) + max(value) FILTER (o = 2)) / 2 + max(value) FILTER (o = 3)) / 2 + max(value) FILTER (o = 4)) / 2 + max(value) FILTER (o = 5)) / 2, 6) + 0.0 AS value FROM s GROUP BY epoch HAVING count(*) = 5""")
+@query(CTE + """, s AS (SELECT dyad_id, row_number() OVER (PARTITION BY epoch, dyad_id ORDER BY modality) AS o, epoch, value FROM m)
+SELECT dyad_id, epoch, round(((((max(value) FILTER (o = 1) + max(value) FILTER (o = 2)) / 2 + max(value) FILTER (o = 3)) / 2 + max(value) FILTER (o = 4)) / 2 + max(value) FILTER (o = 5)) / 2, 6) + 0.0 AS value FROM s GROUP BY dyad_id, epoch HAVING count(*) = 5""")
 def stream_merge(spark, sf_dir):
-    e = epochs(spark, sf_dir).where("dyad_id = 'd0'")
+    """Each dyad's five modalities, taken as streams of one, merged in order of their names."""
     rank = F.array_position(F.array(*map(F.lit, ["click", "error", "purchase", "signup", "view"])), F.col("modality"))
-    s = e.select("dyad_id", F.lit("events").alias("modality"), rank.alias("stream_ord"), "epoch", "value")
-    return viewer.merge_streams(s).select("epoch", rounded("value").alias("value"))
+    s = epochs(spark, sf_dir).select("dyad_id", F.lit("events").alias("modality"), rank.alias("stream_ord"), "epoch", "value")
+    return viewer.merge_streams(s).select("dyad_id", "epoch", rounded("value").alias("value"))
 
 
 @query(_EDGES + """SELECT dyad_id, source, target, CASE WHEN abs(lag) < 3 THEN printf('%s moderately precedes temporally %s by %.1fs. %s provides early signal for %s.', source, target, CAST(abs(lag) AS DOUBLE), source, target)
