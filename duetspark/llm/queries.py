@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, embed_dup, lang_id, licenses, mixing, near_dup, pii, quality, url_filter
+from . import chat, decontam, embed_dup, lang_id, licenses, merkle, mixing, near_dup, pii, quality, url_filter
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_compression_language_id": lang_id.op8_compression_language_id,
     "op9_itq_embedding_near_dedup": embed_dup.op9_itq_embedding_near_dedup,
     "op10_poisson_mixing": mixing.op10_poisson_mixing,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op7_minhash_near_dedup": near_dup.OP7_SQL,
     "op9_itq_embedding_near_dedup": embed_dup.OP9_SQL,
     "op10_poisson_mixing": mixing.OP10_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }
