@@ -147,26 +147,27 @@ def _siblings(kids: str, idx: Column) -> Column:
 
 
 def _descend(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(g, idx, kids, path) of the parents of leaves; ``path`` holds the siblings from them up to and
-    through ``roots`` (g, path)."""
-    found = None
+    """(g, idx, kids, path, subroot, root) of the parents of leaves; ``path`` holds the siblings from
+    them up to and through ``roots`` (g, path, subroot, root)."""
+    found, said = None, ["path", "subroot", "root"]
     for level in range(nodes.agg(F.max("level")).first()[0] or 0, 0, -1):
         own = nodes.where(F.col("level") == level)
-        here = own.where("top").join(roots, "g").select("g", "idx", "kids", "path")
+        here = own.where("top").join(roots, "g").select("g", "idx", "kids", *said)
         if found is not None:
-            up = found.select("g", F.col("idx").alias("__up"), F.col("kids").alias("__kids"), "path")
+            up = found.select("g", F.col("idx").alias("__up"), F.col("kids").alias("__kids"), *said)
             low = own.where("not top").withColumn("__up", F.floor(F.col("idx") / ARITY)).join(up, ["g", "__up"])
-            here = here.unionByName(low.select("g", "idx", "kids", F.concat(_siblings("__kids", F.col("idx")), "path").alias("path")))
+            here = here.unionByName(low.withColumn("path", F.concat(_siblings("__kids", F.col("idx")), "path")).select("g", "idx", "kids", *said))
         found = here
-    return roots.select("g", F.lit(0).cast("bigint").alias("idx"), F.array().cast("array<string>").alias("kids"), "path").limit(0) if found is None else found
+    return roots.select("g", F.lit(0).cast("bigint").alias("idx"), F.array().cast("array<string>").alias("kids"), *said).limit(0) if found is None else found
 
 
 def _paths(leaves: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``leaves`` (g, idx, n, ...) with ``path``: each level's siblings left and right, from the leaf up."""
+    """``leaves`` (g, idx, n, ...) with ``path``, each level's siblings left and right from the leaf up,
+    and subroot and root, which come down with it: leaves only ever meet their parents."""
     many = leaves.where("n > 1").withColumn("__up", F.floor(F.col("idx") / ARITY))
-    up = _descend(nodes, roots).select("g", F.col("idx").alias("__up"), F.col("kids").alias("__kids"), "path")
+    up = _descend(nodes, roots).select("g", F.col("idx").alias("__up"), F.col("kids").alias("__kids"), "path", "subroot", "root")
     joined = many.join(up, ["g", "__up"]).withColumn("path", F.concat(_siblings("__kids", F.col("idx")), "path")).drop("__up", "__kids")
-    return joined.unionByName(leaves.where("n = 1").join(roots.select("g", "path"), "g"))
+    return joined.unionByName(leaves.where("n = 1").join(roots, "g"))
 
 
 def fold(leaf: Column, path: Column) -> Column:
@@ -176,13 +177,11 @@ def fold(leaf: Column, path: Column) -> Column:
 
 def proofs(m: Manifest) -> DataFrame:
     """(doc_id, leaf, changed, subroot, root, path): the row's siblings, level by level to the root."""
-    members = m.above.where("level = -1").select("g", "idx", "n", F.col("kids")[0].alias("name"), F.col("digest").alias("subroot"))
+    members = m.above.where("level = -1").select("g", "idx", "n", F.col("kids")[0].alias("name"), "digest")
     tree = m.above.where("level >= 0")
-    start = tree.where("top").select("g", F.array().cast(_PATH).alias("path"))
-    root = tree.where("top").select("g", F.col("digest").alias("root"))
-    groups = cut(_paths(members, tree, start).join(root, "g").select(F.col("name").alias("g"), "subroot", "root", "path"))
-    found = _paths(m.leaves, m.nodes, groups.select("g", "path"))
-    return found.join(groups.drop("path"), "g").select("doc_id", "leaf", "changed", "subroot", "root", "path")
+    start = tree.where("top").select("g", F.array().cast(_PATH).alias("path"), F.lit("").alias("subroot"), F.col("digest").alias("root"))
+    groups = cut(_paths(members, tree, start).select(F.col("name").alias("g"), "path", F.col("digest").alias("subroot"), "root"))
+    return _paths(m.leaves, m.nodes, groups).select("doc_id", "leaf", "changed", "subroot", "root", "path")
 
 
 def root(m: Manifest) -> str | None:
