@@ -109,21 +109,16 @@ def _lines(text: str) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _keyed(line: Column, min_chars: int) -> Column:
-    """k1 and k2 of a line's key, null for one that is too short.
+def _exploded(docs: DataFrame, keep: list[str], min_chars: int) -> DataFrame:
+    """(keep, pos, k1, k2): a row for each line with a key that is long enough.
 
     The key is the line, stripped and with A-Z lower-cased. Two hashes of 64 bits stand for it: of a
     trillion keys any two agree in both with a chance of 2e-15.
     """
-    key = F.translate(F.btrim(line, F.lit(_SPACE)), _UPPER, _LOWER)
-    both = F.struct(F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(7), key).alias("k2"))
-    return F.when(F.length(key) >= min_chars, both)
-
-
-def _exploded(docs: DataFrame, keep: list[str | Column], min_chars: int) -> DataFrame:
-    """(keep, pos, k1, k2): a row for each line with a key that is long enough."""
-    keys = F.transform(_lines("text"), lambda x: _keyed(x, min_chars))
-    return docs.select(*keep, F.posexplode(keys).alias("pos", "k")).where("k is not null").select(*[c for c in docs.columns if c in keep], "pos", "k.*")
+    low = F.split(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), "\n", -1)  # the whole text at once
+    key = F.btrim(F.col("line"), F.lit(_SPACE))
+    lines = docs.select(*keep, F.posexplode(low).alias("pos", "line")).where(F.length(key) >= min_chars)
+    return lines.select(*keep, "pos", F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(7), key).alias("k2"))
 
 
 def _holders(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -178,7 +173,7 @@ class LineIndex:
         """Without the documents in ``ids`` (doc_id): as if they had never been inserted."""
         ids = ids.select("doc_id").distinct()
         changed = cut(self.holders.join(ids, "doc_id", "left_semi").select(*_KEY).distinct())
-        return self._with(cut(self.holders.join(ids, "doc_id", "left_anti")), changed)
+        return self._with(cut(self.holders.join(ids, "doc_id", "left_anti").select(*_KEY, "doc_id")), changed)
 
     def repeated(self, keys: DataFrame) -> DataFrame:
         """Of distinct ``keys`` (k1, k2) those that enough documents hold, with ``keeper``.
