@@ -22,6 +22,9 @@ from .base import cut, table
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys that a shard is meant to hold, of all that the index counts when it is built.
 SHARD_KEYS = 100_000
+#: Keys that at least so many lines of a table have, and one in so many of all its lines, are hot: at
+#: most HOT_KEYS of them, so they can be broadcast.
+HOT_LINES, HOT_KEYS = 10_000, 10_000
 #: Slots of a bucket, moves before a filter counts as full, share of slots filled when it is made.
 SLOTS, MOVES, LOAD = 4, 500, 0.8
 
@@ -176,14 +179,13 @@ class LineIndex:
         return self._with(cut(self.holders.join(ids, "doc_id", "left_anti").select(*_KEY, "doc_id")), changed)
 
     def repeated(self, keys: DataFrame) -> DataFrame:
-        """Of distinct ``keys`` (k1, k2) those that enough documents hold, with ``keeper``.
+        """Of distinct ``keys`` (k1, k2, n), written before, those that enough documents hold, with ``keeper``.
 
         Keys far more than the index has are asked in parts, each beside a copy of its shard's filter.
         """
-        keys = cut(keys)
         parts = max(1, -(-keys.count() // (self.shards * SHARD_KEYS)))
-        hits = _asked(self.filters, keys.select(_shard(self.shards).alias("shard"), F.pmod("k2", F.lit(parts)).alias("part"), *_KEY), parts)
-        return hits.join(self.counts, _KEY).where(F.col("refs") >= self.min_docs).select(*_KEY, "keeper")
+        hits = _asked(self.filters, keys.select(_shard(self.shards).alias("shard"), F.pmod("k2", F.lit(parts)).alias("part"), *_KEY, "n"), parts)
+        return hits.join(self.counts, _KEY).where(F.col("refs") >= self.min_docs).select(*_KEY, "n", "keeper")
 
     def clean(self, docs: DataFrame) -> DataFrame:
         """``docs`` (doc_id, text, ...) with the repeated lines dropped from ``text``, and n_lines, n_dropped.
@@ -197,8 +199,9 @@ class LineIndex:
         own = ["doc_id", "__h1", "__h2"]  # rows with one id may have different texts
         marked = docs.withColumns({"__h1": F.xxhash64("text"), "__h2": F.xxhash64(F.lit(7), "text")})
         lines = _exploded(marked, own, self.min_chars)
-        repeated = self.repeated(lines.select(*_KEY).distinct())
-        gone = lines.join(repeated, _KEY).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).distinct()
+        keys = cut(lines.groupBy(*_KEY).agg(F.count("*").alias("n")))
+        gone = _met(lines, cut(self.repeated(keys)), keys.agg(F.sum("n")).first()[0] or 0)
+        gone = gone.where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select(*own, "pos").distinct()
         gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("__h1").alias("__g1"), F.col("__h2").alias("__g2")).agg(F.collect_list("pos").alias("__gone"))
         same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h1") == F.col("__g1")) & (F.col("__h2") == F.col("__g2"))
         both = marked.join(gone, same, "left").select(*docs.columns, "__gone")
@@ -243,17 +246,32 @@ def _updated(filters: DataFrame, delta: DataFrame) -> DataFrame:
     return filters.groupBy("shard").cogroup(delta.groupBy("shard")).applyInPandas(run, "shard bigint, slots binary")
 
 
+def _met(lines: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
+    """``lines`` (k1, k2, ...) whose key is in ``repeated`` (k1, k2, n, keeper), with ``keeper``.
+
+    Hot keys are broadcast: no more than HOT_KEYS can each have that share of the ``total`` lines. Their
+    lines pass the join with the other keys under made-up ones, spread over all tasks.
+    """
+    is_hot = F.col("n") >= max(HOT_LINES, -(-total // HOT_KEYS))
+    hot = F.broadcast(repeated.where(is_hot).select(*_KEY, F.col("keeper").alias("__keeper"), F.lit(True).alias("__hot")))
+    cold = repeated.where(~is_hot).select(F.lit(False).alias("__hot"), F.col("k1").alias("__a"), F.col("k2").alias("__b"), "keeper")
+    marked = lines.join(hot, _KEY, "left").withColumn("__hot", F.coalesce("__hot", F.lit(False)))
+    marked = marked.withColumns({"__a": F.when(F.col("__hot"), F.xxhash64("doc_id", "pos")).otherwise(F.col("k1")), "__b": F.col("k2")})
+    both = marked.join(cold, ["__hot", "__a", "__b"], "left").withColumn("keeper", F.coalesce("__keeper", "keeper"))
+    return both.where(F.col("__hot") | F.col("keeper").isNotNull()).drop("__hot", "__a", "__b", "__keeper")
+
+
 def _asked(filters: DataFrame, keys: DataFrame, parts: int) -> DataFrame:
-    """Of distinct keys (shard, part, k1, k2) those that their shard's filter knows."""
+    """Of distinct keys (shard, part, k1, k2, n) those that their shard's filter knows."""
 
     def run(known: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(known) or not len(asked):
-            return asked.iloc[:0][_KEY]
+            return asked.iloc[:0][[*_KEY, "n"]]
         hit = Cuckoo.read(known["slots"].iloc[0]).has(asked["k1"].to_numpy(np.int64), asked["k2"].to_numpy(np.int64))
-        return asked.loc[hit, _KEY]
+        return asked.loc[hit, [*_KEY, "n"]]
 
     copies = filters.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
-    return copies.groupBy("shard", "part").cogroup(keys.groupBy("shard", "part")).applyInPandas(run, "k1 bigint, k2 bigint")
+    return copies.groupBy("shard", "part").cogroup(keys.groupBy("shard", "part")).applyInPandas(run, "k1 bigint, k2 bigint, n bigint")
 
 
 def op12_cuckoo_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,7 +108,9 @@ def some_docs(rng, ids):
     return [(i, "\n".join(rng.choice([rng.choice(common), "short", "", f"own line of document {i} {rng.random()}", common[0].upper()]) for _ in range(rng.randrange(1, 14)))) for i in ids]
 
 
-def test_lines_as_by_hand(spark):
+@pytest.mark.parametrize("hot", [10_000, 12])
+def test_lines_as_by_hand(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT_LINES", hot)
     rng = random.Random(8)
     rows = some_docs(rng, range(60))
     rows += [(70, None), (71, ""), (72, "\n\n"), (73, "a repeated line of one document\n" * 9), (None, rows[0][1]), (None, None)]
