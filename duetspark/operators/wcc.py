@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,97 @@ def wcc(paired: DataFrame, window: int = 10, lag: int = 0, keys: list[str] | Non
     return framed.join(flags, keys).select(*keys, "idx", bounded.alias("r"))
 
 
+#: Decimal places of a correlation that is compared with those of other lags.
+LAG_PLACES = 9
+
+
+def _sliding(a: np.ndarray, window: int, join: np.ufunc) -> np.ndarray:
+    """``join`` (add, maximum, minimum) over each ``window`` values of the last axis: what is left of a
+    block and what begins the next one, so nothing is ever subtracted."""
+    n = a.shape[-1]
+    short = -n % window
+    fill = 0.0 if join is np.add else -np.inf if join is np.maximum else np.inf
+    blocks = np.concatenate([a, np.full((*a.shape[:-1], short), fill)], axis=-1).reshape(*a.shape[:-1], -1, window)
+    head = join.accumulate(blocks, axis=-1).reshape(*a.shape[:-1], -1)
+    tail = join.accumulate(blocks[..., ::-1], axis=-1)[..., ::-1].reshape(*a.shape[:-1], -1)
+    starts = np.arange(n - window + 1)
+    return np.where(starts % window == 0, head[..., starts + window - 1], join(tail[..., starts], head[..., starts + window - 1]))
+
+
+def _moments(a: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, deviation and completeness of each window of centred values with NaN."""
+    known, filled = ~np.isnan(a), np.nan_to_num(a)
+    mean = _sliding(filled, window, np.add) / window
+    var = np.maximum(_sliding(filled * filled, window, np.add) / window - mean * mean, 0)
+    flat = _sliding(filled, window, np.maximum) == _sliding(filled, window, np.minimum)
+    return mean, np.where(flat, 0.0, np.sqrt(var)), _sliding(known.astype(float), window, np.add) == window
+
+
+def _lag_correlations(x: np.ndarray, y: np.ndarray, window: int, lags: np.ndarray) -> np.ndarray:
+    """(lags, windows): r of x[i : i + window] and y[i - lag : i - lag + window]; NaN where a value is missing
+    or a window is flat. ``y`` holds the largest lag's number of samples more at both ends."""
+    most, n = int(np.abs(lags).max(initial=0)), len(x)
+    x, y = x - np.nanmean(x) if (~np.isnan(x)).any() else x, y - np.nanmean(y) if (~np.isnan(y)).any() else y
+    mx, sx, kx = _moments(x, window)
+    my, sy, ky = _moments(y, window)
+    out = np.full((len(lags), n - window + 1), np.nan)
+    for k, lag in enumerate(lags):
+        at = slice(most - lag, most - lag + n - window + 1)
+        cov = _sliding(np.nan_to_num(x * y[most - lag : most - lag + n]), window, np.add) / window - mx * my[at]
+        spread = sx * sy[at]
+        fit = kx & ky[at] & (spread > 1e-10)
+        out[k, fit] = np.clip(cov[fit] / spread[fit], -1, 1)
+    return np.round(out, LAG_PLACES)
+
+
+def wcc_directional(paired: DataFrame, window: int = 10, max_lag: int = 12, step: int = 1, lag_step: int = 1, keys: list[str] | None = None,
+                    chunk: int = CHUNK) -> DataFrame:
+    """(keys, idx, lag, r, lags): of every ``step``-th window the lag at which the two series agree or
+    disagree most, and r there.
+
+    Lags go from -max_lag to max_lag by ``lag_step`` from 0; at lag k, x at i stands beside y at i - k, so a
+    negative lag means that x leads. Of equal |r| the smaller lag counts, then the negative one. ``lags``
+    is how many lags had a correlation: none without a full window of values in both series, or where
+    one of them is flat. A window without any has neither lag nor r. This is our own definition.
+
+    A sample goes to its chunk of positions and, where a window or a lag there reaches for it, to the
+    neighbouring ones: what is shuffled doesn't grow with the number of lags.
+    """
+    keys = keys or PAIR
+    kinds = dict(paired.dtypes)
+    lags = np.array(sorted([*range(0, max_lag + 1, lag_step), *range(-lag_step, -max_lag - 1, -lag_step)], key=lambda k: (abs(k), k)))
+    most = int(np.abs(lags).max(initial=0))
+    rows = paired.select(*keys, "idx", "x", "y")
+    first, last = F.floor((F.col("idx") - (window - 1) - most) / chunk), F.floor((F.col("idx") + most) / chunk)
+    dealt = rows.withColumn("__c", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        lo = int(key[-1]) * chunk
+        pos = pdf["idx"].to_numpy(np.int64) - lo
+        if pos.max() < 0:  # reached by lags of other windows only
+            return pd.DataFrame(columns=[*keys, "idx", "lag", "r", "lags"])
+        size = min(chunk, int(pos.max()) + 1) + window - 1
+        x, y = np.full(size, np.nan), np.full(size + 2 * most, np.nan)
+        near = (pos >= 0) & (pos < size)
+        x[pos[near]] = pdf["x"].to_numpy(float, na_value=np.nan)[near]
+        near = (pos >= -most) & (pos < size + most)
+        y[pos[near] + most] = pdf["y"].to_numpy(float, na_value=np.nan)[near]
+        r = _lag_correlations(x, y, window, lags)
+        at = np.arange(r.shape[1])[(-lo) % step :: step]
+        at = at[np.isin(at, pos) & np.isin(at + window - 1, pos)]  # windows that lie in the series
+        r = r[:, at]
+        best = np.where(np.isnan(r), -1, np.abs(r)).argmax(0) if len(at) else np.zeros(0, int)
+        counts = (~np.isnan(r)).sum(0)
+        out = pd.DataFrame({"idx": at + lo, "lag": np.where(counts > 0, lags[best], np.nan), "r": r[best, np.arange(len(at))], "lags": counts})
+        for name, value in zip(reversed(keys), reversed(key[:-1]), strict=True):
+            out.insert(0, name, value)
+        return out
+
+    fields = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    got = dealt.groupBy(*keys, "__c").applyInPandas(run, f"{fields}, idx bigint, lag double, r double, lags int")
+    return got.select(*keys, "idx", F.when(~F.isnan("lag"), F.col("lag").cast("int")).alias("lag"), F.when(~F.isnan("r"), F.col("r")).alias("r"), "lags")
+
+
 def in_context(df: DataFrame, contexts: DataFrame, time: Column | None = None) -> DataFrame:
     """Rows of ``df`` with each context of their dyad that they are in, start included, end not.
 

@@ -282,6 +282,33 @@ def wcc_lagged(spark, sf_dir):
     return wcc.wcc(paired(spark, sf_dir), WINDOW, 3).select("dyad_id", "pair_key", "idx", rounded("r").alias("r"))
 
 
+_DIRECTED = CTE + f""", dl AS (SELECT s.dyad_id, s.pair_key, s.idx, lag, s.x, t.y FROM p s, range(-{LAGS}, {LAGS} + 1) l(lag), p t WHERE t.dyad_id = s.dyad_id AND t.pair_key = s.pair_key AND t.idx = s.idx - lag),
+dw AS (SELECT dyad_id, pair_key, idx, CAST(lag AS INTEGER) AS lag, count(*) OVER r AS n, covar_pop(x, y) OVER r AS c, stddev_pop(x) OVER r * stddev_pop(y) OVER r AS s FROM dl
+       WINDOW r AS (PARTITION BY dyad_id, pair_key, lag ORDER BY idx ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+dr AS (SELECT dyad_id, pair_key, idx, lag, round(greatest(-1.0, least(1.0, c / s)), 9) AS r FROM dw WHERE n = {WINDOW} AND s > 1e-10),
+db AS (SELECT dyad_id, pair_key, idx, arg_max(lag, {{'a': abs(r), 'b': -abs(lag), 'c': -lag}}) AS lag, arg_max(r, {{'a': abs(r), 'b': -abs(lag), 'c': -lag}}) AS r, CAST(count(*) AS INTEGER) AS lags FROM dr GROUP BY ALL),
+dd AS (SELECT w.dyad_id, w.pair_key, w.idx, lag, db.r, coalesce(lags, 0) AS lags FROM w LEFT JOIN db USING (dyad_id, pair_key, idx) WHERE w.idx % 2 = 0)
+"""
+
+
+def _directed(spark, sf_dir):
+    return wcc.wcc_directional(paired(spark, sf_dir), WINDOW, LAGS, 2)
+
+
+@query(_DIRECTED + "SELECT dyad_id, pair_key, idx, lag, round(r, 6) + 0.0 AS r, lags FROM dd")
+def wcc_directional(spark, sf_dir):
+    """Every other window's best lag of 25."""
+    return _directed(spark, sf_dir).withColumn("r", rounded("r"))
+
+
+@query(_DIRECTED + """, de AS (SELECT dyad_id, pair_key, idx // 24 AS epoch, avg(r) AS s, avg(lag) AS l, avg(CAST(r < 0 AS INTEGER)) AS f FROM dd GROUP BY ALL)
+SELECT dyad_id, pair_key, epoch, round(s, 6) + 0.0 AS mean_signed, round(l, 6) + 0.0 AS mean_lag, round(f, 6) + 0.0 AS fraction_negative, CASE WHEN l < 0 THEN 'a_leads' WHEN l > 0 THEN 'b_leads' ELSE 'synchronous' END AS direction FROM de""")
+def epoch_directional(spark, sf_dir):
+    """Who leads, and how often the two move apart, by day."""
+    w = _directed(spark, sf_dir).select("dyad_id", "pair_key", F.floor(F.col("idx") / 2).alias("win"), F.col("r").alias("ccf"), "lag")
+    return _rounded_all(viewer.epoch_direction(w, 12), ["mean_signed", "mean_lag", "fraction_negative"])
+
+
 @query(CTE + "SELECT dyad_id, modality, idx, k AS ctx_id, label FROM z JOIN h ON idx >= start_sec AND idx < end_sec")
 def context_lookup(spark, sf_dir):
     got = context.context_at(scored(spark, sf_dir), phases(spark))
