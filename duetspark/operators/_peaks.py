@@ -1,121 +1,90 @@
-"""Peaks of one correlation series, in numpy: a helper of grouped functions."""
+"""Peak search in pieces of a series, in numpy: helpers of the functions in ``peaks``."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-def find_peaks(v: np.ndarray, height: float, distance: int, prominence: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Indices, prominences and widths of local maxima that pass, in turn, height, distance,
-    prominence and a width of one sample at half prominence.
+class Search:
+    """Where a series first rises above, or sinks to, a level; by the extremes of its blocks."""
 
-    A plateau peaks at its middle; the first and last samples never do. Closer than ``distance``
-    the higher one stays, and of equals the later.
+    def __init__(self, v: np.ndarray, block: int = 128):
+        self.v, self.block = v, block
+        starts = np.arange(0, len(v), block)
+        self.high, self.low = np.maximum.reduceat(v, starts), np.minimum.reduceat(v, starts)
+
+    def first(self, start: int, level: float, above: bool) -> int:
+        """The first place from ``start`` on whose value is above the level (else: at it or below); -1: none."""
+        fits = (lambda x: x > level) if above else (lambda x: x <= level)
+        b = start // self.block
+        hit = np.flatnonzero(fits(self.v[start : (b + 1) * self.block]))
+        if len(hit):
+            return start + int(hit[0])
+        blocks = np.flatnonzero(fits((self.high if above else self.low)[b + 1 :]))
+        if not len(blocks):
+            return -1
+        a = (b + 1 + int(blocks[0])) * self.block
+        return a + int(np.flatnonzero(fits(self.v[a : a + self.block]))[0])
+
+
+def level_runs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the runs of equal values."""
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(v) != 0]))
+    return starts, np.concatenate([starts[1:], [len(v)]])
+
+
+def summits(v: np.ndarray) -> np.ndarray:
+    """The middles of the runs that are higher than both neighbours; the first and last run have but one."""
+    starts, ends = level_runs(v)
+    if len(starts) < 3:
+        return np.zeros(0, np.int64)
+    level = v[starts]
+    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
+    return (starts[top] + ends[top] - 1) // 2
+
+
+def settle(p: np.ndarray, v: np.ndarray, fate: np.ndarray, distance: int, lo: float, hi: float) -> np.ndarray:
+    """Which of the summits at ``p`` (ascending) stay if, from the highest on and of equals from the later
+    on, each one that stays removes those closer than ``distance``: 1 stays, -1 goes, 0 can't be told yet.
+
+    ``fate`` holds what is known already. Summits between ``lo`` and ``hi`` are all given; what hangs on
+    others stays open.
     """
-    n = len(v)
-    change = np.flatnonzero(np.diff(v) != 0) + 1
-    starts, ends = np.concatenate([[0], change]), np.concatenate([change, [n]])  # runs of equal values
-    top = np.zeros(len(starts), bool)
-    if len(starts) > 2:
-        level = v[starts]
-        top[1:-1] = (level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])
-    at = (starts[top] + ends[top] - 1) // 2
-    at = at[v[at] >= height]
-    keep = np.ones(len(at), bool)
-    for k in np.argsort(v[at], kind="stable")[::-1]:
-        if keep[k]:
-            near = np.abs(at - at[k]) < distance
-            near[k] = False
-            keep &= ~near
-    at = at[keep]
-    out, prominences, widths = [], [], []
-    for p in at:
-        higher = np.flatnonzero(v > v[p])
-        left = higher[higher < p].max(initial=-1) + 1
-        right = higher[higher > p].min(initial=n) - 1
-        tall = v[p] - max(v[left : p + 1].min(), v[p : right + 1].min())
-        if tall < prominence:
+    order = np.lexsort((p, v))[::-1]
+    rank = np.empty(len(p), np.int64)
+    rank[order] = np.arange(len(p))
+    fate = fate.copy()
+    first, last = np.searchsorted(p, p - distance, "right"), np.searchsorted(p, p + distance, "left")
+    for k in order.tolist():
+        if fate[k]:
+            continue
+        near = slice(first[k], last[k])
+        if (fate[near] == 1).any():
+            fate[k] = -1
+        elif ((fate[near] == 0) & (rank[near] < rank[k])).any() or p[k] - distance < lo or p[k] + distance > hi:
             continue
-        level = v[p] - tall / 2
-        i = p
-        while i > left and level < v[i]:
-            i -= 1
-        a = float(i) + ((level - v[i]) / (v[i + 1] - v[i]) if v[i] < level else 0.0)
-        i = p
-        while i < right and level < v[i]:
-            i += 1
-        b = float(i) - ((level - v[i]) / (v[i - 1] - v[i]) if v[i] < level else 0.0)
-        if b - a >= 1:
-            out.append(p)
-            prominences.append(tall)
-            widths.append(b - a)
-    return np.array(out, int), np.array(prominences), np.array(widths)
-
-
-def profiles(r: np.ndarray, hz: float = 1.0, height: float = 0.2, distance: int | None = None, prominence: float | None = None) -> list[dict]:
-    """A dict for each peak: place, time, value, prominence, width, time to the next, rise, fall."""
-    valid = ~np.isnan(r)
-    v = np.where(valid, r, r[valid].mean() if valid.any() else 0.0)
-    n = len(v)
-    at, tall, wide = find_peaks(v, height, max(10, int(hz)) if distance is None else distance, height / 2 if prominence is None else prominence)
-    out = []
-    for k, p in enumerate(at):
-        before, after = at[k - 1] if k else None, at[k + 1] if k + 1 < len(at) else None
-        if before is not None:
-            low = before + int(np.argmin(v[before : p + 1]))
-            rise = (v[p] - v[low]) / ((p - low) / hz)
-        else:
-            rise = (v[p] - v[:p].mean()) / (p / hz)
-        if after is not None:
-            low = p + int(np.argmin(v[p : after + 1]))
-            fall = (v[p] - v[low]) / ((low - p) / hz)
         else:
-            fall = (v[p] - v[p:].mean()) / ((n - 1 - p) / hz)
-        out.append({
-            "peak_index": int(p), "peak_time_sec": p / hz, "peak_value": float(v[p]), "prominence": float(tall[k]), "width_samples": float(wide[k]),
-            "inter_peak_interval_sec": None if after is None else float((after - p) / hz), "build_up_rate": float(rise), "breakdown_rate": float(fall),
-        })
-    return out
+            fate[k] = 1
+    return fate
 
 
-def ten_features(
-    r: np.ndarray, hz: float = 1.0, onset: float = 0.2, max_missing: float = 0.2, height: float | None = None,
-    distance: int | None = None, prominence: float | None = None, aggregation: str = "mean",
-) -> dict[str, float] | None:
-    """The ten features of a series (NaN: missing), or None: too much missing, or no peak."""
-    valid = ~np.isnan(r)
-    if not len(r) or 1 - valid.mean() > max_missing or valid.sum() < 5:
-        return None
-    peaks = profiles(r, hz, onset if height is None else height, distance, prominence)
-    if not peaks:
-        return None
-    value = np.array([p["peak_value"] for p in peaks])
-    best = int(value.argmax())
-
-    def over(name: str, scale: float = 1.0) -> float:
-        x = np.array([p[name] for p in peaks]) * scale
-        return float(x[best] if aggregation == "max" else np.median(x) if aggregation == "median" else x.mean())
-
-    first, last = peaks[0]["peak_index"], peaks[-1]["peak_index"]
-    crossed = np.flatnonzero(np.where(valid, r, -np.inf) >= onset)
-    start = int(crossed[0]) if len(crossed) else 0
-    pre = r[: max(first, 1)]
-    pre = pre[~np.isnan(pre)]
-    rising, slope = r[start : first + 1], 0.0
-    t = np.flatnonzero(~np.isnan(rising)) / hz
-    if first - start > 1 and len(t) > 1:
-        y = rising[~np.isnan(rising)]
-        slope = float(((t - t.mean()) * (y - y.mean())).sum() / ((t - t.mean()) ** 2).sum())
-    known = r[valid]
-    span = known.max() - known.min()
-    place = np.minimum(np.floor((known - known.min()) / span * 10), 9) if span > 0 else np.zeros(len(known))
-    share = np.unique(place, return_counts=True)[1] / len(known)
-    after = int(valid[last:].sum())
-    return {
-        "onset_latency": start / hz if len(crossed) else first / hz,
-        "onset_amplitude": float(r[start]) if len(crossed) else float(pre[0]) if len(pre) else np.nan,
-        "build_up_slope": slope, "build_up_rate": over("build_up_rate"), "peak_amplitude": float(value.max()),
-        "peak_duration": over("width_samples", 1 / hz), "breakdown_rate": over("breakdown_rate"),
-        "recovery_time": after / hz if after else np.nan, "mean_synchrony": float(known.mean()),
-        "synchrony_entropy": float(-(share * np.log(share)).sum()),
-    }
+def ends_of_runs(chunks: list[dict], size: int) -> list[tuple[int, float]]:
+    """Summits in runs that touch a border between chunks, from each chunk's first and last run, in order."""
+    out: list[tuple[int, float]] = []
+    run: tuple[int, float, float | None] | None = None  # start, value, the value before it
+
+    def close(end: int, after: float) -> None:
+        start, value, before = run
+        if before is not None and value > before and value > after:
+            out.append(((start + end) // 2, value))
+
+    for ch in chunks:
+        base, single = ch["c"] * size, ch["first_len"] == ch["len"]
+        if run is None or run[1] != ch["first"]:
+            if run is not None:
+                close(base - 1, ch["first"])
+            run = (base, ch["first"], None if run is None else run[1])
+        if not single:
+            close(base + ch["first_len"] - 1, ch["after"])
+            run = (base + ch["len"] - ch["last_len"], ch["last"], ch["before"])
+    return out

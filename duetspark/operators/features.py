@@ -2,54 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import FEATURES, PAIR
-from ._peaks import profiles, ten_features
+from ..schema import PAIR
+from .peaks import features, peaks
 from .wcc import segments, wcc
 
-PEAKS = (
-    "peak_index bigint, peak_time_sec double, peak_value double, prominence double, width_samples double, "
-    "inter_peak_interval_sec double, build_up_rate double, breakdown_rate double"
-)
-
-
-def _series(pdf: pd.DataFrame) -> np.ndarray:
-    return pdf.sort_values("idx")["r"].to_numpy(float, na_value=np.nan)
-
-
-def _fields(df: DataFrame, keys: list[str]) -> str:
-    kinds = dict(df.dtypes)
-    return ", ".join(f"{k} {kinds[k]}" for k in keys)
-
-
-def peaks(series: DataFrame, keys: list[str] | None = None, hz: float = 1.0, height: float = 0.2, distance: int | None = None,
-          prominence: float | None = None) -> DataFrame:
-    """One row a peak of each series (keys, idx, r). A series is one recording's and meets in one task."""
-    keys = keys or PAIR
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(profiles(_series(pdf), hz, height, distance, prominence), columns=[f.split()[0] for f in PEAKS.split(", ")])
-        for name, value in zip(reversed(keys), reversed(key), strict=True):
-            out.insert(0, name, value)
-        return out
-
-    return series.select(*keys, "idx", "r").groupBy(*keys).applyInPandas(run, f"{_fields(series, keys)}, {PEAKS}")
-
-
-def features(series: DataFrame, keys: list[str] | None = None, **options) -> DataFrame:
-    """(keys, the ten features) of each series (keys, idx, r); NULL throughout where there are none."""
-    keys = keys or PAIR
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = ten_features(_series(pdf), **options) or {}
-        return pd.DataFrame([[*key, *[None if np.isnan(v := found.get(f, np.nan)) else v for f in FEATURES]]], columns=[*keys, *FEATURES])
-
-    return series.select(*keys, "idx", "r").groupBy(*keys).applyInPandas(run, f"{_fields(series, keys)}, " + ", ".join(f"{f} double" for f in FEATURES))
-
+__all__ = ["all_pairs", "entropy", "features", "onset", "peaks", "per_context", "recovery", "score_view"]
 
 def all_pairs(paired: DataFrame, window: int = 10, **options) -> DataFrame:
     return features(wcc(paired, window), **options)

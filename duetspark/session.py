@@ -9,6 +9,7 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     """UTC, adaptive execution and ANSI mode; a cluster's own settings stay unless given here."""
     builder = SparkSession.builder.appName("duetspark").config("spark.sql.session.timeZone", "UTC")
     builder = builder.config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     if partitions:

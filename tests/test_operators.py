@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from duetspark.functions import text as wording
 from duetspark.operators import align, cascade, clean, context, normalize, predict, quality, viewer, wcc
-from duetspark.operators._peaks import find_peaks
 from duetspark.schema import ALIGNED, SIGNALS, as_signals, present
 
 N = None
@@ -188,16 +187,6 @@ def test_pair_order(spark):
     assert {r["pair_key"] for r in p.collect()} == {"c_v__a_v", "c_v__b_v", "a_v__b_v"}
 
 
-def test_peaks():
-    v = np.zeros(60)
-    v[[10, 30, 33]] = [1, 0.8, 0.9]
-    v[9] = v[11] = 0.5
-    v[50:53] = 0.7
-    at, tall, wide = find_peaks(v, 0.2, 10, 0.1)
-    assert at.tolist() == [10, 33, 51] and np.allclose(tall, [1, 0.9, 0.7]) and np.allclose(wide, [2, 1, 3])
-    assert find_peaks(np.arange(9.0), 0, 1, 0)[0].tolist() == []
-
-
 def test_ccf_as_numpy(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal(90)
