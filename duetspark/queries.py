@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import peak_sql
 from .functions import text as wording
-from .operators import align, cascade, clean, context, features, normalize, predict, quality, viewer, wcc
+from .operators import align, cascade, clean, context, episodes, features, normalize, predict, prelude, quality, viewer, wcc
 from .operators.neighbours import with_neighbours
 from .schema import FEATURES, SERIES
 from .streaming import epochs as stream
@@ -552,6 +552,70 @@ def cross_modal_prediction(spark, sf_dir):
     return predict.cross_modal(series(spark, sf_dir), 40, folds=3)[1]
 
 
+_AHEAD = CTE + """, cx AS (SELECT dyad_id, epoch, avg(value) AS c, list(value ORDER BY modality) AS x FROM m GROUP BY ALL HAVING count(value) = 5),
+cl AS (SELECT dyad_id, avg(c) + 0.5 * stddev_pop(c) AS level FROM cx GROUP BY ALL),
+ex AS (SELECT a.dyad_id, a.epoch, CAST(b.c >= level AS INTEGER) AS label, a.c AS composite, list_concat(a.x, list_transform(range(1, 6), lambda k: a.x[k] - w.x[k])) AS x
+  FROM cx a JOIN cx b ON b.dyad_id = a.dyad_id AND b.epoch = a.epoch + 2 JOIN cx w ON w.dyad_id = a.dyad_id AND w.epoch = a.epoch - 1 JOIN cl ON cl.dyad_id = a.dyad_id)
+"""
+_MODALITIES = ["click", "error", "purchase", "signup", "view"]
+
+
+def _preludes(spark, sf_dir):
+    return prelude.examples(epochs(spark, sf_dir), 2)
+
+
+@query(_AHEAD + """, lf AS (SELECT *, unnest(range(1, 11)) AS k FROM ex)
+SELECT dyad_id, epoch, label, CAST(k - 1 AS INTEGER) AS k, round(x[k], 6) + 0.0 AS x FROM lf""")
+def prelude_examples(spark, sf_dir):
+    """What the modalities do on a day, and whether the dyad is in step two days later."""
+    return _preludes(spark, sf_dir).select("dyad_id", "epoch", "label", F.posexplode("x").alias("k", "x")).withColumn("x", rounded("x"))
+
+
+@query(_AHEAD + """, pp AS (SELECT dyad_id, label, round(1 / (1 + exp(-composite)), 9) AS p FROM ex),
+pc AS (SELECT dyad_id, count(*) AS n, count_if(p >= 0.5 AND label = 1)::BIGINT AS tp, count_if(p >= 0.5 AND label = 0)::BIGINT AS fp, count_if(p < 0.5 AND label = 0)::BIGINT AS tn, count_if(p < 0.5 AND label = 1)::BIGINT AS fn FROM pp GROUP BY ALL),
+pa AS (SELECT a.dyad_id, avg(CASE WHEN a.p > b.p THEN 1 WHEN a.p = b.p THEN 0.5 ELSE 0 END) AS auc FROM pp a JOIN pp b ON a.dyad_id = b.dyad_id AND a.label = 1 AND b.label = 0 GROUP BY ALL)
+SELECT pc.*, round((tp + tn) / n, 6) + 0.0 AS accuracy, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) + 0.0 AS f1, round(tp / nullif(tp + fn, 0), 6) + 0.0 AS sensitivity,
+  round(tn / nullif(tn + fp, 0), 6) + 0.0 AS specificity, round(auc, 6) + 0.0 AS auc FROM pc LEFT JOIN pa USING (dyad_id)""")
+def persistence_report(spark, sf_dir):
+    """How well today's composite alone tells the state two days later."""
+    p = _preludes(spark, sf_dir).select("dyad_id", "label", F.round(1 / (1 + F.exp(-F.col("composite"))), 9).alias("p"))
+    return _rounded_all(prelude.report(p), ["accuracy", "f1", "sensitivity", "specificity", "auc"])
+
+
+@query()
+def prelude_report(spark, sf_dir):
+    """The same of models fitted to all but the day that they are asked about."""
+    return _rounded_all(prelude.report(prelude.left_out(_preludes(spark, sf_dir))), ["accuracy", "f1", "sensitivity", "specificity", "auc"])
+
+
+# ---- episodes ----
+
+_STATES = CTE + """, es AS (SELECT dyad_id, modality, epoch, value, value >= avg(value) OVER k + 0.5 * stddev_pop(value) OVER k AS high FROM m WINDOW k AS (PARTITION BY dyad_id, modality)),
+er AS (SELECT dyad_id, modality, high, min(epoch) AS first, max(epoch) AS last, count(*) AS epochs FROM (SELECT *, epoch - row_number() OVER (PARTITION BY dyad_id, modality, high ORDER BY epoch) AS run FROM es) GROUP BY dyad_id, modality, high, run),
+ee AS (SELECT dyad_id, modality, min(epoch) AS a, max(epoch) AS b FROM es GROUP BY ALL)
+"""
+
+
+@query(_STATES + """, t AS (SELECT dyad_id, modality, min(epoch) FILTER (high) AS onset, max(value) AS peak, arg_min(value, epoch) AS v, min(epoch) AS a, arg_max(epoch, {'v': value, 'e': -epoch}) AS b, min(value) AS lo FROM es GROUP BY ALL),
+hd AS (SELECT dyad_id, modality, coalesce(max(epochs) FILTER (high), 0) AS maintenance, CAST(count_if(high AND last < b) AS BIGINT) AS breakdowns, avg(epochs) FILTER (NOT high AND first > a AND last < b) AS recovery FROM er JOIN ee USING (dyad_id, modality) GROUP BY ALL),
+nb AS (SELECT dyad_id, modality, least(floor((value - lo) / (peak - lo) * 10), 9) AS bin, count(*) AS c FROM es JOIN t USING (dyad_id, modality) GROUP BY ALL),
+y AS (SELECT dyad_id, modality, sum(-c / total * ln(c / total)) AS entropy FROM (SELECT *, sum(c) OVER (PARTITION BY dyad_id, modality) AS total FROM nb) GROUP BY ALL)
+SELECT dyad_id, modality, onset, round((peak - v) / nullif(b - a, 0), 6) + 0.0 AS build_up, round(peak, 6) + 0.0 AS peak, maintenance, breakdowns, round(recovery, 6) + 0.0 AS recovery, round(entropy, 6) + 0.0 AS entropy
+FROM t JOIN hd USING (dyad_id, modality) JOIN y USING (dyad_id, modality)""")
+def dynamics(spark, sf_dir):
+    """How each modality rises above its threshold, holds, breaks and returns, by days."""
+    return _rounded_all(episodes.dynamics(epochs(spark, sf_dir)), ["build_up", "peak", "recovery", "entropy"])
+
+
+@query(_STATES + """, o AS (SELECT dyad_id, modality, min(epoch) AS onset FROM es WHERE high GROUP BY ALL),
+ol AS (SELECT dyad_id, arg_min(modality, {'o': onset, 'm': modality}) AS leader, max(onset) - min(onset) AS delay FROM o GROUP BY ALL),
+oc AS (SELECT dyad_id, epoch, count_if(high) AS h FROM es GROUP BY ALL)
+SELECT dyad_id, any_value(leader) AS leader, any_value(delay) AS delay, CAST(count_if(h >= 2) AS BIGINT) AS coherence, round(avg(CAST(h = 5 AS INTEGER)), 6) + 0.0 AS full_chord FROM oc LEFT JOIN ol USING (dyad_id) GROUP BY dyad_id""")
+def chords(spark, sf_dir):
+    """Which modality leads, and how often several are high together."""
+    return episodes.chords(epochs(spark, sf_dir)).withColumn("full_chord", rounded("full_chord"))
+
+
 # ---- reports and viewer ----
 
 
