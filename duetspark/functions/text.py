@@ -48,7 +48,7 @@ def allowed(text: Column, words: list[str] | None = None) -> Column:
 
 
 def timestamp(ms: Column) -> Column:
-    """Milliseconds as m:ss.mmm."""
+    """Milliseconds as m:ss.mmm, with a minus sign before a time before zero."""
     whole = F.floor(ms).cast("bigint")
-    part = lambda x, n: F.lpad(x.cast("string"), n, "0")
-    return F.concat((F.floor(whole / 60000)).cast("string"), F.lit(":"), part(F.floor(whole % 60000 / 1000), 2), F.lit("."), part(whole % 1000, 3))
+    size, part = F.abs(whole), lambda x, n: F.lpad(x.cast("string"), n, "0")
+    return F.concat(F.when(whole < 0, "-").otherwise(""), F.floor(size / 60000).cast("string"), F.lit(":"), part(F.floor(size % 60000 / 1000), 2), F.lit("."), part(size % 1000, 3))

@@ -234,25 +234,27 @@ def multicollinearity(rows: DataFrame, keys: list[str] | None = None, above: flo
     return rows.groupBy(*keys).agg(F.array(*r).alias("rs")).select(*keys, F.explode("rs").alias("p")).select(*keys, "p.*").where(F.abs("r") > above)
 
 
-def bootstrap_ci(values: np.ndarray, draws: int = 1000, alpha: float = 0.05, seed: int = 42) -> tuple[float, float] | None:
-    """Percentile interval of resampled means of a handful of fold results; None for fewer than three."""
-    if len(values) < 3:
-        return None
-    rng = np.random.default_rng(seed)
-    means = rng.choice(np.asarray(values, float), (draws, len(values))).mean(axis=1)
-    return float(np.percentile(means, 100 * alpha / 2)), float(np.percentile(means, 100 * (1 - alpha / 2)))
+def bootstrap_ci(rows: DataFrame, keys: list[str], value: str, order: str, draws: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """(keys, n, lower, upper): percentile interval of the means of resampled values; NULL for fewer than three.
 
+    What the j-th place of a resample holds follows from a hash of seed, keys, draw and place, so a run
+    repeats wherever it is computed. Resamples are rows, their means and percentiles aggregates; places are
+    looked up by number, so a key's values are spread as well.
+    """
+    known = rows.where(F.col(value).isNotNull())
+    numbered = known.select(*keys, F.col(value).alias("__v"), (F.row_number().over(SparkWindow.partitionBy(*keys).orderBy(order)) - 1).alias("__k"))
+    n = known.groupBy(*keys).agg(F.count("*").alias("n"))
+    places = n.where("n >= 3").withColumn("__d", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), *keys, F.col("__d").cast("string"), F.col("__j").cast("string")).cast("binary"))
+    picked = places.withColumn("__k", F.conv(F.substring(hashed, 1, 8), 16, 10).cast("bigint") % F.col("n"))
+    means = picked.join(numbered, [*keys, "__k"]).groupBy(*keys, "__d").agg(F.avg("__v").alias("m"))
+    ends = means.groupBy(*keys).agg(F.percentile("m", alpha / 2).alias("lower"), F.percentile("m", 1 - alpha / 2).alias("upper"))
+    return n.join(ends, keys, "left").select(*keys, "n", "lower", "upper")
 
-def fold_intervals(folds: DataFrame, keys: list[str] | None = None, column: str = "delta_auc", **options) -> DataFrame:
-    """(keys, lower, upper): bootstrap interval of a series' folds; NULL for fewer than three."""
-    keys = keys or PAIR
-    kinds = dict(folds.dtypes)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = bootstrap_ci(pdf.sort_values("fold_id")[column].to_numpy(), **options) or (None, None)
-        return pd.DataFrame([[*key, lo, hi]], columns=[*keys, "lower", "upper"])
 
-    return folds.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", lower double, upper double")
+def fold_intervals(folds: DataFrame, keys: list[str] | None = None, column: str = "delta_auc", **options) -> DataFrame:
+    """(keys, n, lower, upper): bootstrap interval of a series' folds."""
+    return bootstrap_ci(folds, keys or PAIR, column, "fold_id", **options)
 
 
 def feasibility(n: int, window: int = 30, step: int = 15, folds: int = 5, gap: int = 0) -> dict:

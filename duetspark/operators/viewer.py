@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import SERIES, ratio
+from .context import within
 
 
 def epoch_mean(aligned: DataFrame, samples: int) -> DataFrame:
@@ -36,7 +37,7 @@ def modality_summary(epochs: DataFrame) -> DataFrame:
 
 def segment_stats(epochs: DataFrame, segments: DataFrame, places: int = 3) -> DataFrame:
     """(dyad_id, segment, modality, mean, max, min) of epochs from start_epoch to before end_epoch."""
-    inside = epochs.join(segments, "dyad_id").where("epoch >= start_epoch and epoch < end_epoch and value is not null")
+    inside = within(epochs.where("value is not null"), segments, F.col("epoch"), F.col("start_epoch"), F.col("end_epoch"), ["dyad_id"])
     return inside.groupBy("dyad_id", "segment", "modality").agg(*[F.round(f("value"), places).alias(n) for n, f in (("mean", F.avg), ("max", F.max), ("min", F.min))])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import PAIR, ratio
+from .context import within
 
 #: Windows in a chunk: a long pair is dealt to several tasks, each with the next chunk's head.
 CHUNK = 16_384
@@ -158,13 +159,10 @@ def wcc_directional(paired: DataFrame, window: int = 10, max_lag: int = 12, step
 
 
 def in_context(df: DataFrame, contexts: DataFrame, time: Column | None = None) -> DataFrame:
-    """Rows of ``df`` with each context of their dyad that they are in, start included, end not.
-
-    Contexts of a dyad are few: the join is on the dyad, with the bounds as its condition.
-    """
+    """Rows of ``df`` with each context of their dyad that they are in, start included, end not."""
     time = F.col("t") if time is None else time
-    c = contexts.select(F.col("dyad_id"), "ctx_id", "start_sec", "end_sec", "label", "score")
-    return df.join(c, "dyad_id").where((time >= F.col("start_sec")) & (time < F.col("end_sec")))
+    c = contexts.select("dyad_id", "ctx_id", "start_sec", "end_sec", "label", "score")
+    return within(df, c, time, F.col("start_sec"), F.col("end_sec"), ["dyad_id"])
 
 
 def whole_recording(aligned: DataFrame) -> DataFrame:

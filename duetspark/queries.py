@@ -51,9 +51,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aligned: hourly means, NULL where an hour has no event."""
+    """Aligned: hourly means to the last event's hour, at least for HOURS; NULL where an hour has no event."""
     by = events(spark, sf_dir).groupBy(*SERIES, F.floor("t").alias("idx")).agg(F.avg("value").alias("value"))
-    grid = by.select(*SERIES).distinct().select(*SERIES, F.explode(F.expr(f"sequence(0L, {HOURS - 1}L)")).alias("idx"))
+    last = by.agg(F.greatest(F.max("idx"), F.lit(HOURS - 1).cast("bigint")).alias("last"))
+    grid = by.select(*SERIES).distinct().crossJoin(F.broadcast(last)).select(*SERIES, F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("idx"))  # last is one row
     return grid.join(by, [*SERIES, "idx"], "left").select(*SERIES, "idx", F.col("idx").cast("double").alias("t"), "value")
 
 
@@ -80,7 +81,8 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SERIES = "PARTITION BY dyad_id, modality ORDER BY idx"
 CTE = f"""WITH e AS (SELECT 'd' || (user_id % 3) AS dyad_id, event_type AS modality, epoch_us(ts - TIMESTAMP '2024-01-01') / 3.6e9 AS t, value FROM events),
 b AS (SELECT dyad_id, modality, CAST(floor(t) AS BIGINT) AS idx, avg(value) AS value FROM e GROUP BY ALL),
-g AS (SELECT dyad_id, modality, CAST(unnest(range(0, {HOURS})) AS BIGINT) AS idx FROM (SELECT DISTINCT dyad_id, modality FROM b)),
+g AS (SELECT dyad_id, modality, CAST(unnest(range(0, (SELECT greatest({HOURS}, max(idx) + 1) FROM b))) AS BIGINT) AS idx FROM (SELECT DISTINCT dyad_id, modality FROM b)),
+hn AS (SELECT max(idx) + 1 AS h, max(idx) + 2 - {WINDOW} AS wn FROM g),
 a AS (SELECT g.*, b.value FROM g LEFT JOIN b USING (dyad_id, modality, idx)),
 n AS (SELECT *,
   last_value(CASE WHEN value IS NOT NULL THEN idx END IGNORE NULLS) OVER ({_SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pi,
@@ -163,7 +165,7 @@ def ffill(spark, sf_dir):
     return _row(clean.ffill(hourly(spark, sf_dir)))
 
 
-_GAP = "CASE WHEN value IS NULL THEN coalesce(ni, 720) - coalesce(pi, -1) - 1 END"
+_GAP = "CASE WHEN value IS NULL THEN coalesce(ni, (SELECT h FROM hn)) - coalesce(pi, -1) - 1 END"
 
 
 @query(CTE + f"SELECT dyad_id, modality, idx, round(coalesce(value, CASE WHEN {_GAP} <= 3 THEN pv END), 6) + 0.0 AS value FROM n")
@@ -315,6 +317,22 @@ def context_lookup(spark, sf_dir):
     return got.select("dyad_id", "modality", "idx", (F.col("ctx_id") % 3).cast("int").alias("ctx_id"), "label")
 
 
+_SPELLS = "'d' || (user_id % 3) AS dyad_id, event_id, epoch_us(ts - TIMESTAMP '2024-01-01') / 3.6e9 AS t"
+
+
+@query(f"""WITH c AS (SELECT {_SPELLS} FROM events WHERE event_type = 'purchase'), s AS (SELECT dyad_id, event_id AS ctx_id, t AS a, t + 0.02 * (1 + event_id % 7) * CASE WHEN event_id % 50 = 0 THEN 100 ELSE 1 END AS b FROM c),
+e AS (SELECT {_SPELLS} FROM events WHERE event_type = 'click')
+SELECT e.event_id, coalesce(arg_min(ctx_id, {{'a': a, 'c': ctx_id}}), -1) AS ctx_id FROM e LEFT JOIN s ON s.dyad_id = e.dyad_id AND t >= a AND t < b GROUP BY e.event_id""")
+def event_contexts(spark, sf_dir):
+    """Each click with the first of the purchases' spells that hold it: as many intervals as there are purchases."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    t = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts")) / 3.6e9
+    rows = e.select(F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string")).alias("dyad_id"), "event_id", t.alias("t"), "event_type")
+    length = 0.02 * (1 + F.col("event_id") % 7) * F.when(F.col("event_id") % 50 == 0, 100).otherwise(1)
+    spells = rows.where("event_type = 'purchase'").select("dyad_id", F.col("event_id").alias("ctx_id"), F.col("t").alias("start_sec"), (F.col("t") + length).alias("end_sec"), F.lit("spell").alias("label"))
+    return context.context_at(rows.where("event_type = 'click'"), spells).select("event_id", F.coalesce("ctx_id", F.lit(-1)).alias("ctx_id"))
+
+
 @query(CTE + f""", s AS (SELECT p.dyad_id, label, pair_key, idx, x, y FROM p JOIN h ON idx >= start_sec AND idx < end_sec),
 t AS (SELECT dyad_id, label, pair_key, count(*) OVER r AS n, covar_pop(x, y) OVER r AS c, stddev_pop(x) OVER r * stddev_pop(y) OVER r AS s FROM s
       WINDOW r AS (PARTITION BY dyad_id, label, pair_key ORDER BY idx ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING))
@@ -354,7 +372,7 @@ vc AS (SELECT dyad_id, label, pair_key, pos AS idx, count(*) OVER r AS n, covar_
       WINDOW r AS (PARTITION BY dyad_id, label, pair_key ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
 wc AS (SELECT dyad_id, label, pair_key, idx, CASE WHEN s > 1e-10 THEN round(greatest(-1.0, least(1.0, c / s)), 12) END AS r FROM vc WHERE n = {WINDOW})
 """ + peak_sql.profiles("wc", "dyad_id, label, pair_key")
-_HOPS = CTE.replace("WITH ", "WITH RECURSIVE ", 1) + """, hp AS (SELECT dyad_id, pair_key, CAST(j AS BIGINT) AS win, idx - j * 30 AS idx, r FROM w, range(0, 22) t(j) WHERE idx >= j * 30 AND idx < j * 30 + 60)
+_HOPS = CTE.replace("WITH ", "WITH RECURSIVE ", 1) + """, hp AS (SELECT dyad_id, pair_key, CAST(j AS BIGINT) AS win, idx - j * 30 AS idx, r FROM w, (SELECT unnest(range(0, (wn - 60) // 30 + 1)) AS j FROM hn) WHERE idx >= j * 30 AND idx < j * 30 + 60)
 """ + peak_sql.profiles("hp", "dyad_id, pair_key, win")
 _TEN = peak_sql.rounded(peak_sql.TEN)
 
@@ -378,6 +396,27 @@ def features_by_context(spark, sf_dir):
     return _rounded_all(features.per_context(paired(spark, sf_dir), phases(spark), WINDOW), FEATURES)
 
 
+_OVER = """, best AS (SELECT *, row_number() OVER (PARTITION BY dyad_id, pair_key ORDER BY peak_value DESC, peak_index) AS k FROM pk)
+SELECT dyad_id, pair_key, {how} FROM {source} GROUP BY dyad_id, pair_key"""
+
+
+def _aggregated(spark, sf_dir, how):
+    got = features.features(series(spark, sf_dir), aggregation=how).where("peak_amplitude is not null")
+    return _rounded_all(got.select("dyad_id", "pair_key", "build_up_rate", "peak_duration", "breakdown_rate", "peak_amplitude"), ["build_up_rate", "peak_duration", "breakdown_rate", "peak_amplitude"])
+
+
+@query(_PEAKS + _OVER.format(how=", ".join(f"round(median({a}), 6) + 0.0 AS {b}" for a, b in (("build_up_rate", "build_up_rate"), ("width_samples", "peak_duration"), ("breakdown_rate", "breakdown_rate"))) + ", round(max(peak_value), 6) + 0.0 AS peak_amplitude", source="best"))
+def features_median(spark, sf_dir):
+    """Features over peaks by their median."""
+    return _aggregated(spark, sf_dir, "median")
+
+
+@query(_PEAKS + _OVER.format(how=", ".join(f"round(any_value({a}) FILTER (k = 1), 6) + 0.0 AS {b}" for a, b in (("build_up_rate", "build_up_rate"), ("width_samples", "peak_duration"), ("breakdown_rate", "breakdown_rate"), ("peak_value", "peak_amplitude"))), source="best"))
+def features_max(spark, sf_dir):
+    """Features of each series' highest peak."""
+    return _aggregated(spark, sf_dir, "max")
+
+
 @query(_PEAKS + "SELECT dyad_id, pair_key, CAST(count(r) FILTER (i >= last) AS DOUBLE) AS recovery_time FROM si JOIN (SELECT dyad_id, pair_key, max(peak_index) AS last FROM pk GROUP BY ALL) USING (dyad_id, pair_key) GROUP BY dyad_id, pair_key")
 def recovery(spark, sf_dir):
     s = series(spark, sf_dir)
@@ -457,7 +496,7 @@ def graph_nodes(spark, sf_dir):
     return cascade.nodes(_edges(spark, sf_dir))
 
 
-_ROLL = CTE + """, i AS (SELECT dyad_id, pair_key, mod_a, mod_b, CAST(k AS BIGINT) AS win, idx - k * 60 AS idx, x, y FROM p, range(0, 11) t(k) WHERE idx >= k * 60 AND idx < k * 60 + 120),
+_ROLL = CTE + """, i AS (SELECT dyad_id, pair_key, mod_a, mod_b, CAST(k AS BIGINT) AS win, idx - k * 60 AS idx, x, y FROM p, (SELECT unnest(range(0, (h - 120) // 60 + 1)) AS k FROM hn) WHERE idx >= k * 60 AND idx < k * 60 + 120),
 q AS (SELECT dyad_id, pair_key, win, regr_slope(x, idx) AS sx, regr_intercept(x, idx) AS ix, regr_slope(y, idx) AS sy, regr_intercept(y, idx) AS iy FROM i GROUP BY ALL),
 d AS (SELECT dyad_id, pair_key, win, idx, x - ix - sx * idx AS x, y - iy - sy * idx AS y, 0.5 * (1 - cos(2 * pi() * idx / 120)) AS h FROM i JOIN q USING (dyad_id, pair_key, win)),
 o AS (SELECT dyad_id, pair_key, win, sqrt(sum(x * x)) * sqrt(sum(y * y)) AS norm FROM d GROUP BY ALL),
@@ -480,7 +519,7 @@ def driver_score(spark, sf_dir):
     return got.select("dyad_id", "win", F.explode("driver_score").alias("leader", "leads"))
 
 
-@query(CTE + "SELECT s.dyad_id, s.pair_key, s.idx, round(s.x, 6) + 0.0 AS x, round(t.y, 6) + 0.0 AS y FROM p s JOIN p t ON t.dyad_id = s.dyad_id AND t.pair_key = s.pair_key AND (t.idx + 100) % 720 = s.idx")
+@query(CTE + "SELECT s.dyad_id, s.pair_key, s.idx, round(s.x, 6) + 0.0 AS x, round(t.y, 6) + 0.0 AS y FROM p s JOIN p t ON t.dyad_id = s.dyad_id AND t.pair_key = s.pair_key AND (t.idx + 100) % (SELECT h FROM hn) = s.idx")
 def circular_shift(spark, sf_dir):
     return cascade.circular_shift(paired(spark, sf_dir), 100).select("dyad_id", "pair_key", "idx", rounded("x").alias("x"), rounded("y").alias("y"))
 
@@ -494,7 +533,7 @@ def surrogate_p(spark, sf_dir):
 # ---- prediction ----
 
 
-@query(CTE + """, k AS (SELECT dyad_id, pair_key, CAST(j AS BIGINT) AS win, r FROM w, range(0, 46) t(j) WHERE idx >= j * 15 + 30 AND idx < j * 15 + 60 AND j * 15 + 30 <= 711)
+@query(CTE + """, k AS (SELECT dyad_id, pair_key, CAST(j AS BIGINT) AS win, r FROM w, (SELECT wn, unnest(range(0, (wn - 30) // 15 + 1)) AS j FROM hn) WHERE idx >= j * 15 + 30 AND idx < j * 15 + 60 AND j * 15 + 30 <= wn)
 SELECT dyad_id, pair_key, win, CAST(avg(r) > 0 AS INTEGER) AS label FROM k GROUP BY ALL HAVING count(r) >= 0.5 * count(*) AND count(r) > 0""")
 def future_label(spark, sf_dir):
     return predict.future_labels(series(spark, sf_dir), 30)
@@ -505,7 +544,7 @@ def feature_windows(spark, sf_dir):
     return _rounded_all(predict.feature_matrix(series(spark, sf_dir), 60), FEATURES)
 
 
-_EXAMPLES = _HOPS + peak_sql.ten("dyad_id, pair_key, win") + """, lb AS (SELECT dyad_id, pair_key, win, CAST(avg(r) > 0 AS INTEGER) AS label FROM (SELECT dyad_id, pair_key, CAST(j AS BIGINT) AS win, r FROM w, range(0, 22) t(j) WHERE idx >= j * 30 + 60 AND idx < j * 30 + 120 AND j * 30 + 60 <= 711)
+_EXAMPLES = _HOPS + peak_sql.ten("dyad_id, pair_key, win") + """, lb AS (SELECT dyad_id, pair_key, win, CAST(avg(r) > 0 AS INTEGER) AS label FROM (SELECT dyad_id, pair_key, CAST(j AS BIGINT) AS win, r FROM w, (SELECT wn, unnest(range(0, (wn - 60) // 30 + 1)) AS j FROM hn) WHERE idx >= j * 30 + 60 AND idx < j * 30 + 120 AND j * 30 + 60 <= wn)
   GROUP BY ALL HAVING count(r) >= 0.5 * count(*) AND count(r) > 0)
 """
 
@@ -542,6 +581,24 @@ def lodo(spark, sf_dir):
     return predict.leave_one_dyad_out(c)[0].withColumns({x: rounded(x, 4) for x in ("actual", "predicted", "error")})
 
 
+@query(CTE + """, k AS (SELECT dyad_id, modality, value AS v, row_number() OVER (PARTITION BY dyad_id, modality ORDER BY epoch) - 1 AS k, count(*) OVER (PARTITION BY dyad_id, modality) AS n FROM m WHERE value IS NOT NULL),
+d AS (SELECT DISTINCT dyad_id, modality, n, CAST(unnest(range(1, 201)) AS INTEGER) AS d FROM k WHERE n >= 3), j AS (SELECT *, unnest(range(0, n)) AS j FROM d),
+i AS (SELECT *, ('0x' || md5('42|' || dyad_id || '|' || modality || '|' || d || '|' || j)[1:8])::BIGINT % n AS k FROM j),
+u AS (SELECT dyad_id, modality, d, avg(v) AS mean FROM i JOIN k USING (dyad_id, modality, k) GROUP BY ALL)
+SELECT dyad_id, modality, any_value(n) AS n, round(quantile_cont(mean, 0.025), 6) + 0.0 AS lower, round(quantile_cont(mean, 0.975), 6) + 0.0 AS upper FROM u JOIN (SELECT DISTINCT dyad_id, modality, n FROM k) USING (dyad_id, modality) GROUP BY dyad_id, modality""")
+def bootstrap_ci(spark, sf_dir):
+    """Intervals of each modality's mean over days, from 200 resamples."""
+    return _rounded_all(predict.bootstrap_ci(epochs(spark, sf_dir), ["dyad_id", "modality"], "value", "epoch", 200), ["lower", "upper"])
+
+
+@query(_EXAMPLES + f""", ft2 AS (SELECT dyad_id, pair_key, {', '.join(f'coalesce({c}, {60.0 if c in predict.DURATIONS else 0.0}) AS {c}' for c in FEATURES)} FROM tf JOIN lb USING (dyad_id, pair_key, win) WHERE coalesce({', '.join(FEATURES)}) IS NOT NULL),
+cr AS (""" + " UNION ALL ".join(f"SELECT dyad_id, pair_key, '{a}' AS feature_a, '{b}' AS feature_b, CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 0 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END AS r FROM ft2 GROUP BY ALL" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]) + """)
+SELECT dyad_id, pair_key, feature_a, feature_b, round(r, 6) + 0.0 AS r FROM cr WHERE abs(r) > 0.4""")
+def multicollinearity(spark, sf_dir):
+    """Features of a pair's windows that say nearly the same."""
+    return predict.multicollinearity(predict.examples(series(spark, sf_dir), 60), above=0.4).withColumn("r", rounded("r"))
+
+
 @query()
 def prediction(spark, sf_dir):
     return predict.rolling_origin_cv(series(spark, sf_dir), 60, folds=3)[0]
@@ -683,6 +740,17 @@ def cascade_chain(spark, sf_dir):
     return viewer.cascade_chain(viewer.onsets(epochs(spark, sf_dir))).withColumn("delay", F.col("delay").cast("double"))
 
 
+_SIGMAS = (0.25, 0.5, 0.75, 1.0, 1.25, 1.5)
+
+
+@query(CTE + ", sg AS (SELECT dyad_id, modality, avg(value) AS a, stddev_pop(value) AS s FROM m GROUP BY ALL), os AS (SELECT dyad_id, modality, " + ", ".join(f"min(epoch) FILTER (value >= a + {k} * s) AS o{i}" for i, k in enumerate(_SIGMAS))
+       + " FROM m JOIN sg USING (dyad_id, modality) GROUP BY ALL) SELECT dyad_id, modality, " + " || ',' || ".join(f"coalesce(o{i}::VARCHAR, '-')" for i in range(6)) + " AS onsets, greatest(o0, o1, o2, o3, o4, o5) - least(o0, o1, o2, o3, o4, o5) AS spread FROM os")
+def onset_stability(spark, sf_dir):
+    """How far a modality's onset moves with the threshold."""
+    got = viewer.onset_stability(epochs(spark, sf_dir), _SIGMAS)
+    return got.select("dyad_id", "modality", F.array_join("onsets", ",", "-").alias("onsets"), "spread")
+
+
 @query(_CCF + "SELECT dyad_id, pair_key, lag, round(ccf, 6) + 0.0 AS ccf FROM (SELECT * FROM k ORDER BY ccf DESC, dyad_id, pair_key LIMIT 4)")
 def topk_leadlag(spark, sf_dir):
     return viewer.top_leads(cascade.peak(cascade.ccf(_rows(spark, sf_dir)))).select("dyad_id", "pair_key", "lag", rounded("ccf").alias("ccf"))
@@ -730,10 +798,10 @@ def nlg_guard(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", wording.allowed(F.col("p_name")).alias("ok"))
 
 
-@query("""SELECT event_id, printf('%d:%02d.%03d', CAST(ms // 60000 AS INTEGER), CAST(ms % 60000 // 1000 AS INTEGER), CAST(ms % 1000 AS INTEGER)) AS clock
-FROM (SELECT event_id, CAST(floor(value * 1000) AS BIGINT) AS ms FROM events WHERE value >= 0)""")
+@query("""SELECT event_id, printf('%s%d:%02d.%03d', CASE WHEN ms < 0 THEN '-' ELSE '' END, CAST(abs(ms) // 60000 AS INTEGER), CAST(abs(ms) % 60000 // 1000 AS INTEGER), CAST(abs(ms) % 1000 AS INTEGER)) AS clock
+FROM (SELECT event_id, CAST(floor(value * 1000) AS BIGINT) AS ms FROM events)""")
 def timestamp_format(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value >= 0")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select("event_id", wording.timestamp(F.floor(F.col("value") * 1000)).alias("clock"))
 
 

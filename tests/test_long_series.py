@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from duetspark.operators import features, peaks, wcc
+from duetspark.operators import context, episodes, features, peaks, predict, prelude, wcc
 
 
 def peaks_by_loops(r, height, distance, prominence):
@@ -157,3 +157,90 @@ def test_lag_table_shuffles_no_more_for_more_lags(spark):
     df = spark.range(4000).select(F.lit("d").alias("dyad_id"), F.lit("p").alias("pair_key"), F.col("id").alias("idx"), F.rand(1).alias("x"), F.rand(2).alias("y"))
     plan = lambda m: wcc.wcc_directional(df, 10, m, chunk=1000)._jdf.queryExecution().executedPlan().toString()
     assert plan(1).count("Exchange") == plan(40).count("Exchange") == 1
+
+
+# ---- intervals ----
+
+
+def test_points_in_ten_thousand_intervals(spark):
+    rng = np.random.default_rng(8)
+    start = np.round(rng.random(10_000) * 5_000 - 100, 3)
+    length = np.where(rng.random(10_000) < 0.01, 4.0 ** rng.integers(0, 7, 10_000), np.round(rng.random(10_000) * 2, 3))  # powers of four among them; some empty
+    rows = [("d", i, float(a), float(a + b), f"c{i}") for i, (a, b) in enumerate(zip(start, length, strict=True))]
+    table = spark.createDataFrame(rows, "dyad_id string, ctx_id bigint, start_sec double, end_sec double, label string")
+    times = sorted({*np.round(rng.random(1_500) * 5_200 - 150, 3).tolist(), *start[:200].tolist(), *(start + length)[:200].tolist()})
+    points = spark.createDataFrame([("d", t, i) for i, t in enumerate(times)] + [("e", 1.0, -1)], "dyad_id string, t double, k int")
+    got = {r["k"]: r["ctx_id"] for r in context.context_at(points, table).collect()}
+    order = np.lexsort((np.arange(10_000), start))
+    for k, t in enumerate(times):
+        inside = order[(start[order] <= t) & (t < (start + length)[order])]
+        assert got[k] == (int(inside[0]) if len(inside) else None), t
+    assert got[-1] is None and len(got) == len(times) + 1
+    assert context.within(points, table.limit(0), F.col("t"), F.col("start_sec"), F.col("end_sec"), ["dyad_id"]).count() == 0
+
+
+# ---- episodes, left-out predictions, resamples ----
+
+
+def epochs(spark, values):
+    rows = [("d", m, i, None if v is None else float(v)) for m, vs in values.items() for i, v in enumerate(vs)]
+    return spark.createDataFrame(rows, "dyad_id string, modality string, epoch bigint, value double")
+
+
+def test_runs_over_chunks(spark):
+    rng = np.random.default_rng(4)
+    bits = np.repeat(rng.integers(0, 2, 60), rng.integers(1, 30, 60))
+    marked = spark.createDataFrame([("d", "a", i, float(b), bool(b)) for i, b in enumerate(bits)], "dyad_id string, modality string, epoch bigint, value double, high boolean").repartition(4)
+    edges = [0, *(np.flatnonzero(np.diff(bits)) + 1).tolist(), len(bits)]
+    want = sorted((bool(bits[a]), a, b - 1, b - a, a - 1 if a else None, b if b < len(bits) else None) for a, b in zip(edges, edges[1:], strict=False))
+    got = sorted((r["high"], r["first"], r["last"], r["epochs"], r["before"], r["after"]) for r in episodes.runs(marked, 16).collect())
+    assert got == want
+
+
+def test_dynamics_and_chords_by_hand(spark):
+    e = epochs(spark, {"a": [0, 0, 9, 9, 0, 9, 9, 9, 0, 0], "b": [0, 0, 0, 9, 0, 0, 9, 9, 0, 9], "c": [5] * 4 + [None] + [5] * 5})
+    d = {r["modality"]: r for r in episodes.dynamics(e, 0.5, 4).collect()}
+    a, b, c = d["a"], d["b"], d["c"]
+    assert (a["onset"], a["peak"], a["maintenance"], a["breakdowns"], a["recovery"], a["build_up"]) == (2, 9, 3, 2, 1.0, 4.5)
+    assert (b["onset"], b["maintenance"], b["breakdowns"], b["recovery"]) == (3, 2, 2, 1.5)
+    assert (c["onset"], c["maintenance"], c["breakdowns"], c["recovery"], c["build_up"], c["entropy"]) == (0, 5, 1, 1.0, None, 0.0)  # flat: at its own threshold but where it is missing
+    got = episodes.chords(e).first()
+    assert (got["leader"], got["delay"], got["coherence"], got["full_chord"]) == ("c", 3, 6, pytest.approx(0.3))
+
+
+def test_left_out_models_are_those_without_the_row(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((40, 2))
+    rows = prelude.examples(epochs(spark, {"a": x[:, 0], "b": x[:, 1]}), 1, 0.0)
+    known = sorted(rows.collect(), key=lambda r: r["epoch"])
+    assert [r["epoch"] for r in known] == list(range(1, 39))  # the first has no change, the last no later state
+    m, mean = x.mean(1), x.mean(1).mean()
+    assert [r["label"] for r in known] == [int(m[r["epoch"] + 1] >= mean) for r in known]
+    assert np.allclose([r["x"] for r in known], [[*x[r["epoch"]], *(x[r["epoch"]] - x[r["epoch"] - 1])] for r in known])
+    a, y = np.array([r["x"] for r in known]), np.array([r["label"] for r in known])
+    said = prelude.left_out(rows)
+    got = {r["epoch"]: r["p"] for r in said.collect()}
+    for i, r in enumerate(known):
+        w = predict.l1_logistic(np.delete(a, i, 0), np.delete(y, i))
+        assert got[r["epoch"]] == pytest.approx(1 / (1 + np.exp(-(a[i] @ w[:-1] + w[-1]))), abs=1e-9)
+    t = prelude.report(said).first()
+    p = np.array([got[r["epoch"]] for r in known]) >= 0.5
+    tp, fp, tn, fn = ((p & (y == 1)).sum(), (p & (y == 0)).sum(), (~p & (y == 0)).sum(), (~p & (y == 1)).sum())
+    assert (t["n"], t["tp"], t["fp"], t["tn"], t["fn"]) == (38, tp, fp, tn, fn) and t["accuracy"] == (tp + tn) / 38
+    assert t["auc"] == pytest.approx(predict.rank_auc(y, np.array([got[r["epoch"]] for r in known])))
+    assert {r["feature"] for r in prelude.importance(said, ["a", "b", "da", "db"]).collect()} == {"a", "b", "da", "db"}
+    one = prelude.left_out(rows.withColumn("label", F.lit(1))).collect()
+    assert {r["p"] for r in one} == {1.0}
+
+
+def test_resampled_intervals(spark):
+    rng = np.random.default_rng(1)
+    rows = [("a", "p", i, float(v)) for i, v in enumerate(rng.standard_normal(60))] + [("b", "p", 0, 1.0), ("b", "p", 1, 2.0)] + [("c", "p", i, v) for i, v in enumerate([3.0, 3.0, 3.0, None])]
+    df = spark.createDataFrame(rows, "dyad_id string, pair_key string, fold_id int, delta_auc double")
+    got = {r["dyad_id"]: (r["n"], r["lower"], r["upper"]) for r in predict.fold_intervals(df, draws=400).collect()}
+    again = {r["dyad_id"]: (r["n"], r["lower"], r["upper"]) for r in predict.fold_intervals(df.repartition(7), draws=400).collect()}
+    v = np.array([r[3] for r in rows[:60]])
+    assert got["b"] == (2, None, None) and got["c"] == (3, 3.0, 3.0)
+    assert got["a"][1:] == pytest.approx(again["a"][1:])
+    half = 1.96 * v.std() / np.sqrt(60)
+    assert abs(got["a"][1] - (v.mean() - half)) < 0.06 and abs(got["a"][2] - (v.mean() + half)) < 0.06

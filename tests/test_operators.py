@@ -251,12 +251,6 @@ def test_sparse_logistic_is_optimal():
     assert predict.rank_auc(np.array([0, 1, 1, 0]), np.array([0.1, 0.1, 0.9, 0.2])) == 0.625
 
 
-def test_bootstrap():
-    assert predict.bootstrap_ci(np.array([1.0, 2.0])) is None
-    lo, hi = predict.bootstrap_ci(np.array([0.1, 0.2, 0.3, 0.4]))
-    assert 0.1 <= lo < 0.25 < hi <= 0.4
-
-
 def test_contexts(spark):
     with pytest.raises(ValueError, match="context"):
         context.contexts(spark, [("d", 5, 5, "x")])
