@@ -156,10 +156,10 @@ def _onward(chunk: int):
     return run
 
 
-def _answers(packed: Packed, borders: DataFrame, asked: DataFrame, whole: bool) -> DataFrame:
+def _answers(packed: Packed, borders: DataFrame, asked: DataFrame) -> DataFrame:
     """For each of ``asked`` (p, side, above, level) the nearest place on that side whose value is above the
     level, or else at it or below (``at``, null: none), the least value between, and the values there and
-    next to it. ``whole``: every series is one chunk."""
+    next to it."""
     start = asked.withColumns({"low": F.lit(float("inf")), "v_in": F.col("v"), "c": F.floor(F.col("p") / packed.chunk)})
 
     def met(df: DataFrame, begin: bool) -> DataFrame:
@@ -167,46 +167,59 @@ def _answers(packed: Packed, borders: DataFrame, asked: DataFrame, whole: bool)
         by = df.groupBy("sid", "c").agg(F.collect_list(fields).alias("asked"))
         return packed.rows.join(by, ["sid", "c"]).mapInPandas(_searched(packed.chunk, begin), _ANSWER)
 
-    first = met(start, False)
-    if whole:
-        return first
-    first = cut(first)
+    first = cut(met(start, False))
     on = first.where("open").groupBy("sid").cogroup(borders.groupBy("sid")).applyInPandas(_onward(packed.chunk), _ANSWER)
     on = cut(on)
     return first.where("not open").unionByName(on.where("not open")).unionByName(met(on.where("open"), True))
 
 
+def _alone(height: float, distance: int, prominence: float):
+    """The same of series that are one chunk each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for sid, _, n, m, rs in _each(pdf):
+                v = _values(rs, m)
+                p = summits(v)
+                p = p[v[p] >= height]
+                p = p[settle(p, v[p], np.zeros(len(p), np.int64), distance, -np.inf, np.inf) == 1]
+                ways = (Search(v), Search(v[::-1]))
+                for at in p.tolist():
+                    starts = (at + 1, n - at)
+                    ends = [s.first(a, v[at], True) for s, a in zip(ways, starts, strict=True)]
+                    tall = v[at] - max(s.v[a : k if k >= 0 else n].min() for s, a, k in zip(ways, starts, ends, strict=True))
+                    level, wide = v[at] - tall / 2, 0.0
+                    for s, a in zip(ways, starts, strict=True) if tall >= prominence else ():
+                        k = s.first(a, level, False)
+                        wide += k - a + 1 - ((level - s.v[k]) / (s.v[k - 1] - s.v[k]) if s.v[k] < level else 0.0)
+                    if wide >= 1:
+                        out.append((sid, at, v[at], n, tall, wide))
+            yield pd.DataFrame(out, columns=["sid", "p", "v", "n", "tall", "wide"])
+
+    return run
+
+
 def _found(packed: Packed, height: float, distance: int, prominence: float) -> DataFrame:
     """(sid, p, v, tall, wide) of the peaks that pass, in turn, height, distance, prominence and a width of
     one sample at half prominence."""
     chunk, rows = packed.chunk, packed.rows
-    whole = (packed.stats.agg(F.max("n")).first()[0] or 0) <= chunk
-    tops = rows.mapInPandas(_in_chunks(chunk), "sid string, p bigint, v double, n bigint")
-    borders = rows.mapInPandas(_borders, _BORDER)
-    if not whole:
-        borders = cut(borders)
+    if (packed.stats.agg(F.max("n")).first()[0] or 0) <= chunk:
+        return rows.mapInPandas(_alone(height, distance, prominence), "sid string, p bigint, v double, n bigint, tall double, wide double")
+    borders = cut(rows.mapInPandas(_borders, _BORDER))
 
-        def across(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            own = pdf.sort_values("c")
-            out = ends_of_runs(own.to_dict("records"), chunk)
-            return pd.DataFrame([(key[0], p, v, own["n"].iloc[0]) for p, v in out], columns=["sid", "p", "v", "n"])
+    def across(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values("c")
+        out = ends_of_runs(own.to_dict("records"), chunk)
+        return pd.DataFrame([(key[0], p, v, own["n"].iloc[0]) for p, v in out], columns=["sid", "p", "v", "n"])
 
-        tops = tops.unionByName(borders.groupBy("sid").applyInPandas(across, "sid string, p bigint, v double, n bigint"))
-    high = tops.where(F.col("v") >= height)
-    if whole:
-
-        def alone(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("p")
-            fate = settle(pdf["p"].to_numpy(np.int64), pdf["v"].to_numpy(), np.zeros(len(pdf), np.int64), distance, -np.inf, np.inf)
-            return pdf[fate == 1]
-
-        kept = high.groupBy("sid").applyInPandas(alone, "sid string, p bigint, v double, n bigint")
-    else:
-        kept = _settled(high, distance, chunk)
+    tops = rows.mapInPandas(_in_chunks(chunk), "sid string, p bigint, v double, n bigint")
+    tops = tops.unionByName(borders.groupBy("sid").applyInPandas(across, "sid string, p bigint, v double, n bigint"))
+    kept = _settled(tops.where(F.col("v") >= height), distance, chunk)
 
     def both(df: DataFrame, above: bool, level: Column) -> DataFrame:
         sides = df.withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1)))).select("sid", "p", "v", "n", "side", F.lit(above).alias("above"), level.alias("level"))
-        return _answers(packed, borders, sides, whole)
+        return _answers(packed, borders, sides)
 
     by = both(kept, True, F.col("v")).groupBy("sid", "p", "v", "n").agg((F.col("v") - F.max("low")).alias("tall"))
     proud = cut(by.where(F.col("tall") >= prominence))

@@ -397,11 +397,11 @@ def features_by_context(spark, sf_dir):
 
 
 _OVER = """, best AS (SELECT *, row_number() OVER (PARTITION BY dyad_id, pair_key ORDER BY peak_value DESC, peak_index) AS k FROM pk)
-SELECT dyad_id, pair_key, {how} FROM {source} GROUP BY dyad_id, pair_key"""
+SELECT dyad_id, pair_key, {how} FROM {source} JOIN (SELECT dyad_id, pair_key FROM si GROUP BY ALL HAVING count(r) >= 5) USING (dyad_id, pair_key) GROUP BY dyad_id, pair_key"""
 
 
 def _aggregated(spark, sf_dir, how):
-    got = features.features(series(spark, sf_dir), aggregation=how).where("peak_amplitude is not null")
+    got = features.features(series(spark, sf_dir), max_missing=1.0, aggregation=how).where("peak_amplitude is not null")
     return _rounded_all(got.select("dyad_id", "pair_key", "build_up_rate", "peak_duration", "breakdown_rate", "peak_amplitude"), ["build_up_rate", "peak_duration", "breakdown_rate", "peak_amplitude"])
 
 
