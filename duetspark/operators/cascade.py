@@ -9,12 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import PAIR
+from ..schema import PAIR, ratio
 from .normalize import hann
-from .reuse import reuse
+from .reuse import cut, reuse
+from .spectral import TAPER, angles
+from .spectral import surrogates as drawn
 
 #: Surrogates that one task draws for one pair at a time.
 BLOCK = 50
+#: Samples of a pair whose surrogates one task draws; longer pairs are dealt over tasks.
+ONE_TASK = 1 << 16
 #: Samples of a series in a chunk of its cross-correlation.
 CCF_CHUNK = 4096
 _SIDES = ["mod_a", "feat_a", "mod_b", "feat_b"]
@@ -120,24 +124,23 @@ def peak(curve: DataFrame, hz: float = 1.0, keys: list[str] | None = None) -> Da
     return by.select(*(keys or PAIR), F.col("p.lag").alias("lag"), (F.abs("p.lag") / F.lit(float(hz))).alias("lag_sec"), F.col("p.ccf").alias("ccf"), direction.alias("direction"))
 
 
-# ---- surrogates: numpy within a task, one pair and BLOCK draws at a time ----
+# ---- surrogates: of short pairs within a task, BLOCK draws at a time; of long ones dealt over tasks ----
 
 
-def phase_randomised(x: np.ndarray, rng: np.random.Generator, count: int, taper: float = 0.1) -> np.ndarray:
-    """``count`` series with the tapered series' amplitudes and random phases; short ones as they are."""
+def phase_randomised(x: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """Series with the tapered series' amplitudes and a row of angles each; short ones as they are."""
     n = len(x)
     if n < 4:
-        return np.repeat(x[None], count, axis=0)
-    m = max(1, int(taper * n))
+        return np.repeat(x[None], len(turns), axis=0)
+    m = max(1, int(TAPER * n))
     ramp = 0.5 * (1 - np.cos(np.pi * np.arange(m) / m))
     edge = np.ones(n)
     edge[:m], edge[-m:] = ramp, ramp[::-1]
     half = np.fft.rfft(x * edge)
-    turn = np.exp(1j * rng.uniform(0, 2 * np.pi, (count, len(half))))
-    turn[:, 0] = half[0] / abs(half[0]) if abs(half[0]) else 1
-    if n % 2 == 0:
-        turn[:, -1] = half[-1] / abs(half[-1]) if abs(half[-1]) else 1
-    return np.fft.irfft(np.abs(half) * turn, n)
+    turned = np.abs(half) * np.exp(1j * turns)
+    alone = [0] if n % 2 else [0, -1]
+    turned[:, alone] = half[alone]
+    return np.fft.irfft(turned, n)
 
 
 def max_abs_ccf(x: np.ndarray, y: np.ndarray, lags: int, taper: bool = True) -> np.ndarray:
@@ -161,27 +164,63 @@ def max_abs_ccf(x: np.ndarray, y: np.ndarray, lags: int, taper: bool = True) ->
 def null_peaks(rows: DataFrame, surrogates: int = 500, seed: int = 42, taper: bool = True, keys: list[str] | None = None) -> DataFrame:
     """(keys, surrogate, peak): the largest |ccf| of a pair's phase-randomised copies.
 
-    Draws are dealt in blocks, each seeded by the seed, the pair and the block: the same in any
-    partitioning.
+    Angles are a hash of the seed, the pair, the draw and the frequency: the same in any
+    partitioning. A pair of up to ONE_TASK samples goes to one task, once for all its draws; longer
+    ones are transformed and correlated in pieces, of which none grows with the recording.
     """
     keys = keys or PAIR
     kinds = dict(rows.dtypes)
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(max(0, (surrogates - 1) // BLOCK)))).alias("block")
-    dealt = rows.select(*keys, "idx", "x", "y", "lags", F.xxhash64(F.lit(seed), *keys).alias("pair_seed"), blocks)
+    short = rows.where(F.col("n") <= ONE_TASK).select(*keys, "idx", "x", "y", "lags", F.xxhash64(F.lit(seed), *keys).alias("pair_seed"))
 
     def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        first = key[-1] * BLOCK
-        count = min(BLOCK, surrogates - first)
-        rng = np.random.default_rng([int(pdf["pair_seed"].iloc[0]) & (2**63 - 1), int(key[-1])])
-        x, y = (phase_randomised(pdf[c].to_numpy(float), rng, count) for c in ("x", "y"))
-        out = pd.DataFrame({"surrogate": np.arange(first, first + count), "peak": max_abs_ccf(x, y, int(pdf["lags"].iloc[0]), taper)})
-        for name, value in zip(reversed(keys), reversed(key[:-1]), strict=True):
+        own, lags, peaks = int(pdf["pair_seed"].iloc[0]), int(pdf["lags"].iloc[0]), []
+        sides = [pdf[c].to_numpy(float) for c in ("x", "y")]
+        for first in range(0, surrogates, BLOCK):
+            turns = [angles(own + k, np.arange(first, min(first + BLOCK, surrogates)), np.arange(len(pdf) // 2 + 1)) for k in (0, 1)]
+            peaks.append(max_abs_ccf(*map(phase_randomised, sides, turns), lags, taper))
+        out = pd.DataFrame({"surrogate": np.arange(surrogates), "peak": np.concatenate([*peaks, np.empty(0)])})
+        for name, value in zip(reversed(keys), reversed(key), strict=True):
             out.insert(0, name, value)
         return out
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", surrogate bigint, peak double"
-    return dealt.groupBy(*keys, "block").applyInPandas(draw, schema)
+    null = short.groupBy(*keys).applyInPandas(draw, schema)
+    long = rows.where(F.col("n") > ONE_TASK)
+    if surrogates < 1 or long.select("n").limit(1).isEmpty():
+        return null
+    lags = long.groupBy(*keys).agg(F.first("lags").alias("lags"))
+    copies = cut(drawn(long, surrogates, seed, keys)).join(lags, keys).withColumnRenamed("draw", "surrogate")
+    curves = ccf(copies, [*keys, "surrogate"], taper)
+    return null.unionByName(curves.groupBy(*keys, "surrogate").agg(F.max(F.abs("ccf")).alias("peak")))
+
+
+def null_summary(observed: DataFrame, null: DataFrame, keys: list[str] | None = None, value: str = "ccf", peak: str = "peak") -> DataFrame:
+    """(keys, observed, n, null_mean, null_sd, percentile, z, p_value) of |observed| beside its null values.
+
+    ``percentile`` is the share in percent of null values below the observed one, ``p_value`` counts
+    those no smaller and the observed one itself; z is NULL where the null values do not spread.
+    """
+    keys = keys or PAIR
+    o, v = F.first("__o"), F.abs(F.col(peak))
+    by = null.where(F.col(peak).isNotNull()).join(observed.select(*keys, F.abs(value).alias("__o")).where("__o is not null"), keys).groupBy(*keys).agg(
+        o.alias("observed"), F.count("*").alias("n"), F.avg(v).alias("null_mean"), F.stddev_samp(v).alias("null_sd"),
+        (100 * F.avg((v < F.col("__o")).cast("double"))).alias("percentile"), ((1 + F.count_if(v >= F.col("__o"))) / (F.count("*") + 1)).alias("p_value"),
+    )
+    return by.select(*keys, "observed", "n", "null_mean", "null_sd", "percentile", ratio(F.col("observed") - F.col("null_mean"), F.col("null_sd")).alias("z"), "p_value")
+
+
+def shift_null(paired: DataFrame, shifts: list[int], keys: list[str] | None = None) -> DataFrame:
+    """(keys, shift, r): the correlation of x with y turned around the recording by each shift; 0 is the observed one.
+
+    A shift of y needs the rows of y again, so rows joined grow with the number of shifts.
+    """
+    keys = keys or PAIR
+    n = paired.groupBy(*keys).agg((F.max("idx") + 1).alias("__n"))
+    moved = F.explode(F.transform(F.array(*[F.lit(s) for s in shifts]), lambda s: F.struct(s.alias("shift"), F.pmod(F.col("idx") + s, F.col("__n")).alias("at"))))
+    y = paired.where("y is not null").join(n, keys).select(*keys, "y", moved.alias("m")).select(*keys, "m.shift", F.col("m.at").alias("idx"), "y")
+    both = paired.where("x is not null").select(*keys, "idx", "x").join(y, [*keys, "idx"])
+    return both.groupBy(*keys, "shift").agg(F.corr("x", "y").alias("r"))
 
 
 def p_values(observed: DataFrame, null: DataFrame, keys: list[str] | None = None) -> DataFrame:
