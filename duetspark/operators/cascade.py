@@ -211,7 +211,7 @@ def null_summary(observed: DataFrame, null: DataFrame, keys: list[str] | None =
 
 
 def shift_null(paired: DataFrame, shifts: list[int], keys: list[str] | None = None) -> DataFrame:
-    """(keys, shift, r): the correlation of x with y turned around the recording by each shift; 0 is the observed one.
+    """(keys, shift, r): the correlation, to 12 places, of x with y turned around the recording by each shift; 0 is the observed one.
 
     A shift of y needs the rows of y again, so rows joined grow with the number of shifts.
     """
@@ -220,7 +220,7 @@ def shift_null(paired: DataFrame, shifts: list[int], keys: list[str] | None = No
     moved = F.explode(F.transform(F.array(*[F.lit(s) for s in shifts]), lambda s: F.struct(s.alias("shift"), F.pmod(F.col("idx") + s, F.col("__n")).alias("at"))))
     y = paired.where("y is not null").join(n, keys).select(*keys, "y", moved.alias("m")).select(*keys, "m.shift", F.col("m.at").alias("idx"), "y")
     both = paired.where("x is not null").select(*keys, "idx", "x").join(y, [*keys, "idx"])
-    return both.groupBy(*keys, "shift").agg(F.corr("x", "y").alias("r"))
+    return both.groupBy(*keys, "shift").agg(F.round(F.corr("x", "y"), 12).alias("r"))
 
 
 def p_values(observed: DataFrame, null: DataFrame, keys: list[str] | None = None) -> DataFrame:

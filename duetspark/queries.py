@@ -15,6 +15,7 @@ from . import peak_sql
 from .functions import text as wording
 from .operators import align, cascade, clean, context, episodes, features, normalize, predict, prelude, quality, viewer, wcc
 from .operators.neighbours import with_neighbours
+from .operators.reuse import reuse
 from .schema import FEATURES, SERIES
 from .streaming import epochs as stream
 
@@ -530,6 +531,25 @@ def surrogate_p(spark, sf_dir):
     return cascade.p_values(cascade.peak(cascade.ccf(rows)), cascade.null_peaks(rows, 100))
 
 
+@query()
+def surrogate_summary(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return cascade.null_summary(cascade.peak(cascade.ccf(rows)), cascade.null_peaks(rows, 100))
+
+
+@query(CTE + """, c AS (SELECT s.dyad_id, s.pair_key, shift, round(corr(s.x, t.y), 12) AS r FROM p s CROSS JOIN (SELECT unnest(range(0, 720, 24)) AS shift)
+  JOIN p t ON t.dyad_id = s.dyad_id AND t.pair_key = s.pair_key AND (t.idx + shift) % (SELECT h FROM hn) = s.idx GROUP BY ALL),
+o AS (SELECT dyad_id, pair_key, abs(r) AS o FROM c WHERE shift = 0)
+SELECT dyad_id, pair_key, round(any_value(o), 6) + 0.0 AS observed, count(*) AS n, round(avg(abs(r)), 6) + 0.0 AS null_mean, round(stddev_samp(abs(r)), 6) + 0.0 AS null_sd,
+  round(100 * avg(CAST(abs(r) < o AS INTEGER)), 6) + 0.0 AS percentile, round((any_value(o) - avg(abs(r))) / stddev_samp(abs(r)), 6) + 0.0 AS z, round((1 + count(*) FILTER (abs(r) >= o)) / (count(*) + 1), 6) + 0.0 AS p_value
+FROM c JOIN o USING (dyad_id, pair_key) WHERE shift > 0 AND r IS NOT NULL AND o IS NOT NULL GROUP BY ALL""")
+def shift_summary(spark, sf_dir):
+    """Observed correlations beside those with y turned by 1 to 29 days."""
+    by = reuse(cascade.shift_null(paired(spark, sf_dir), list(range(0, 720, 24))))
+    got = cascade.null_summary(by.where("shift = 0"), by.where("shift > 0"), value="r", peak="r")
+    return _rounded_all(got, ["observed", "null_mean", "null_sd", "percentile", "z", "p_value"])
+
+
 # ---- prediction ----
 
 
