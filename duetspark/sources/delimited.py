@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +131,72 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, Format]:
     return data.select(row.alias("row"), cells.alias("cells")), f
 
 
+#: What ``formats`` tells of a file.
+FORMATS = "file string, name string, skip int, rate double, start double, delimiter string, headers array<string>, header_line boolean"
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of every line of every file of a path, lines numbered from 0 in their file.
+
+    A file may be read by many tasks: each of its ranges counts its lines, and what lies before a
+    range is a running sum over the ranges of the file.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    ranges = raw.groupBy("file", "at").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("file", "at", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return raw.join(ranges, ["file", "at"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line"), "value")
+
+
+def formats(lines: DataFrame) -> DataFrame:
+    """(FORMATS) of each file of (file, line, value), told by its first HEAD lines on the executors."""
+    heads = lines.where(F.col("line") < HEAD).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("head"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for file, head in zip(pdf["file"], pdf["head"], strict=True):
+                f = sniff([h["value"] for h in head], file)
+                out.append((file, f.name, f.skip, f.rate, f.start, f.delimiter, f.headers, f.header_line))
+            yield pd.DataFrame(out, columns=["file", "name", "skip", "rate", "start", "delimiter", "headers", "header_line"])
+
+    return heads.mapInPandas(run, FORMATS)
+
+
+def read_many(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(file, row, cells, malformed) of all files of a path, and their formats (FORMATS), in one job.
+
+    The path may name files of any mixture of formats. Rows and cells are those of ``read`` on each
+    file: blank lines are left out but counted, an Empatica row has its time first. A row with
+    another number of cells than its file has columns keeps its cells, and its line stands in
+    ``malformed``; it is NULL for others. Empty files have no row and no format.
+    """
+    lines = _scan(spark, path)
+    told = formats(lines)
+    at = lines.join(told.select("file", "name", "skip", "rate", "delimiter", F.size("headers").alias("width"), "header_line"), "file")
+    row = F.col("line") - F.col("skip") - F.col("header_line").cast("int")
+    at = at.withColumn("row", row).where((F.col("row") >= 0) & (F.trim("value") != ""))
+    cells = F.transform(F.split("value", F.col("delimiter")), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    timed = F.when(F.col("name") == "empatica", F.concat(F.array((F.col("row") / F.col("rate")).cast("string")), cells)).otherwise(cells)
+    rows = at.withColumn("cells", timed)
+    return rows.select("file", "row", "cells", F.when(F.size("cells") != F.col("width"), F.col("value")).alias("malformed")), told
+
+
+def values(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """(file, row, pos, header, value) of the cells that have a column; value is NULL where a cell is no number."""
+    cell = F.posexplode("headers").alias("pos", "header")
+    each = rows.join(told.select("file", "headers"), "file").select("file", "row", "cells", cell)
+    return each.select("file", "row", "pos", "header", F.expr("try_cast(try_element_at(cells, pos + 1) as double)").alias("value"))
+
+
+def columns_of(rows: DataFrame, told: DataFrame, most: int = 20) -> DataFrame:
+    """(file, pos, header, values): each column with the numbers of its first ``most`` lines, as column roles read them."""
+    by = values(rows.where(F.col("row") < most), told).groupBy("file", "pos").agg(F.array_sort(F.collect_list(F.struct("row", "value"))).alias("v"))
+    every = told.select("file", F.posexplode("headers").alias("pos", "header"))
+    listed = F.coalesce(F.transform("v", lambda s: s["value"]), F.expr("cast(array() as array<double>)"))
+    return every.join(by, ["file", "pos"], "left").select("file", "pos", "header", listed.alias("values"))
+
+
 def table(rows: DataFrame, fmt: Format) -> DataFrame:
     """The cells as named columns, numbers where a whole cell is one, else NULL."""
     return rows.select("row", *[F.expr(f"try_cast(try_element_at(cells, {i + 1}) as double)").alias(h) for i, h in enumerate(fmt.headers)])

@@ -35,6 +35,39 @@ def test_reading_text(spark, tmp_path):
     assert [(r["time"], r["x"]) for r in delimited.table(rows, f).orderBy("row").collect()] == [(0.0, 1.0), (1.0, None)]
 
 
+def test_many_files_of_mixed_formats(spark, tmp_path):
+    """Every file as if read alone, though lines of one file come from several tasks."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    made = {
+        "e.csv": "1600000000\n4\n1.0\n2.0\n\n3.0\n", "g.csv": '# c\ntime,"x"\n0,1\n1,"oops"\n2\n3,4,5\n', "o.txt": "# OpenSignals Text\n# {}\nnSeq\tA1\n0\t1\n1\t2\n",
+        "s.csv": "a;b\n1;2\n", "head.csv": "time,v\n", "none.csv": "", "m.txt": "".join(f"{i}\t{i * 2}\n" for i in range(400)),
+    }
+    for name, text in made.items():
+        write(folder / name, text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 512)
+    try:
+        rows, told = delimited.read_many(spark, str(folder))
+        got, kinds = rows.collect(), {r["file"].rsplit("/", 1)[1]: r for r in told.collect()}
+        cols = {(r["file"].rsplit("/", 1)[1], r["header"]): r["values"] for r in delimited.columns_of(rows, told).collect()}
+        roles = {(r["file"].rsplit("/", 1)[1], r["header"], r["role"]) for r in columns.assign(delimited.columns_of(rows, told)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert kinds.keys() == made.keys() - {"none.csv"}
+    by = {}
+    for r in sorted(got, key=lambda r: r["row"]):
+        by.setdefault(r["file"].rsplit("/", 1)[1], []).append((r["row"], r["cells"]))
+    for name in made.keys() - {"none.csv", "head.csv"}:
+        alone, f = delimited.read(spark, str(folder / name))
+        assert by[name] == [(r["row"], r["cells"]) for r in alone.orderBy("row").collect()], name
+        assert (kinds[name]["name"], kinds[name]["headers"], kinds[name]["rate"]) == (f.name, f.headers, f.rate)
+    assert "head.csv" not in by and len(by["m.txt"]) == 400 and kinds["m.txt"]["name"] == "rmea"
+    assert sorted(r["malformed"] for r in got if r["malformed"] is not None) == ["2", "3,4,5"]
+    assert cols["g.csv", "x"] == [1.0, None, None, 4.0] and cols["head.csv", "v"] == [] and len(cols["m.txt", "person1_mea"]) == 20
+    assert ("g.csv", "time", "time") in roles and ("head.csv", "time", "time") in roles
+
+
 def test_csv_of_modalities(spark, tmp_path):
     a, b = write(tmp_path / "a.csv", "time,v\n0,1\n1,2\n"), write(tmp_path / "b.csv", "time,w,note\n0,3,x\n1,4,y\n")
     got = delimited.load_multimodal(spark, {"a": a, "b": b}, "d")
