@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,12 @@ from pyspark.sql import functions as F
 MAIN = [("version", 8), ("patient", 80), ("recording", 80), ("date", 8), ("time", 8), ("bytes", 8), ("reserved", 44), ("records", 8), ("duration", 8), ("signals", 4)]
 SIGNAL = [("label", 16), ("transducer", 80), ("dimension", 8), ("pmin", 8), ("pmax", 8), ("dmin", 8), ("dmax", 8), ("filter", 80), ("samples", 8), ("reserved", 32)]
 SAMPLES = "path string, signal int, label string, rate double, idx bigint, t double, value double"
+#: Bytes of the file's own header and of each signal's.
+WIDTH = 256
 #: Samples in a batch that leaves a task.
 BATCH = 200_000
+#: Bytes of records that a task reads at a time.
+RANGE = 8 << 20
 
 
 @dataclass
@@ -36,8 +42,24 @@ class Header:
     def duration(self) -> float:
         return self.number(self.main["duration"]) or 1.0
 
+    @property
+    def start(self) -> int:
+        """The place of the first record."""
+        return int(self.number(self.main["bytes"]))
+
+    def values(self, there: int) -> int:
+        """How many of the 16-bit values after the header belong to records."""
+        return len(range(max(0, there))[: int(self.number(self.main["records"])) * sum(self.samples)])
+
+    def physical(self, k: int, digital: np.ndarray) -> np.ndarray:
+        pmin, pmax, dmin, dmax = (self.number(self.signals[k][x]) for x in ("pmin", "pmax", "dmin", "dmax"))
+        scale = (pmax - pmin) / (dmax - dmin) if dmax != dmin else np.nan
+        return digital.astype(float) * scale + (pmin - dmin * scale)
+
+
+def parse_header(data: bytes, signals: bool = True) -> Header:
+    """The header that ``data`` begins with; without ``signals`` the file's own fields alone."""
 
-def parse_header(data: bytes) -> Header:
     def fields(widths: list[tuple[str, int]], at: int, each: int = 1) -> tuple[dict[str, list[str]], int]:
         out = {}
         for name, width in widths:
@@ -47,7 +69,7 @@ def parse_header(data: bytes) -> Header:
 
     main, at = fields(MAIN, 0)
     main = {k: v[0] for k, v in main.items()}
-    n = int(main["signals"] or 0)
+    n = int(main["signals"] or 0) if signals else 0
     by, _ = fields(SIGNAL, at, n)
     return Header(main, [{k: v[i] for k, v in by.items()} for i in range(n)])
 
@@ -55,35 +77,81 @@ def parse_header(data: bytes) -> Header:
 def decode(data: bytes) -> Iterator[tuple[int, str, float, np.ndarray]]:
     """(number, label, rate, physical values) of each signal; a truncated tail gives what is there."""
     h = parse_header(data)
-    size, records = sum(h.samples), int(h.number(h.main["records"]))
-    body = np.frombuffer(data, "<i2", count=max(0, (len(data) - int(h.number(h.main["bytes"]))) // 2), offset=min(len(data), int(h.number(h.main["bytes"]))))[: records * size]
-    record, place = np.divmod(np.arange(len(body)), max(size, 1))
+    size, begin = sum(h.samples), min(len(data), h.start)
+    body = np.frombuffer(data, "<i2", count=h.values((len(data) - begin) // 2), offset=begin)
+    place = np.arange(len(body)) % max(size, 1)
     at = 0
     for k, s in enumerate(h.signals):
-        own = body[(place >= at) & (place < at + h.samples[k])].astype(float)
+        own = body[(place >= at) & (place < at + h.samples[k])]
         at += h.samples[k]
-        pmin, pmax, dmin, dmax = (h.number(s[x]) for x in ("pmin", "pmax", "dmin", "dmax"))
-        scale = (pmax - pmin) / (dmax - dmin) if dmax != dmin else np.nan
-        yield k, s["label"], h.samples[k] / h.duration, own * scale + (pmin - dmin * scale)
+        yield k, s["label"], h.samples[k] / h.duration, h.physical(k, own)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, signal, label, rate, idx, t, value) of all signals of all files of a path.
+def _open(path: str):
+    """A file by its path as Spark writes it; the file systems are those that Arrow knows."""
+    if re.match("file:|/", path):
+        return fs.LocalFileSystem().open_input_file(re.sub("^file:/+", "/", path))
+    system, inner = fs.FileSystem.from_uri(quote(path, safe=":/@?&=%+,;~"))
+    return system.open_input_file(inner)
 
-    A file is read by one task (up to the 2 GB of a binary cell) and leaves it in batches; many
-    files are many tasks.
+
+def ranges(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """(path, head, first, count) of all files of a path: runs of whole records of about ``size`` bytes.
+
+    Only headers are read. A truncated file ends with what is there.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for name, length in zip(pdf["path"], pdf["length"], strict=True):
+                if length < WIDTH:
+                    continue
+                with _open(name) as f:
+                    head = f.read(WIDTH)
+                    head += f.read(max(0, int(parse_header(head[:WIDTH], False).main["signals"] or 0)) * WIDTH)
+                h = parse_header(head)
+                values = h.values((length - h.start) // 2)
+                if values:
+                    each = max(1, size // (2 * sum(h.samples)))
+                    first = np.arange(0, -(-values // sum(h.samples)), each)
+                    yield pd.DataFrame({"path": name, "head": head, "first": first, "count": each})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    return files.mapInPandas(run, "path string, head binary, first bigint, count bigint")
+
+
+def read(spark: SparkSession, path: str, labels: list[str] | None = None, size: int = RANGE, tasks: int | None = None) -> DataFrame:
+    """(path, signal, label, rate, idx, t, value) of all signals, or those of ``labels``, of all files of a path.
+
+    Files are read in ranges of records dealt over ``tasks`` tasks (the session's shuffle
+    partitions), so a long file is many tasks' work and none holds more than a range. Samples of
+    other signals are not decoded. A value is NULL where a signal's digital range is empty. A file
+    shorter than a header, or without signals, has no rows.
     """
 
     def run(batches):
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                for k, label, rate, values in decode(content):
-                    for at in range(0, len(values), BATCH):
-                        part = values[at : at + BATCH]
-                        idx = np.arange(at, at + len(part))
-                        yield pd.DataFrame({"path": name, "signal": k, "label": label, "rate": rate, "idx": idx, "t": idx / rate, "value": [None if np.isnan(v) else v for v in part]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SAMPLES)
+            for name, head, first, count in zip(pdf["path"], pdf["head"], pdf["first"], pdf["count"], strict=True):
+                h = parse_header(head)
+                width = sum(h.samples)
+                with _open(name) as f:
+                    there = h.values((f.size() - h.start) // 2) - first * width
+                    f.seek(h.start + 2 * first * width)
+                    body = np.frombuffer(f.read(2 * min(count * width, there)), "<i2")
+                whole = len(body) // width * width
+                at = 0
+                for k, (signal, m) in enumerate(zip(h.signals, h.samples, strict=True)):
+                    if labels is None or signal["label"] in labels:
+                        own = np.concatenate([body[:whole].reshape(-1, width)[:, at : at + m].ravel(), body[whole:][at : at + m]])
+                        idx, rate, own = np.arange(first * m, first * m + len(own)), m / h.duration, h.physical(k, own)
+                        for part in range(0, len(own), BATCH):
+                            s = slice(part, part + BATCH)
+                            yield pd.DataFrame({"path": name, "signal": k, "label": signal["label"], "rate": rate, "idx": idx[s], "t": idx[s] / rate, "value": own[s]})
+                    at += m
+
+    # an exact number: rows are few and small here, and would else be put together again
+    dealt = ranges(spark, path, size).repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "first")
+    return dealt.mapInPandas(run, SAMPLES)
 
 
 def common_clock(samples: DataFrame) -> DataFrame:

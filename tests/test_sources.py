@@ -131,6 +131,30 @@ def test_edf(spark, tmp_path):
     assert len(parts["A"]) == 9
 
 
+def test_edf_in_ranges(spark, tmp_path):
+    """Several tasks read one file, whatever the ranges; files may be cut, short, flat or of no signal."""
+    rng = np.random.default_rng(6)
+    made = [("A", 5, rng.integers(-900, 900, 200)), ("B b", 3, rng.integers(-900, 900, 120)), ("C", 1, np.arange(40))]
+    files = {"whole.edf": edf_bytes(made, 40), "two words.edf": edf_bytes(made, 40, cut=7), "half.edf": edf_bytes(made, 40, cut=360), "head.edf": edf_bytes(made, 0), "short.edf": b"0", "none.edf": edf_bytes([], 3)}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    want = {(name, k): v for name in files if name != "short.edf" for k, _, _, v in edf.decode(files[name]) if len(v)}
+    for size in (1, 100, 1 << 20):
+        got, tasks = {}, set()
+        for r in edf.read(spark, str(tmp_path), size=size, tasks=4).withColumn("task", F.spark_partition_id()).orderBy("path", "signal", "idx").collect():
+            key = r["path"].rsplit("/", 1)[1], r["signal"]
+            got.setdefault(key, []).append(r["value"])
+            assert r["idx"] == len(got[key]) - 1 and r["t"] == pytest.approx(r["idx"] / r["rate"])
+            tasks |= {r["task"]} if key[0] == "whole.edf" else set()
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
+        assert len(tasks) == (1 if size > 1000 else 4)
+    assert {r["label"] for r in edf.read(spark, str(tmp_path), ["B b"], 100).select("label").distinct().collect()} == {"B b"}
+    flat = edf_bytes(made, 40).replace(b"-1000".ljust(8), b"1000".ljust(8))
+    (tmp_path / "flat").mkdir()
+    (tmp_path / "flat" / "f.edf").write_bytes(flat)
+    assert edf.read(spark, str(tmp_path / "flat")).agg(F.count("*"), F.count("value")).first()[:] == (360, 0)
+
+
 def test_synthetic_recordings(spark):
     f = synthetic.ground_truth("a", "b", gaps=0)
     assert len(f) == 600 and f["value"].notna().all() and (f[f["modality"] == "b"]["value"][:12] == 0).all()
