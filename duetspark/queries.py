@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import peak_sql
 from .functions import text as wording
 from .operators import align, cascade, clean, context, episodes, features, normalize, predict, prelude, quality, viewer, wcc
+from .operators import granger as nested
 from .operators.neighbours import with_neighbours
 from .operators.reuse import reuse
 from .schema import FEATURES, SERIES
@@ -550,6 +551,26 @@ def shift_summary(spark, sf_dir):
     return _rounded_all(got, ["observed", "null_mean", "null_sd", "percentile", "z", "p_value"])
 
 
+_G = CTE + """, gl AS (SELECT dyad_id, pair_key, x, y, lag(x) OVER o AS x1, lag(y) OVER o AS y1 FROM p WINDOW o AS (PARTITION BY dyad_id, pair_key ORDER BY idx)),
+ge AS (SELECT dyad_id, pair_key, 'x_to_y' AS direction, y AS t, y1 AS own, x1 AS other FROM gl WHERE x IS NOT NULL AND y IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL
+  UNION ALL SELECT dyad_id, pair_key, 'y_to_x', x, x1, y1 FROM gl WHERE x IS NOT NULL AND y IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL),
+gm AS (SELECT dyad_id, pair_key, direction, count(*) AS n, regr_sxx(t, own) AS a, regr_sxx(t, other) AS b, regr_sxy(own, other) AS c, regr_sxy(t, own) AS d, regr_sxy(t, other) AS f, regr_syy(t, own) AS s FROM ge GROUP BY ALL),
+gq AS (SELECT *, s - d * d / a AS small, s - (b * d * d - 2 * c * d * f + a * f * f) / (a * b - c * c) AS large FROM gm)
+"""
+
+
+@query(_G + "SELECT dyad_id, pair_key, direction, 1 AS lag, n, round((small - large) / (large / (n - 3)), 4) + 0.0 AS f, round(1 - large / small, 6) + 0.0 AS eta2 FROM gq")
+def granger_one(spark, sf_dir):
+    """One lag: what SQL says in closed form."""
+    got = nested.granger(paired(spark, sf_dir), 1)
+    return got.select("dyad_id", "pair_key", "direction", "lag", "n", rounded("f", 4).alias("f"), rounded("eta2").alias("eta2"))
+
+
+@query()
+def granger_rows(spark, sf_dir):
+    return nested.granger(paired(spark, sf_dir), LAGS)
+
+
 # ---- prediction ----
 
 
