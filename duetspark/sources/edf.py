@@ -21,6 +21,8 @@ SAMPLES = "path string, signal int, label string, rate double, idx bigint, t dou
 WIDTH = 256
 #: Samples in a batch that leaves a task.
 BATCH = 200_000
+#: Paths of stores that tasks can read ranges of; files of others come whole, through Spark.
+REACHED = "^(file|hdfs|s3|gs|abfss?):"
 #: Bytes of records that a task reads at a time.
 RANGE = 8 << 20
 
@@ -88,15 +90,15 @@ def decode(data: bytes) -> Iterator[tuple[int, str, float, np.ndarray]]:
 
 
 def _open(path: str):
-    """A file by its path as Spark writes it; the file systems are those that Arrow knows."""
+    """A file by its path as Spark writes it, in a store that is REACHED."""
     if re.match("file:|/", path):
         return fs.LocalFileSystem().open_input_file(re.sub("^file:/+", "/", path))
     system, inner = fs.FileSystem.from_uri(quote(path, safe=":/@?&=%+,;~"))
     return system.open_input_file(inner)
 
 
-def ranges(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
-    """(path, head, first, count) of all files of a path: runs of whole records of about ``size`` bytes.
+def ranges(files: DataFrame, size: int = RANGE) -> DataFrame:
+    """(path, head, first, count) of (path, length): runs of whole records of about ``size`` bytes.
 
     Only headers are read. A truncated file ends with what is there.
     """
@@ -116,7 +118,6 @@ def ranges(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
                     first = np.arange(0, -(-values // sum(h.samples)), each)
                     yield pd.DataFrame({"path": name, "head": head, "first": first, "count": each})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
     return files.mapInPandas(run, "path string, head binary, first bigint, count bigint")
 
 
@@ -126,7 +127,8 @@ def read(spark: SparkSession, path: str, labels: list[str] | None = None, size:
     Files are read in ranges of records dealt over ``tasks`` tasks (the session's shuffle
     partitions), so a long file is many tasks' work and none holds more than a range. Samples of
     other signals are not decoded. A value is NULL where a signal's digital range is empty. A file
-    shorter than a header, or without signals, has no rows.
+    shorter than a header, or without signals, has no rows. A file of a store that only Spark
+    reads comes whole, as one cell of 2 GB at most.
     """
 
     def run(batches):
@@ -150,8 +152,24 @@ def read(spark: SparkSession, path: str, labels: list[str] | None = None, size:
                     at += m
 
     # an exact number: rows are few and small here, and would else be put together again
-    dealt = ranges(spark, path, size).repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "first")
-    return dealt.mapInPandas(run, SAMPLES)
+    files = spark.read.format("binaryFile").load(path)
+    near = F.col("path").rlike(REACHED)
+    dealt = ranges(files.where(near).select("path", "length"), size).repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "first")
+    out = dealt.mapInPandas(run, SAMPLES)
+    if files.where(~near).select("path").limit(1).isEmpty():
+        return out
+
+    def run_whole(batches):
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                for k, label, rate, own in decode(content) if len(content) >= WIDTH else ():
+                    if labels is None or label in labels:
+                        for part in range(0, len(own), BATCH):
+                            value = own[part : part + BATCH]
+                            idx = np.arange(part, part + len(value))
+                            yield pd.DataFrame({"path": name, "signal": k, "label": label, "rate": rate, "idx": idx, "t": idx / rate, "value": value})
+
+    return out.unionByName(files.where(~near).select("path", "content").mapInPandas(run_whole, SAMPLES))
 
 
 def common_clock(samples: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ def test_edf(spark, tmp_path):
     assert len(parts["A"]) == 9
 
 
-def test_edf_in_ranges(spark, tmp_path):
+def test_edf_in_ranges(spark, tmp_path, monkeypatch):
     """Several tasks read one file, whatever the ranges; files may be cut, short, flat or of no signal."""
     rng = np.random.default_rng(6)
     made = [("A", 5, rng.integers(-900, 900, 200)), ("B b", 3, rng.integers(-900, 900, 120)), ("C", 1, np.arange(40))]
@@ -149,6 +149,10 @@ def test_edf_in_ranges(spark, tmp_path):
         assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
         assert len(tasks) == (1 if size > 1000 else 4)
     assert {r["label"] for r in edf.read(spark, str(tmp_path), ["B b"], 100).select("label").distinct().collect()} == {"B b"}
+    held = edf.read(spark, str(tmp_path), size=100).collect()
+    monkeypatch.setattr(edf, "REACHED", "^elsewhere:")
+    assert sorted(edf.read(spark, str(tmp_path)).collect()) == sorted(held) and edf.read(spark, str(tmp_path), ["C"]).select("label").distinct().count() == 1
+    monkeypatch.undo()
     flat = edf_bytes(made, 40).replace(b"-1000".ljust(8), b"1000".ljust(8))
     (tmp_path / "flat").mkdir()
     (tmp_path / "flat" / "f.edf").write_bytes(flat)
