@@ -61,7 +61,41 @@ def preference_pairs(conversations: DataFrame, pairs: DataFrame, conv_col: str =
     turns = _turns(conversations, conv_col, turn_col, role_col, text_col)
     left = turns.select(F.col("conv").alias("chosen_id"), F.col("turns").alias("c"))
     right = turns.select(F.col("conv").alias("rejected_id"), F.col("turns").alias("r"))
-    both = pairs.select("chosen_id", "rejected_id").join(left, "chosen_id").join(right, "rejected_id")
+    return _formatted(pairs.select("chosen_id", "rejected_id").join(left, "chosen_id").join(right, "rejected_id"))
+
+
+def continuations(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
+                  text_col: str = "text", block: int = 1024) -> DataFrame:
+    """One row per conversation, for tables that hold no preferences: the conversation is chosen, and
+    rejected is its beginning, continued with another one's answer; columns of ``preference_pairs``.
+
+    An answer is the last turn of the assistant and all after it; the beginning is what stands before
+    (all turns where the assistant says nothing). The answer comes from the next conversation with
+    the same beginning, so rejected is that conversation itself; where none begins alike, from the next
+    conversation. Next is by id, in a ring, within ``block`` ids, so no window holds more than that
+    many, however many conversations begin alike. A conversation alone in its block gets no
+    answer and a null rejected_id: rejected is then its bare beginning. Beginnings are compared by
+    the SHA-256 of their rendering. Nulls, repeats, ties and empty tables are as in ``preference_pairs``.
+    """
+    turns = _turns(conversations, conv_col, turn_col, role_col, text_col)
+    last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == LEARNED, i)))
+    split = turns.withColumn("k", F.coalesce(last, F.size("turns")).cast("int"))
+    ids = split.select("conv", F.floor(F.col("conv") / block).alias("block"), F.sha2(_render(F.slice("turns", F.lit(1), F.col("k"))), 256).alias("begin"))
+
+    def following(*keys: str) -> Column:
+        ring = Window.partitionBy(*keys)
+        after = F.coalesce(F.lead("conv").over(ring.orderBy("conv")), F.min("conv").over(ring))
+        return F.nullif(after, F.col("conv"))
+
+    donors = ids.select("conv", F.coalesce(following("block", "begin"), following("block")).alias("rejected_id"))
+    chosen = split.select(F.col("conv").alias("chosen_id"), F.col("turns").alias("c"), F.slice("turns", F.lit(1), F.col("k")).alias("begin"))
+    answers = split.select(F.col("conv").alias("rejected_id"), F.slice("turns", F.col("k") + 1, F.size("turns")).alias("answer"))
+    both = chosen.join(donors.withColumnRenamed("conv", "chosen_id"), "chosen_id").join(answers, "rejected_id", "left")
+    return _formatted(both.withColumn("r", F.when(F.col("answer").isNull(), F.col("begin")).otherwise(F.concat("begin", "answer"))))
+
+
+def _formatted(both: DataFrame) -> DataFrame:
+    """Rows (chosen_id, rejected_id, c, r) of two lists of turns, as prompt, completions and masks."""
     said = lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))
     same = F.zip_with(F.transform("c", said), F.transform("r", said), lambda x, y: x.eqNullSafe(y))
     apart = F.array_position(same, F.lit(False))
@@ -75,45 +109,31 @@ def preference_pairs(conversations: DataFrame, pairs: DataFrame, conv_col: str =
     )
 
 
-def neighbours(conversations: DataFrame, conv_col: str = "conv_id", block: int = 1024) -> DataFrame:
-    """Pairs of neighbouring ids within blocks of ``block`` ids: the first is chosen, the second rejected.
-
-    The conversations carry no preferences, so the query states its own pairing: each conversation
-    is in one pair, but for the last of a block with an odd number of them. A window never holds
-    more than ``block`` ids.
-    """
-    ids = conversations.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).alias("id")).distinct()
-    ids = ids.withColumn("block", F.floor(F.col("id") / block))
-    ranked = ids.withColumn("pair", F.floor((F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1) / 2))
-    pairs = ranked.groupBy("block", "pair").agg(F.min("id").alias("chosen_id"), F.max("id").alias("rejected_id"))
-    return pairs.where("chosen_id <> rejected_id").select("chosen_id", "rejected_id")
-
-
 def op6_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conversations = table(spark, sf_dir, "conversations")
-    return preference_pairs(conversations, neighbours(conversations))
+    return continuations(table(spark, sf_dir, "conversations"))
 
 
 OP6_SQL = r"""
 WITH u AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM u),
-i AS (SELECT conv_id, conv_id // 1024 AS b, (row_number() OVER (PARTITION BY conv_id // 1024 ORDER BY conv_id) - 1) // 2 AS k
-      FROM (SELECT DISTINCT conv_id FROM u)),
-p AS (SELECT min(conv_id) AS c, max(conv_id) AS r FROM i GROUP BY b, k HAVING min(conv_id) <> max(conv_id)),
-n AS (SELECT conv_id, max(pos) AS n FROM t GROUP BY 1),
-d AS (SELECT p.c, p.r, min(x.pos) AS first FROM p JOIN t x ON x.conv_id = p.c LEFT JOIN t y ON y.conv_id = p.r AND y.pos = x.pos
+t AS (SELECT *, '<|' || role || e'|>\n' || text || e'\n' AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM u),
+n AS (SELECT conv_id, max(pos) AS n, coalesce(max(pos) FILTER (role = 'assistant') - 1, max(pos)) AS k FROM t GROUP BY 1),
+h AS (SELECT conv_id, k, floor(conv_id / 1024) AS b, coalesce(string_agg(s, '' ORDER BY pos) FILTER (pos <= k), '') AS h FROM t JOIN n USING (conv_id) GROUP BY conv_id, k),
+o AS (SELECT conv_id AS c, k, coalesce(
+        nullif(coalesce(lead(conv_id) OVER (PARTITION BY b, h ORDER BY conv_id), min(conv_id) OVER (PARTITION BY b, h)), conv_id),
+        nullif(coalesce(lead(conv_id) OVER (PARTITION BY b ORDER BY conv_id), min(conv_id) OVER (PARTITION BY b)), conv_id)) AS r FROM h),
+e AS (SELECT c, pos, role, text, s, true AS own FROM o JOIN t ON t.conv_id = c
+      UNION ALL SELECT c, pos, role, text, s, false FROM o JOIN t ON t.conv_id = c AND pos <= k
+      UNION ALL SELECT c, o.k + t.pos - n.k, role, text, s, false FROM o JOIN n ON n.conv_id = r JOIN t ON t.conv_id = r AND t.pos > n.k),
+d AS (SELECT x.c, min(x.pos) AS first FROM (FROM e WHERE own) x LEFT JOIN (FROM e WHERE NOT own) y ON y.c = x.c AND y.pos = x.pos
       WHERE y.pos IS NULL OR x.role <> y.role OR x.text <> y.text GROUP BY ALL),
-l AS (SELECT p.*, coalesce(d.first - 1, n.n) AS k FROM p JOIN n ON n.conv_id = p.c LEFT JOIN d USING (c, r)),
-e AS (SELECT *, '<|' || role || e'|>\n' || text || e'\n' AS s FROM t),
-f AS (SELECT l.c, l.r, l.k, e.conv_id, e.pos, e.role, e.text, e.s,
-        coalesce(sum(length(e.s)) FILTER (e.pos > l.k) OVER (PARTITION BY l.c, e.conv_id ORDER BY e.pos), 0) AS upto
-      FROM l JOIN e ON e.conv_id IN (l.c, l.r)),
+l AS (SELECT o.c, o.r, coalesce(d.first - 1, n.n) AS k FROM o JOIN n ON n.conv_id = o.c LEFT JOIN d USING (c)),
+f AS (SELECT l.r, l.k, e.*, coalesce(sum(length(s)) FILTER (pos > l.k) OVER (PARTITION BY c, own ORDER BY pos), 0) AS upto FROM l JOIN e USING (c)),
 g AS (SELECT *, CASE WHEN role = 'assistant' AND pos > k THEN (upto - length(text) - 1) || ':' || upto END AS span FROM f)
 SELECT c AS chosen_id, r AS rejected_id, CAST(k AS INTEGER) AS n_prefix,
-  coalesce(string_agg(s, '' ORDER BY pos) FILTER (pos <= k AND conv_id = c), '') AS prompt,
-  coalesce(string_agg(s, '' ORDER BY pos) FILTER (pos > k AND conv_id = c), '') AS chosen,
-  coalesce(string_agg(s, '' ORDER BY pos) FILTER (pos > k AND conv_id = r), '') AS rejected,
-  coalesce(string_agg(span, ',' ORDER BY pos) FILTER (conv_id = c), '') AS chosen_mask,
-  coalesce(string_agg(span, ',' ORDER BY pos) FILTER (conv_id = r), '') AS rejected_mask
+  coalesce(string_agg(s, '' ORDER BY pos) FILTER (pos <= k AND own), '') AS prompt,
+  coalesce(string_agg(s, '' ORDER BY pos) FILTER (pos > k AND own), '') AS chosen,
+  coalesce(string_agg(s, '' ORDER BY pos) FILTER (pos > k AND NOT own), '') AS rejected,
+  coalesce(string_agg(span, ',' ORDER BY pos) FILTER (own), '') AS chosen_mask,
+  coalesce(string_agg(span, ',' ORDER BY pos) FILTER (NOT own), '') AS rejected_mask
 FROM g GROUP BY c, r, k
 """

@@ -141,8 +141,43 @@ def test_preference_pairs(spark):
     assert got[2, 2]["n_prefix"] == 5 and got[2, 2]["chosen"] == got[2, 2]["rejected"] == ""
     assert got[4, 5]["prompt"] == "" and got[4, 5]["chosen"] == "<||>\n\n" and got[4, 5]["rejected"].startswith("<|user|>\nfirst")
     assert chat.preference_pairs(c.where("false"), p).count() == 0
-    n = chat.neighbours(c).collect()
-    assert sorted((r["chosen_id"], r["rejected_id"]) for r in n) == [(1, 2), (3, 4)]
+
+
+def plain(turns):
+    return "".join(f"<|{r}|>\n{t}\n" for r, t in turns)
+
+
+def test_continuations_of_equal_beginnings_and_of_others(spark):
+    talks = {
+        1: [("user", "hi"), ("assistant", "a")], 2: [("user", "hi"), ("assistant", "b"), ("user", "thanks")], 3: [("user", "hi"), ("assistant", "a")],
+        4: [("user", "else"), ("assistant", "c"), ("user", "and"), ("assistant", "d")], 5: [("user", "no answer")], 6: [("assistant", "starts")],
+        2000: [("user", "far"), ("assistant", "away")],
+    }
+    rows = [(k, i, r, t, "x", "y", "z") for k, v in talks.items() for i, (r, t) in enumerate(v)]
+    c = spark.createDataFrame([*rows, *rows[:3], (None, 0, "user", "lost", "x", "y", "z")], "conv_id bigint, turn bigint, role string, text string, begin string, r string, k string")
+    got = {r["chosen_id"]: r for r in chat.continuations(c).collect()}
+    donors = {1: 2, 2: 3, 3: 1, 4: 5, 5: 6, 6: 1, 2000: None}  # 1 to 3 begin alike; the others take the next one's answer
+    assert {k: r["rejected_id"] for k, r in got.items()} == donors
+
+    def cut(talk):
+        last = [i for i, (r, _) in enumerate(talk) if r == "assistant"]
+        return last[-1] if last else len(talk)
+
+    for k, donor in donors.items():
+        own = talks[k]
+        other = own[: cut(own)] + (talks[donor][cut(talks[donor]) :] if donor else [])
+        n = next((i for i, (x, y) in enumerate(zip(own, other, strict=False)) if x != y), min(len(own), len(other)))
+        r = got[k]
+        assert (r["n_prefix"], r["prompt"], r["chosen"], r["rejected"]) == (n, plain(own[:n]), plain(own[n:]), plain(other[n:]))
+    assert got[3]["n_prefix"] == 2 and got[3]["chosen"] == "" and got[1]["n_prefix"] == 1
+    assert got[2]["rejected_mask"] == "14:16" and got[5]["rejected"] == plain(talks[6])
+    assert chat.continuations(c.where("false")).count() == 0
+
+
+def test_many_equal_beginnings_lose_no_conversation(spark):
+    rows = [(i, t, r, x) for i in range(5000) for t, r, x in ((0, "user", "the same"), (1, "assistant", str(i)))]
+    got = chat.continuations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    assert got.count() == 5000 and got.where("n_prefix = 1 and rejected_id <> chosen_id and chosen <> rejected").count() == 5000
 
 
 def test_mixing_draws_are_poisson(spark):
