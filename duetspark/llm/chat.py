@@ -90,7 +90,9 @@ def continuations(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     donors = ids.select("conv", F.coalesce(following("block", "begin"), following("block")).alias("rejected_id"))
     chosen = split.select(F.col("conv").alias("chosen_id"), F.col("turns").alias("c"), F.slice("turns", F.lit(1), F.col("k")).alias("begin"))
     answers = split.select(F.col("conv").alias("rejected_id"), F.slice("turns", F.col("k") + 1, F.size("turns")).alias("answer"))
-    both = chosen.join(donors.withColumnRenamed("conv", "chosen_id"), "chosen_id").join(answers, "rejected_id", "left")
+    # answers travel to ids, then to the conversations, whose own texts stay where they were put together
+    answered = donors.withColumnRenamed("conv", "chosen_id").join(answers, "rejected_id", "left")
+    both = chosen.join(answered, "chosen_id")
     return _formatted(both.withColumn("r", F.when(F.col("answer").isNull(), F.col("begin")).otherwise(F.concat("begin", "answer"))))
 
 
