@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def reuse(df: DataFrame) -> DataFrame:
@@ -16,16 +16,21 @@ def reuse(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed now and written to the folder in ``spark.checkpoint.dir``, which outlives executors.
-
-    What is built on it has a short plan. Only on one machine a temporary folder does where none is
-    named. Files go with the frame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Only on one machine a temporary one does where none is named."""
     sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
         if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+    return named or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, computed now and written to the ``shared_folder``, which outlives executors.
+
+    What is built on it has a short plan. Files go with the frame where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()

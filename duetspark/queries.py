@@ -6,6 +6,7 @@ an hour a sample. Queries apply one operator each to these series.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +17,10 @@ from .functions import text as wording
 from .operators import align, cascade, clean, context, episodes, features, normalize, predict, prelude, quality, viewer, wcc
 from .operators import granger as nested
 from .operators.neighbours import with_neighbours
-from .operators.reuse import reuse
+from .operators.reuse import reuse, shared_folder
 from .schema import FEATURES, SERIES
 from .streaming import epochs as stream
+from .streaming import live
 
 HOURS = 720
 WINDOW, LAGS = 10, 12
@@ -859,6 +861,28 @@ def event_time_epochs(spark, sf_dir):
     return got.select("modality", F.col("epoch_start").cast("timestamp_ntz").alias("epoch_start"), "n", rounded("value").alias("value"))
 
 
+@query("""WITH s AS (SELECT 'd' || (user_id % 3) AS dyad_id, event_type AS m, ts, value FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL),
+e AS (SELECT dyad_id, m, time_bucket(INTERVAL 12 HOUR, ts) AS h, avg(value) AS v FROM s GROUP BY ALL),
+p AS (SELECT a.dyad_id, a.m || '__' || b.m AS pair_key, a.h, a.v AS x, b.v AS y FROM e a JOIN e b USING (dyad_id, h)
+      WHERE a.m < b.m AND a.h + INTERVAL 12 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM s) - INTERVAL 1 HOUR),
+w AS (SELECT dyad_id, pair_key, h, lead(h, 9) OVER o AS last, covar_pop(x, y) OVER f AS c, stddev_pop(x) OVER f * stddev_pop(y) OVER f AS d FROM p
+      WINDOW o AS (PARTITION BY dyad_id, pair_key ORDER BY h), f AS (PARTITION BY dyad_id, pair_key ORDER BY h ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING))
+SELECT dyad_id, pair_key, h AS epoch_start, CASE WHEN d > 1e-10 THEN round(greatest(-1, least(1, c / d)), 6) + 0.0 END AS r FROM w WHERE last = h + INTERVAL 108 HOUR""")
+def live_pairs(spark, sf_dir):
+    """All events as a stream: half days of two event types, that meet by event time, in windows of ten without a missing one.
+
+    What the watermark, an hour behind the last event, doesn't make final yet is not there.
+    """
+    path = f"{sf_dir}/events.parquet"
+    e = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be one file
+    dyad = F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string"))
+    zero = F.lit("1970-01-01").cast("timestamp_ntz")  # whatever the session's time zone, half days are those of the table
+    ts = F.timestamp_micros(F.timestamp_diff("MICROSECOND", zero, F.col("ts")))
+    signals = e.select(dyad.alias("dyad_id"), F.col("event_type").alias("modality"), ts.alias("ts"), "value")
+    out = live.all_of(live.correlations(live.pairs(signals, "12 hours", "1 hour"), WINDOW), f"{shared_folder(spark)}/live-{uuid.uuid4()}")
+    return out.where("not ended").select("dyad_id", "pair_key", F.timestamp_add("MICROSECOND", F.unix_micros("epoch_start"), zero).alias("epoch_start"), rounded("r").alias("r"))
+
+
 @query("""SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS o_totalprice,
   round(last_value(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS last_urgent FROM orders""")
 def asof_last(spark, sf_dir):

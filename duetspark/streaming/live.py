@@ -1,4 +1,4 @@
-"""Live pairs: modalities of a stream joined by event time, and their sliding correlation with timers."""
+"""Live pairs: modalities of a stream that meet by event time, and their sliding correlation with timers."""
 
 from __future__ import annotations
 
@@ -16,29 +16,29 @@ OUT = "dyad_id string, pair_key string, epoch_start timestamp, r double, ended b
 
 
 def pairs(signals: DataFrame, length: str = "1 minute", late: str = "5 minutes") -> DataFrame:
-    """(dyad_id, pair_key, epoch_start, at, x, y): epoch means of every two modalities of a dyad, of signals
+    """(dyad_id, pair_key, w, x, y): epoch means of every two modalities of a dyad, of signals
     (dyad_id, modality, ts, value), a stream or a table.
 
-    Both sides are means of the same event-time window, whose last moment is ``at``, the modality that is
-    first by name on the left; pair_key is ``a__b``. A stream waits ``late`` for late samples: then an epoch is final,
-    is joined once with the other modalities' epochs, and both leave the state. Samples that come later
+    Both sides are means of the same event-time window ``w`` (start, end), the modality that is first by name on
+    the left; pair_key is ``a__b``. A stream waits ``late`` for late samples: then an epoch is final,
+    meets those of the dyad's other modalities once, and all leave the state. Samples that come later
     are dropped. An epoch that one of the two modalities lacks, or has only nulls in, gives no row. Null dyads,
-    modalities and times are in no pair. Epochs of a dyad are spread by their window, so a
-    dyad with most of the samples is no single key of the join.
+    modalities and times are in no pair. Samples are added up before they are shuffled, and epochs
+    spread by their window, so a dyad with most of the samples is no single key.
     """
     rows = signals.where("dyad_id is not null and modality is not null and ts is not null and value is not null")
     rows = rows.select("dyad_id", "modality", "ts", F.col("value").cast("double").alias("value"))
     if rows.isStreaming:
         rows = rows.withWatermark("ts", late)
     means = rows.groupBy("dyad_id", "modality", F.window("ts", length).alias("w")).agg(F.avg("value").alias("v"))
-    # The watermark is already at the end of the epochs that come to the join. An equality of windows alone would
-    # let them go before the other side is read; with this interval they stay for one more epoch.
-    start, wait = F.unix_micros("w.start"), F.expr(f"INTERVAL {length}")
-    a = means.select("dyad_id", start.alias("first"), F.window_time("w").alias("at"), F.col("modality").alias("a"), F.col("v").alias("x"))
-    b = means.select(F.col("dyad_id").alias("d"), start.alias("f"), F.window_time("w").alias("until"), F.col("modality").alias("b"), F.col("v").alias("y"))
-    same = (F.col("dyad_id") == F.col("d")) & (F.col("first") == F.col("f")) & (F.col("a") < F.col("b"))
-    near = (F.col("until") >= F.col("at") - wait) & (F.col("until") <= F.col("at") + wait)
-    return a.join(b, same & near).select("dyad_id", F.concat_ws("__", "a", "b").alias("pair_key"), F.timestamp_micros("first").alias("epoch_start"), "at", "x", "y")
+    # An epoch's modalities meet in a second aggregation: a stream joined with itself gave no rows here where
+    # the dyad was a computed column. The list is as long as the dyad has modalities.
+    met = means.groupBy("dyad_id", "w").agg(F.array_sort(F.collect_list(F.struct("modality", "v"))).alias("all"))
+    two = F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    sides = met.select("dyad_id", "w", F.explode(two).alias("p"))
+    return sides.select(
+        "dyad_id", F.concat_ws("__", "p.a.modality", "p.b.modality").alias("pair_key"), "w", F.col("p.a.v").alias("x"), F.col("p.b.v").alias("y")
+    )
 
 
 class _Sliding(StatefulProcessor):
@@ -106,7 +106,7 @@ def correlations(paired: DataFrame, window: int = 10, patience: float = 3600.0)
 
     The session has to set ``STORE`` before the stream starts.
     """
-    flat = paired.select("dyad_id", "pair_key", "at", F.unix_micros("epoch_start").alias("first"), (F.unix_micros("at") + 1).alias("last"), "x", "y")
+    flat = paired.select("dyad_id", "pair_key", "w", F.unix_micros("w.start").alias("first"), F.unix_micros("w.end").alias("last"), "x", "y")
     out = flat.groupBy("dyad_id", "pair_key").transformWithStateInPandas(_Sliding(window, patience), OUT, "Append", "EventTime")
     return out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
 

@@ -83,3 +83,17 @@ def test_pairs_of_a_table_and_of_nothing(spark):
     d = spark.createDataFrame(rows, SCHEMA)
     assert sorted((r["pair_key"], r["x"], r["y"]) for r in live.pairs(d).collect()) == [("a__b", float(k), float(k)) for k in range(3)]
     assert live.pairs(d.where("false")).count() == 0
+
+
+def test_all_events_as_a_stream_beside_sql(spark):
+    import duckdb
+
+    from duetspark.queries import QUERIES, SQL
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    key = lambda r: (r[0], r[1], r[2])
+    want = sorted(con.sql("SELECT dyad_id, pair_key, epoch_start, r FROM (" + SQL["live_pairs"] + ")").fetchall(), key=key)
+    got = sorted((tuple(r) for r in QUERIES["live_pairs"](spark, sf).select("dyad_id", "pair_key", "epoch_start", "r").collect()), key=key)
+    assert len(want) > 1000 and got == want
