@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import lstm_steps
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
@@ -30,6 +32,7 @@ class BiLstmCrf:
             "out": draw(2 * hidden, tags), "c": np.zeros(tags, np.float32), "trans": np.zeros((tags, tags), np.float32),
         }
         self.hidden = hidden
+        self._graphs: tuple = ((), [])  # weights, and the graphs made of them
 
     def emissions(self, idx: np.ndarray, cache: dict | None = None) -> np.ndarray:
         """(batch, time, tag) scores of symbol numbers (batch, time)."""
@@ -120,8 +123,31 @@ class BiLstmCrf:
                     self.p[k] = (self.p[k] - rate * (0.5**epoch if epoch else 1) * hat).astype(np.float32)
         return float(np.mean(losses))
 
+    def graphs(self) -> list[tuple[bytes, np.ndarray]]:
+        """Both directions for ONNX Runtime, made once for the present weights: the graph, and what symbols give to the gates."""
+        p, n = self.p, self.hidden
+        made_of, made = self._graphs
+        if len(made_of) != len(p) or any(a is not b for a, b in zip(made_of, p.values(), strict=True)):
+            made = [(lstm_steps.graph(p["h"][d], p["out"][d * n : (d + 1) * n]), p["x"][d] + p["b"][d]) for d in (0, 1)]
+            self._graphs = (tuple(p.values()), made)
+        return made
+
     def scores(self, idx: np.ndarray) -> np.ndarray:
-        """(time, tag, batch): the emissions again, without what training needs and several times faster."""
+        """(time, tag, batch): the emissions again, without what training needs and several times faster.
+
+        ONNX Runtime computes them where it is installed, numpy elsewhere; they differ by rounding only.
+        """
+        if lstm_steps.onnxruntime is None or idx.shape[1] % lstm_steps.STEPS:
+            return self.plain_scores(idx)
+        at = np.ascontiguousarray(idx.T)
+        out = np.empty((len(at), len(self.p["c"]), at.shape[1]), np.float32)
+        out[:] = self.p["c"][:, None]
+        for (made, of_symbol), way in zip(self.graphs(), (1, -1), strict=True):
+            lstm_steps.add_scores(lstm_steps.session(made), of_symbol, at[::way], out[::way])
+        return out
+
+    def plain_scores(self, idx: np.ndarray) -> np.ndarray:
+        """``scores`` by numpy alone."""
         p, n, (batch, time) = self.p, self.hidden, idx.shape
         half = np.repeat(np.array([0.5, 1], np.float32), [3 * n, n])[:, None]  # a gate is half a hyperbolic tangent of half its input, and a half
         out, at = np.empty((2, time, n, batch), np.float32), np.ascontiguousarray(idx.T)
@@ -173,13 +199,14 @@ class BiLstmCrf:
         """
         e, trans = self.scores(idx), self.p["trans"] - self.p["trans"][0, 0]
         within, into, out = float(trans[1:, 1:].max()), float(trans[0, 1:].max()), float(trans[1:, 0].max())
-        sums = np.cumsum(e[:, 1:].max(1) - e[:, 0] + within, axis=0, dtype=np.float64)
-        before = np.zeros_like(sums)
-        np.minimum.accumulate(sums[:-1], axis=0, out=before[1:])
-        np.minimum(before, 0, out=before)
-        inside, at_start = (sums - before).max(0) + into + out, sums.max(0) + out
-        at_end, whole = sums[-1] - before.min(0) + into, sums[-1]
-        open_ = np.maximum(np.maximum(inside, at_start), np.maximum(at_end, whole)) - within > -1e-3
+        gains = e[:, 1:].max(1) - e[:, 0] + within
+        run = gains[0].astype(np.float64)  # the most that a run gains which ends here
+        most = np.full_like(run, -np.inf)  # and which ended before
+        for gain in gains[1:]:
+            np.maximum(most, run, out=most)
+            np.maximum(run, into, out=run)
+            run += gain
+        open_ = np.maximum(most + out, run) - within > -1e-3
         tags = np.zeros(idx.shape, np.uint8)
         if open_.any():
             tags[open_] = self.best(e[:, :, open_])

@@ -1,7 +1,9 @@
 """Operators on single texts: languages, quality, personal data, licences, benchmark leaks."""
 
+import pickle
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -222,6 +224,34 @@ def test_spans_as_by_decoding_every_window_alone():
     assert sum(len(x) for x in pii.added_spans(m, texts)) > 30
 
 
+def test_network_by_onnx_runtime_as_by_numpy():
+    """The same scores in less CPU time, for any weights and after pickling; tags as without the bound on gains."""
+    pytest.importorskip("onnxruntime")
+    rng = np.random.default_rng(7)
+    for hidden, scale in ((14, 0.1), (5, 0.3)):  # not so large that rounding grows from step to step
+        m = BiLstmCrf(pii.SYMBOLS, pii.TAGS, hidden)
+        for _ in range(2):  # weights that change are seen
+            m.p = {k: (v + scale * rng.standard_normal(v.shape)).astype(np.float32) for k, v in m.p.items()}
+            for batch, width in ((1, 64), (7, 256), (3, 50)):
+                idx = rng.integers(0, pii.SYMBOLS, (batch, width)).astype(np.uint8)
+                want = m.plain_scores(idx)
+                assert np.allclose(m.scores(idx), want, atol=1e-4) and np.allclose(pickle.loads(pickle.dumps(m)).scores(idx), want, atol=1e-4)
+                assert np.allclose(want.transpose(2, 0, 1), m.emissions(idx), atol=1e-4)
+            m.p["c"] = m.p["c"] + np.float32(30) * (np.arange(pii.TAGS) == 0)  # most windows are outside throughout
+            assert (m.tag(idx) == m.best(m.scores(idx))).all()
+    m, idx = pii.trained(), rng.integers(3, 29, (512, 64)).astype(np.uint8)
+
+    def seconds(f):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            f(idx)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(m.scores) < 0.8 * seconds(m.plain_scores)
+
+
 def test_words_for_at_are_found_without_digits_or_at_signs():
     m = pii.trained()
     assert pii.find(m, ["write to john_doe [at] example.com please"])[0][1] == [("email", 9, 34)]
