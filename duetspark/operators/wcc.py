@@ -71,42 +71,50 @@ def wcc(paired: DataFrame, window: int = 10, lag: int = 0, keys: list[str] | Non
 LAG_PLACES = 9
 
 
-def _sliding(a: np.ndarray, window: int, join: np.ufunc) -> np.ndarray:
-    """``join`` (add, maximum, minimum) over each ``window`` values of the last axis: what is left of a
-    block and what begins the next one, so nothing is ever subtracted."""
-    n = a.shape[-1]
-    short = -n % window
-    fill = 0.0 if join is np.add else -np.inf if join is np.maximum else np.inf
-    blocks = np.concatenate([a, np.full((*a.shape[:-1], short), fill)], axis=-1).reshape(*a.shape[:-1], -1, window)
-    head = join.accumulate(blocks, axis=-1).reshape(*a.shape[:-1], -1)
-    tail = join.accumulate(blocks[..., ::-1], axis=-1)[..., ::-1].reshape(*a.shape[:-1], -1)
-    starts = np.arange(n - window + 1)
-    return np.where(starts % window == 0, head[..., starts + window - 1], join(tail[..., starts], head[..., starts + window - 1]))
-
-
-def _moments(a: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, deviation and completeness of each window of centred values with NaN."""
-    known, filled = ~np.isnan(a), np.nan_to_num(a)
-    mean = _sliding(filled, window, np.add) / window
-    var = np.maximum(_sliding(filled * filled, window, np.add) / window - mean * mean, 0)
-    flat = _sliding(filled, window, np.maximum) == _sliding(filled, window, np.minimum)
-    return mean, np.where(flat, 0.0, np.sqrt(var)), _sliding(known.astype(float), window, np.add) == window
+def _runs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means of x and y and the sum of products of their deviations, of each column's first 1, 2, ... values."""
+    mx, my, c = x.copy(), y.copy(), np.zeros_like(x)
+    for k in range(1, len(x)):
+        d = x[k] - mx[k - 1]
+        mx[k] = mx[k - 1] + d / (k + 1)
+        my[k] = my[k - 1] + (y[k] - my[k - 1]) / (k + 1)
+        c[k] = c[k - 1] + d * (y[k] - my[k])
+    return mx, my, c
+
+
+def _comoment(x: np.ndarray, y: np.ndarray, window: int) -> np.ndarray:
+    """The sum of products of deviations from the window's means, of each ``window`` values: what is left of a
+    block and what begins the next one. No other value counts, however large, and nothing large is subtracted."""
+    starts = np.arange(len(x) - window + 1)
+    blocks = [np.concatenate([v, np.zeros(-len(v) % window)]).reshape(-1, window).T for v in (x, y)]
+    flat = lambda runs: [v.T.ravel() for v in runs]
+    hx, hy, hc = (v[starts + window - 1] for v in flat(_runs(*map(np.ascontiguousarray, blocks))))
+    tx, ty, tc = (v[starts] for v in flat(v[::-1] for v in _runs(*(np.ascontiguousarray(v[::-1]) for v in blocks))))
+    head = starts % window
+    return np.where(head == 0, hc, tc + hc + (hx - tx) * (hy - ty) * (head * (window - head) / window))
+
+
+def _moments(a: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Deviation and completeness of each window of values with NaN."""
+    filled, missing = np.nan_to_num(a), np.concatenate([[0], np.cumsum(np.isnan(a))])
+    return np.sqrt(_comoment(filled, filled, window) / window), missing[window:] == missing[:-window]
 
 
 def _lag_correlations(x: np.ndarray, y: np.ndarray, window: int, lags: np.ndarray) -> np.ndarray:
     """(lags, windows): r of x[i : i + window] and y[i - lag : i - lag + window]; NaN where a value is missing
     or a window is flat. ``y`` holds the largest lag's number of samples more at both ends."""
     most, n = int(np.abs(lags).max(initial=0)), len(x)
-    x, y = x - np.nanmean(x) if (~np.isnan(x)).any() else x, y - np.nanmean(y) if (~np.isnan(y)).any() else y
-    mx, sx, kx = _moments(x, window)
-    my, sy, ky = _moments(y, window)
+    sx, kx = _moments(x, window)
+    sy, ky = _moments(y, window)
+    x, y = np.nan_to_num(x), np.nan_to_num(y)
     out = np.full((len(lags), n - window + 1), np.nan)
     for k, lag in enumerate(lags):
         at = slice(most - lag, most - lag + n - window + 1)
-        cov = _sliding(np.nan_to_num(x * y[most - lag : most - lag + n]), window, np.add) / window - mx * my[at]
         spread = sx * sy[at]
         fit = kx & ky[at] & (spread > 1e-10)
-        out[k, fit] = np.clip(cov[fit] / spread[fit], -1, 1)
+        if fit.any():
+            cov = _comoment(x, y[most - lag : most - lag + n], window) / window
+            out[k, fit] = np.clip(cov[fit] / spread[fit], -1, 1)
     return np.round(out, LAG_PLACES)
 
 

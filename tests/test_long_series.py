@@ -153,6 +153,23 @@ def test_lag_table_as_by_loops(spark, window, most, step, lag_step, chunk):
     assert [(i, got[i], want[i]) for i in want if got[i] != want[i] and not (got[i][0] == want[i][0] and got[i][2] == want[i][2] and abs(got[i][1] - want[i][1]) < 2e-9)] == []
 
 
+def test_lag_correlations_of_windows_that_hardly_move():
+    """Small deviations around values far from the series' mean count as precisely as any."""
+    rng = np.random.default_rng(9)
+    x, y = rng.standard_normal(300) + 40, rng.standard_normal(300) * 100
+    for at in (30, 90, 151, 240):
+        x[at : at + 25], y[at : at + 25] = 7 + 1e-4 * rng.standard_normal(25), -3 + 1e-3 * rng.standard_normal(25)
+    lags = np.array([0, -1, 1, -2, 2])
+    for window in (5, 7, 10):
+        pad = np.full(2, np.nan)
+        got = wcc._lag_correlations(x, np.concatenate([pad, y, pad]), window, lags)
+        for k, lag in enumerate(lags):
+            for i in range(len(x) - window + 1):
+                if 0 <= i - lag <= len(x) - window:
+                    a, b = x[i : i + window] - x[i : i + window].mean(), y[i - lag : i - lag + window] - y[i - lag : i - lag + window].mean()
+                    assert abs(got[k, i] - a @ b / np.sqrt((a @ a) * (b @ b))) < 2e-9, (window, lag, i)
+
+
 def test_lag_table_shuffles_no_more_for_more_lags(spark):
     df = spark.range(4000).select(F.lit("d").alias("dyad_id"), F.lit("p").alias("pair_key"), F.col("id").alias("idx"), F.rand(1).alias("x"), F.rand(2).alias("y"))
     plan = lambda m: wcc.wcc_directional(df, 10, m, chunk=1000)._jdf.queryExecution().executedPlan().toString()
