@@ -124,7 +124,7 @@ def ranges(files: DataFrame, size: int = RANGE) -> DataFrame:
 def read(spark: SparkSession, path: str, labels: list[str] | None = None, size: int = RANGE, tasks: int | None = None) -> DataFrame:
     """(path, signal, label, rate, idx, t, value) of all signals, or those of ``labels``, of all files of a path.
 
-    Files are read in ranges of records dealt over ``tasks`` tasks (the session's shuffle
+    Files are read in ranges of records dealt in turn over ``tasks`` tasks (the session's shuffle
     partitions), so a long file is many tasks' work and none holds more than a range. Samples of
     other signals are not decoded. A value is NULL where a signal's digital range is empty. A file
     shorter than a header, or without signals, has no rows. A file of a store that only Spark
@@ -154,7 +154,10 @@ def read(spark: SparkSession, path: str, labels: list[str] | None = None, size:
     # an exact number: rows are few and small here, and would else be put together again
     files = spark.read.format("binaryFile").load(path)
     near = F.col("path").rlike(REACHED)
-    dealt = ranges(files.where(near).select("path", "length"), size).repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "first")
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a file's ranges go to one task after the other, from one that its path tells; hashes would leave tasks without any
+    turn = F.pmod(F.pmod(F.xxhash64("path"), F.lit(tasks)) + F.floor(F.col("first") / F.col("count")), F.lit(tasks)).cast("int")
+    dealt = ranges(files.where(near).select("path", "length"), size).repartitionById(tasks, turn)
     out = dealt.mapInPandas(run, SAMPLES)
     if files.where(~near).select("path").limit(1).isEmpty():
         return out

@@ -159,6 +159,16 @@ def test_edf_in_ranges(spark, tmp_path, monkeypatch):
     assert edf.read(spark, str(tmp_path / "flat")).agg(F.count("*"), F.count("value")).first()[:] == (360, 0)
 
 
+def test_edf_ranges_reach_every_task(spark, tmp_path):
+    """Whatever a file's name: as many ranges as tasks are read by all of them, and eight by each of four twice."""
+    for k in range(12):
+        (tmp_path / f"{k}.edf").write_bytes(edf_bytes([("A", 5, list(range(200)))], 40))
+    for size, each in ((100, 1), (50, 2)):  # 40 records of 10 bytes: 4 ranges, then 8
+        got = edf.read(spark, str(tmp_path), size=size, tasks=4).withColumn("task", F.spark_partition_id())
+        by = got.groupBy("path", "task").agg(F.count("*").alias("n")).collect()
+        assert len(by) == 12 * 4 and {r["n"] for r in by} == {50}, each
+
+
 def test_synthetic_recordings(spark):
     f = synthetic.ground_truth("a", "b", gaps=0)
     assert len(f) == 600 and f["value"].notna().all() and (f[f["modality"] == "b"]["value"][:12] == 0).all()
