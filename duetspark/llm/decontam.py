@@ -66,15 +66,25 @@ def simhash(hashes: Column) -> Column:
     return F.when(size < 1 << 8, packed(8)).otherwise(packed(2))
 
 
+def _block(fingerprint: Column, i: int) -> Column:
+    """The value of a fingerprint's block ``i`` of BLOCKS."""
+    lo, hi = BITS * i // BLOCKS, BITS * (i + 1) // BLOCKS
+    return F.shiftrightunsigned(fingerprint, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+
+
+def _flipped(value: Column, flips: list[int]) -> Column:
+    # no second parameter with a default: Spark would hand it the place in the array
+    return F.transform(F.array(*[F.lit(x).cast("bigint") for x in flips]), lambda x: value.bitwiseXOR(x))
+
+
 def blocks(fingerprint: Column, near: int = 0) -> Column:
     """Keys of a fingerprint: BLOCKS runs of bits, each with its number above its value; with
     ``near``, also all values of a block that differ in so many bits at most."""
-    ends = [BITS * i // BLOCKS for i in range(BLOCKS + 1)]
     keys = []
-    for i, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
-        value = F.shiftrightunsigned(fingerprint, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) + F.lit(i << 32)
-        flips = [sum(1 << x for x in own) for k in range(near + 1) for own in combinations(range(hi - lo), k)]
-        keys.append(F.transform(F.array(*[F.lit(x).cast("bigint") for x in flips]), lambda x, v=value: v.bitwiseXOR(x)))
+    for i in range(BLOCKS):
+        width = BITS * (i + 1) // BLOCKS - BITS * i // BLOCKS
+        flips = [sum(1 << x for x in own) for k in range(near + 1) for own in combinations(range(width), k)]
+        keys.append(_flipped(_block(fingerprint, i) + F.lit(i << 32), flips))
     return F.concat(*keys)
 
 

@@ -392,3 +392,16 @@ def test_stride_meets_every_window():
     for shingles in (1, 3, 5, 12):
         s = decontam.stride_for(80, shingles)
         assert all(n // s > n * 0.2 / 1.8 for n in range(shingles, 300))
+
+
+def test_keys_are_the_blocks_of_a_fingerprint(spark):
+    rng = random.Random(5)
+    prints = [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
+    ends = [64 * i // 6 for i in range(7)]
+    values = lambda fp: [(i << 32) + ((fp >> lo) & ((1 << (hi - lo)) - 1)) for i, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False))]
+    got = spark.createDataFrame([(x,) for x in prints], "fp bigint").select("fp", decontam.blocks(F.col("fp")).alias("own"), decontam.blocks(F.col("fp"), 2).alias("near")).collect()
+    for r in got:
+        assert r["own"] == values(r["fp"])
+        widths = [hi - lo for lo, hi in zip(ends, ends[1:], strict=False)]
+        assert len(r["near"]) == len(set(r["near"])) == sum(1 + w + w * (w - 1) // 2 for w in widths)
+        assert all((x ^ own).bit_count() <= 2 for own in r["own"] for x in r["near"] if x >> 32 == own >> 32)
