@@ -88,6 +88,23 @@ def blocks(fingerprint: Column, near: int = 0) -> Column:
     return F.concat(*keys)
 
 
+def _pairs(windows: DataFrame, items: DataFrame, radius: int) -> DataFrame:
+    """Rows of ``windows(n, fp, ...)`` beside the key of each item(key, n, fp) of their length whose
+    fingerprint differs in ``radius`` bits at most.
+
+    Several blocks may be near: a pair is taken from the first of them alone, so it comes once.
+    """
+    near = radius // BLOCKS
+    ours = windows.withColumn("block", F.explode(blocks(F.col("fp"))))
+    theirs = small(items.select("key", "n", F.col("fp").alias("fp2"), F.explode(blocks(F.col("fp"), near)).alias("block")))
+    apart = F.col("fp").bitwiseXOR(F.col("fp2"))
+    first = F.coalesce(*[F.when(F.bit_count(_block(apart, i)) <= near, F.lit(i)) for i in range(BLOCKS)])
+    return (
+        ours.join(theirs, ["n", "block"])
+        .where((F.bit_count(apart) <= radius) & (F.shiftright("block", 32) == first)).drop("block", "fp", "fp2")
+    )
+
+
 def _ranges(at: Column, before: Column, after: Column, last: Column) -> Column:
     """Each number from x - before to x + after for the x of a sorted array, within 0 and ``last``, once."""
     return F.flatten(F.transform(at, lambda x, i: _between(
@@ -171,11 +188,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     )
     windows = cut(windows)  # each fingerprint is made once
 
-    ours = windows.select("doc_id", "text_key", "m", "n", "k", "start", "fp", F.explode(blocks(F.col("fp"))).alias("block"))
-    theirs = small(items.select("key", "n", F.col("fp").alias("fp2"), F.explode(blocks(F.col("fp"), radius // BLOCKS)).alias("block")))
     near = (
-        ours.join(theirs, ["n", "block"])
-        .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius)
+        _pairs(windows, items, radius)
         .groupBy("doc_id", "text_key", "m", "n", "k", "key").agg(F.array_sort(F.collect_set("start")).alias("at"))
     )
 

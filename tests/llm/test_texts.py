@@ -405,3 +405,15 @@ def test_keys_are_the_blocks_of_a_fingerprint(spark):
         widths = [hi - lo for lo, hi in zip(ends, ends[1:], strict=False)]
         assert len(r["near"]) == len(set(r["near"])) == sum(1 + w + w * (w - 1) // 2 for w in widths)
         assert all((x ^ own).bit_count() <= 2 for own in r["own"] for x in r["near"] if x >> 32 == own >> 32)
+
+
+def test_each_near_pair_comes_once(spark):
+    rng = random.Random(6)
+    items = [(j, 10 + j % 2, rng.getrandbits(64)) for j in range(12)]
+    flipped = lambda x, bits: x ^ sum(1 << b for b in rng.sample(range(64), bits))
+    windows = [(i, rng.choice((10, 11)), flipped(rng.choice(items)[2], bits)) for i, bits in enumerate([*range(25)] * 8)]
+    signed = lambda x: x - (x >> 63 << 64)
+    ours = spark.createDataFrame([(i, n, signed(x)) for i, n, x in windows], "start int, n int, fp bigint")
+    theirs = spark.createDataFrame([(j, n, signed(x)) for j, n, x in items], "key bigint, n int, fp bigint")
+    got = decontam._pairs(ours, theirs, 17).select("start", "key").collect()
+    assert sorted(map(tuple, got)) == sorted((i, j) for i, n, x in windows for j, m, y in items if n == m and (x ^ y).bit_count() <= 17)
