@@ -38,6 +38,11 @@ def _grams(w: Column, k: Column, stride: int = 1) -> Column:
     return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(w, i + 1, k)).alias("h")))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is made once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _lane(j: int, ones: Column):
     return lambda s, h: s + F.shiftrightunsigned(h, j).bitwiseAND(ones)
 
@@ -142,7 +147,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     repeat an id count as one document; items that repeat an id count as one if their texts are
     equal, else each is held against the documents under that id. Other columns are not read.
     Empty tables give an empty one. Words of a document leave its row only if it has a shingle of
-    an item where the stride looks.
+    an item where the stride looks. Texts are kept and shuffled as they are, not as words, and rows
+    of positions and windows don't carry them.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("w")).distinct()
     items = items.where(F.size("w") > 0).withColumns({"n": F.size("w"), "k": F.least(F.size("w"), F.lit(k))})
@@ -163,13 +169,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
         own = at.join(any_seed.where(F.col("k") == width), F.col("g.h") == F.col("h"), "left_semi").select("doc_id")
         met = own if met is None else met.union(own)
     met = cut((text.select("doc_id").where("false") if met is None else met).distinct())
-    suspects = text.join(small(met).withColumnRenamed("doc_id", "met"), F.col("doc_id").eqNullSafe(F.col("met"))).drop("met")
-    suspects = cut(suspects.withColumn("text_key", F.xxhash64("w")).dropDuplicates(["doc_id", "text_key"]))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    suspects = texts.join(small(met).withColumnRenamed("doc_id", "met"), F.col("doc_id").eqNullSafe(F.col("met"))).drop("met")
+    suspects = cut(suspects.withColumn("text_key", F.xxhash64(words(F.col("text")))).dropDuplicates(["doc_id", "text_key"]))
 
     # positions of items' shingles, by length of the items; a document's, so never more than its words
-    hits = None
+    hits, split = None, suspects.select("doc_id", "text_key", words(F.col("text")).alias("w")).withColumn("m", F.size("w"))
     for width in widths:
-        at = suspects.select("doc_id", "text_key", F.size("w").alias("m"), F.explode(_grams(F.col("w"), F.lit(width))).alias("g"))
+        at = split.select("doc_id", "text_key", "m", F.explode(_grams(F.col("w"), F.lit(width))).alias("g"))
         own = at.join(seeds.where(F.col("k") == width), F.col("g.h") == F.col("h")).select("doc_id", "text_key", "m", "n", "k", "g.at")
         hits = own if hits is None else hits.union(own)
     if hits is None:
@@ -177,14 +184,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     each = F.col("n") - F.col("k") + 1
     last = F.col("m") - F.col("n")
     places = hits.where("m >= n").groupBy("doc_id", "text_key", "m", "n", "k").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    starts = places.select("doc_id", "text_key", "n", "k", _ranges(F.col("at"), each - 1, F.lit(0), last).alias("starts"))
-    whole = suspects.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "w")
+    starts = places.select("doc_id", "text_key", "m", "n", "k", _ranges(F.col("at"), each - 1, F.lit(0), last).alias("starts"))
+    whole = suspects.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "text")
     own = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("t"))
-    hashes = F.transform(F.sequence(F.col("start") + 1, F.col("start") + each), lambda i: F.xxhash64(F.slice("w", i, F.col("k"))))
+
+    def printed(w: Column) -> Column:
+        def of(start: Column) -> Column:
+            shingles = F.transform(F.sequence(start + 1, start + each), lambda i: F.xxhash64(F.slice(w, i, F.col("k"))))
+            return F.struct(start.alias("start"), _let(shingles, simhash).alias("fp"))
+
+        return F.transform("starts", of)
+
     windows = (
-        whole.join(starts, own).select("doc_id", "text_key", "n", "k", "w", F.explode("starts").alias("start"))
-        .select("doc_id", "text_key", F.size("w").alias("m"), "n", "k", "start", hashes.alias("hashes"))
-        .select("doc_id", "text_key", "m", "n", "k", "start", simhash(F.col("hashes")).alias("fp"))
+        whole.join(starts, own).select("doc_id", "text_key", "m", "n", "k", F.explode(_let(words(F.col("text")), printed)).alias("at"))
+        .select("doc_id", "text_key", "m", "n", "k", "at.start", "at.fp")
     )
     windows = cut(windows)  # each fingerprint is made once
 
@@ -199,12 +212,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     near = near.select("doc_id", "text_key", "n", "k", "key", _ranges(F.col("at"), reach, reach, last).alias("starts"))
     ref = items.select("key", "item_id", F.col("numbered").alias("theirs"))
     ref = small(ref, 20_000, F.aggregate("theirs", F.lit(0).cast("bigint"), lambda n, x: n + F.length(x)))
-    both = F.size(F.array_intersect(_numbered(F.col("full")), "theirs"))
+
+    def compared(w: Column) -> Column:
+        def of(start: Column) -> Column:
+            own = _let(F.slice(w, start + 1, F.col("n")), lambda x: _full(x, F.col("k")))
+            return F.struct(start.alias("start"), F.size(F.array_intersect(_let(own, _numbered), "theirs")).alias("shared"))
+
+        return F.transform("starts", of)
+
     held = (
-        whole.join(near, own).select("doc_id", "n", "k", "key", "w", F.explode("starts").alias("start"))
-        .select("doc_id", "start", "n", "k", "key", F.slice("w", F.col("start") + 1, F.col("n")).alias("w"))
-        .withColumn("full", _full(F.col("w"), F.col("k"))).join(ref, "key")
-        .select("doc_id", "item_id", "start", "n", (2 * each).alias("all"), both.alias("shared"))
+        whole.join(near, own).join(ref, "key")
+        .select("item_id", "doc_id", "n", (2 * each).alias("all"), F.explode(_let(words(F.col("text")), compared)).alias("at"))
+        .select("doc_id", "item_id", "at.start", "n", "all", "at.shared")
     )
     return (
         held.where(100 * F.col("shared") >= percent * (F.col("all") - F.col("shared")))

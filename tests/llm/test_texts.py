@@ -417,3 +417,27 @@ def test_each_near_pair_comes_once(spark):
     theirs = spark.createDataFrame([(j, n, signed(x)) for j, n, x in items], "key bigint, n int, fp bigint")
     got = decontam._pairs(ours, theirs, 17).select("start", "key").collect()
     assert sorted(map(tuple, got)) == sorted((i, j) for i, n, x in windows for j, m, y in items if n == m and (x ^ y).bit_count() <= 17)
+
+
+def test_positions_and_windows_carry_no_text(spark, monkeypatch):
+    """Rows that are multiplied, by positions or by windows, hold neither a document's text nor its words."""
+    frames, cut = [], decontam.cut
+    monkeypatch.setattr(decontam, "cut", lambda df: frames.append(df) or cut(df))
+    rng = random.Random(8)
+    said = lambda n: " ".join(rng.choice(("one", "two", "three", "four", "five", "six")) + str(rng.randrange(400)) for _ in range(n))
+    held = said(30)
+    bench = spark.createDataFrame([(1, held), (2, said(30)), (3, said(12))], "item_id bigint, text string")
+    df = docs(spark, [(1, f"{said(3000)} {held} {said(2000)} {held}"), (2, said(500)), (3, f"{held[:-4]} changed"), (4, "")])
+    frames.append(decontam.contaminated(df, bench))
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["similarity"], r["windows"]) for r in frames[-1].collect()}
+    assert got[1, 1][:2] == (3000, 1.0) and set(got) == {(1, 1), (3, 1)} and got[1, 1][2] % 2 == 0
+
+    def multiplied(plan):
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        if plan.nodeName() == "Generate":
+            yield [plan.output().apply(i).dataType().simpleString() for i in range(plan.output().size())]
+        for x in below:
+            yield from multiplied(x)
+
+    rows = [kinds for df in frames for kinds in multiplied(df._jdf.queryExecution().optimizedPlan()) if "int" in kinds]
+    assert rows and not [kinds for kinds in rows if "string" in kinds or "array<string>" in kinds]
