@@ -250,9 +250,12 @@ def _numbered(full: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold an item; all columns stay, and rows without id."""
-    leaks = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(fresh(docs, "leak"))).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks[leaks.columns[0]], "left_anti")
+    """``docs`` without the documents that hold an item; all columns stay, and rows without id.
+
+    Documents are shuffled only if more ids go than are broadcast.
+    """
+    leaks = cut(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(fresh(docs, "leak"))).distinct())
+    return docs.join(small(leaks), docs["doc_id"] == leaks[leaks.columns[0]], "left_anti")
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -441,3 +441,22 @@ def test_positions_and_windows_carry_no_text(spark, monkeypatch):
 
     rows = [kinds for df in frames for kinds in multiplied(df._jdf.queryExecution().optimizedPlan()) if "int" in kinds]
     assert rows and not [kinds for kinds in rows if "string" in kinds or "array<string>" in kinds]
+
+
+def test_clean_documents_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(9)
+    held = " ".join(f"w{rng.randrange(10_000)}" for _ in range(20))
+    bench = spark.createDataFrame([(1, held)], "item_id bigint, text string")
+    df = docs(spark, [(i, f"a document {i}" if i % 3 else f"before {held} after") for i in range(30)] + [(None, "no id")])
+    left, small = sorted([*[i for i in range(30) if i % 3], -1]), decontam.small
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the ids were too many for Spark's own choice
+    try:
+        for limit, shuffled in ((200_000, False), (3, True)):  # beyond the bound the join shuffles and leaves the same
+            monkeypatch.setattr(decontam, "small", lambda d, rows=limit, width=None, most=limit: small(d, min(rows, most), width))
+            got = decontam.drop_contaminated(df, bench)
+            assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got.collect()) == left
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert ("SortMergeJoin" in plan) == shuffled and ("BroadcastHashJoin" in plan) != shuffled
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
